@@ -12,12 +12,13 @@ cluster:
    share gives the same links; a good one gives short lists;
 2. each class posts its id to its n-T+1 shortest lists. Tasks merge the sorted
    runs of their part of the lists and keep lists with two classes or more;
-3. candidates of a list are probed in the long lists: their sets are sorted, so
-   each list of the query that is left is a binary search;
-4. lists whose classes are already one component are done. The members of the
-   others are compared with further representatives and at last with each
-   other, so that a group of thousands of copies costs rows in proportion to its
-   members, and yet no link between two components stays unseen.
+3. pairs from lists of up to SMALL classes whose sizes and shingle histograms
+   allow the overlap are probed in the long lists: sets are sorted, so each list
+   of the query that is left is a binary search;
+4. longer lists meet representatives first. Lists whose classes are one component
+   are done; the members of the others are compared with further representatives
+   and at last with each other, so that a group of thousands of copies costs rows
+   in proportion to its members, and yet no link between two components stays unseen.
 """
 
 from __future__ import annotations
@@ -44,12 +45,14 @@ RUN = 1 << 20
 LIST_SPLIT = 1 << 16
 #: Rounds in which members of unsettled lists meet representatives before they meet each other.
 STAR_ROUNDS = 4
-#: Mean length of unsettled lists up to which their members meet each other at once.
-SMALL_LISTS = 16
+#: Classes of a list up to which all its pairs are candidates at once, and mean length of the lists left over for which they are.
+SMALL, LEFT_OVER = 48, 128
+#: Counters of a set's histogram.
+HISTOGRAM = 128
 REPRESENTATIVES = 2
 
 
-PROFILE = ["doc_id", "text_hash", "n", "class", "bucket", "hits"]
+PROFILE = ["doc_id", "text_hash", "n", "class", "histogram", "bucket", "hits"]
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -62,6 +65,19 @@ def class_id(x: np.ndarray) -> int:
     return int(mix(np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(x))]))[0] >> np.uint64(1))
 
 
+def histogram(x: np.ndarray) -> bytes:
+    """Shingles by seven bits of their hash, a byte each, rounded up to a power of two that the first byte names."""
+    c = np.bincount((x & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+    shift = max(0, int(c.max()).bit_length() - 8)
+    shift += int((c.max() + (1 << shift) - 1) >> shift > 255)
+    return bytes([shift]) + ((c + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes()
+
+
+def level(n: int, percent: int) -> int:
+    """Sizes whose sets can link are at most one level apart."""
+    return int(np.log(n) / -np.log(percent / 100) + 1e-9) if percent < 100 else n % 251
+
+
 def _bucket(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(44)).astype(np.int64)
 
@@ -81,21 +97,21 @@ def _profile(percent: int, k: int):
                 held.clear()
 
         for batch in batches:
-            size, ids, n_held = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), 0
+            size, ids, bars, n_held = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch), 0
             for t, x in shingle_sets(batch.column("text"), k, counted):
                 size[t] = len(x)
                 if len(x):
-                    ids[t] = class_id(x)
+                    ids[t], bars[t] = class_id(x), histogram(x)
                     held.append(x)
                     n_held += len(x)
                     if n_held >= RUN:
                         flush()
                         n_held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size), pa.array(ids, mask=size == 0), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int64())], names=PROFILE)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(size), pa.array(ids, mask=size == 0), pa.array(bars, pa.binary()), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.int64())], names=PROFILE)
         mean = counts[:SKETCH].mean()
-        tall = np.flatnonzero(counts > np.where(np.arange(2 * SKETCH) < SKETCH, mean + 4 * np.sqrt(mean) + 3, mean / 2 + 1))
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(tall), pa.int64())] * 4, pa.array(tall.astype(np.int32)), pa.array(counts[tall])], names=PROFILE)
+        tall = np.flatnonzero(counts > np.where(np.arange(2 * SKETCH) < SKETCH, mean + 4 * np.sqrt(mean) + 3, 2 * counts[SKETCH:].mean() + 2))
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(tall), pa.int64())] * 4, pa.nulls(len(tall), pa.binary()), pa.array(tall.astype(np.int32)), pa.array(counts[tall])], names=PROFILE)
 
     return run
 
@@ -110,15 +126,15 @@ def _runs(percent: int, k: int, heights, parts: int):
         def flush():
             if not grams:
                 return None
-            g, c = np.concatenate(grams), np.repeat(np.array([i for i, _ in ids], np.int64), [m for _, m in ids])
+            g, c, v = np.concatenate(grams), *(np.repeat(np.array([i[f] for i in ids], t), [i[1] for i in ids]) for f, t in ((0, np.int64), (2, np.uint8)))
             copies = tall[_bucket(g)] // LIST_SPLIT + 1
             salt = np.where(copies > 1, mix(c.astype(np.uint64)) % copies.astype(np.uint64), np.uint64(0))
             part = (mix(g + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((g, part))
-            g, c, part = g[order], c[order], part[order]
+            g, c, v, part = g[order], c[order], v[order], part[order]
             cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
             grams.clear(), ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([g[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["part", "grams", "classes"])
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *(pa.array([u[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()) for u in (g, c, v))], names=["part", "grams", "classes", "levels"])
 
         for batch in batches:
             for _, x, rank in ranked_sets(batch.column("text"), k, cost, _bucket):
@@ -126,8 +142,9 @@ def _runs(percent: int, k: int, heights, parts: int):
                     continue
                 seen.add(i)
                 short = len(x) - int(need(len(x), percent)) + 1
+                lev = level(len(x), percent)
                 x = x[np.argsort((tall[_bucket(x)] << 16) + np.minimum(rank, 65535), kind="stable")[:short]]
-                grams.append(x), ids.append((i, len(x)))
+                grams.append(x), ids.append((i, short, lev))
                 n_held += len(x)
                 if n_held >= RUN:
                     yield flush()
@@ -139,32 +156,57 @@ def _runs(percent: int, k: int, heights, parts: int):
 
 
 def _merge(heights):
-    """Merge the sorted runs of a task's parts; rows (list, class) of the lists that two classes share, or that are split."""
+    """Merge the sorted runs of a task's parts: pairs (a, b) of near sizes from short lists, rows (list, a) of long or split ones."""
+    names = ["list", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tall = heights.value
-        rows = [(p, np.frombuffer(g, np.uint64), np.frombuffer(c, np.int64)) for b in batches for p, g, c in zip(b.column("part").to_pylist(), b.column("grams").to_pylist(), b.column("classes").to_pylist(), strict=True)]
-        by: dict[int, list] = {}
-        for p, g, c in rows:
-            by.setdefault(p, []).append((g, c))
-        del rows
-        for p in list(by):
-            g, c = (np.concatenate(x) for x in zip(*by.pop(p), strict=True))
-            order = np.argsort(g, kind="stable")  # merges runs that are sorted already
-            g, c = g[order], c[order]
-            edge = np.concatenate([[True], g[1:] != g[:-1], [True]])
-            start = np.flatnonzero(edge)
-            length = np.diff(start)
-            split = tall[_bucket(g[start[:-1]])] >= LIST_SPLIT
-            chosen, done = [], set()
-            for a, m, s in zip(start[:-1][(length > 1) | split], length[(length > 1) | split], split[(length > 1) | split], strict=True):
-                own = np.unique(c[a : a + m])
-                if s or (len(own) > 1 and (key := own.tobytes()) not in done):  # one list is enough for the same members
-                    if not s:
-                        done.add(key)
-                    chosen.append((g[a], own))
-            if chosen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x for x, _ in chosen], np.uint64).view(np.int64), [len(o) for _, o in chosen])), pa.array(np.concatenate([o for _, o in chosen]))], names=["list", "class"])
+        runs = [tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.uint8), strict=True)) for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("grams", "classes", "levels")), strict=True)]
+        if not runs:
+            return
+        g, c, v = (np.concatenate(x) for x in zip(*runs, strict=True))
+        del runs
+        order = np.argsort(g, kind="stable")  # merges runs that are sorted already
+        g, c, v = g[order], c[order], v[order]
+        del order
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        length = np.diff(start)
+        split = tall[_bucket(g[start[:-1]])] >= LIST_SPLIT
+        pairs, done = [], set()
+        for a, m, apart in zip(start[:-1][(length > 1) | split].tolist(), length[(length > 1) | split].tolist(), split[(length > 1) | split].tolist(), strict=True):
+            own, at = np.unique(c[a : a + m], return_index=True)
+            if apart or len(own) > SMALL:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g[a]).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
+                continue
+            if len(own) < 2 or (key := own.tobytes()) in done:  # one list is enough for the same members
+                continue
+            done.add(key)
+            x, y = np.triu_indices(len(own), 1)
+            lev = v[a : a + m][at].astype(np.int64)
+            close = np.abs(lev[x] - lev[y]) <= 1
+            pairs.append(np.stack([own[x[close]], own[y[close]]], 1))
+        if pairs:
+            pairs = np.concatenate(pairs)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+            for i in range(0, len(pairs), 1 << 16):
+                p = pairs[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=names)
+
+    return run
+
+
+def _possible(percent: int):
+    """Keep the pairs whose sizes and histograms leave room for the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [b.column(c).to_numpy() for c in ("n_a", "n_b")]
+            bars = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM + 1).astype(np.int64) for c in ("h_a", "h_b")]
+            bars = [x[:, 1:] << x[:, :1] for x in bars]
+            least = -(-percent * (n[0] + n[1]) // (100 + percent))
+            keep = (100 * np.minimum(*n) >= percent * np.maximum(*n)) & (np.minimum(*bars).sum(1) >= least)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -232,66 +274,76 @@ def _filter_bits(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(members, roots)``: each row's doc_id, shingle count and class; each linked class with its component's smallest doc_id.
 
-    ``members(doc_id, text_hash, n, class)`` has a row for each row of ``docs``; class is
+    ``members(doc_id, text_hash, n, class, histogram)`` has a row for each row of ``docs``; class is
     null without words. ``roots(class, component_id)`` has the classes that are
     linked with another class; the others' component is the class itself.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    profile = stage(docs.mapInArrow(_profile(percent, k), "doc_id long, text_hash long, n long, class long, bucket int, hits long"), "profile")
-    members = profile.where("n is not null").select("doc_id", "text_hash", "n", "class")
-    counts = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect()  # 2 * SKETCH rows at most
+    profile = stage(docs.mapInArrow(_profile(percent, k), "doc_id long, text_hash long, n long, class long, histogram binary, bucket int, hits long"), "profile")
+    members = profile.where("n is not null").select("doc_id", "text_hash", "n", "class", "histogram")
+    counts = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()  # 2 * SKETCH rows at most
     tall = np.zeros(2 * SKETCH, np.int64)
-    for bucket, hits in counts:
-        tall[bucket] = hits
+    tall[counts.column("bucket").to_numpy()] = counts.column("hits").to_numpy()
     heights = spark.sparkContext.broadcast(tall)
 
-    runs = docs.mapInArrow(_runs(percent, k, heights, PARTS), "part int, grams binary, classes binary")
-    lists = stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, class long"), "lists").distinct()
-    single = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
-    lists = stage(lists.join(single, "list", "left_semi"), "shared-lists")
-    nodes = stage(lists.select("class").distinct(), "nodes")
+    sizes = members.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("h"))
+    sizes = stage(sizes, "classes")
+
+    def possible(pairs: DataFrame, name: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("h").alias(f"h_{side}")), side)
+        return stage(pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(_possible(percent), "a long, b long"), name)
+
+    runs = docs.mapInArrow(_runs(percent, k, heights, PARTS), "part int, grams binary, classes binary, levels binary")
+    merged = stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, a long, b long"), "merged")
+    short = possible(merged.where("list is null").select("a", "b").distinct(), "pairs")
+    lists = merged.where("list is not null").select("list", F.col("a").alias("class")).distinct()
+    shared = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
+    lists = stage(lists.join(shared, "list", "left_semi").join(sizes.select("class", "n"), "class"), "lists")
+    nodes = short.select(F.col("a").alias("class")).union(short.select("b")).union(lists.select("class"))
+    nodes = stage(nodes.distinct(), "nodes")
     n_nodes = nodes.count()
     if not n_nodes:
         return members, spark.createDataFrame([], "class long, component_id long")
-    bits, size = _filter_bits(nodes, n_nodes)
-    sets = docs.mapInArrow(_sets(k, spark.sparkContext.broadcast(bits), size), "class long, grams binary")
+    bits, width = _filter_bits(nodes, n_nodes)
+    sets = docs.mapInArrow(_sets(k, spark.sparkContext.broadcast(bits), width), "class long, grams binary")
     sets = stage(sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
         return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_probe(percent), "a long, b long"), name)
 
-    sizes = stage(sets.select("class", F.expr("length(grams) div 8").alias("size")), "sizes")
-    lists = stage(lists.join(sizes, "class"), "sized-lists")
-    near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    roots = nodes.select("class", F.col("class").alias("root"))
-    tried, links = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    def rooted(links: DataFrame, name: str) -> DataFrame:
+        found = components(links, name).select(F.col("node").alias("class"), "root")
+        return stage(nodes.join(found, "class", "left").select("class", F.coalesce("root", "class").alias("root")), f"{name}-roots")
+
+    tried, links = short, verified(short, "links")
+    roots = rooted(links, "join")
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     for turn in range(STAR_ROUNDS + 1):
-        open_lists = lists.join(roots, "class")
-        mixed = open_lists.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        open_lists = stage(open_lists.join(mixed.select("list", "m"), "list"), f"open-{turn}")
-        rows, all_pairs = open_lists.agg(F.count("*"), F.sum("m")).first()
+        left = lists.join(roots, "class")
+        mixed = left.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        left = stage(left.join(mixed.select("list", "m"), "list"), f"left-{turn}")
+        rows, squares = left.agg(F.count("*"), F.sum("m")).first()
         if not rows:
             break
-        last = turn == STAR_ROUNDS or all_pairs <= SMALL_LISTS * rows
-        other = open_lists.select("list", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-        if not last:
-            salted = [F.min(F.struct(F.xxhash64("class", F.lit(turn * REPRESENTATIVES + r)).alias("h"), "class", "root", "size")).alias(f"r{r}") for r in range(REPRESENTATIVES)]
-            heads = open_lists.groupBy("list").agg(*salted)
-            heads = heads.select("list", F.explode(F.array(*[f"r{r}" for r in range(REPRESENTATIVES)])).alias("r")).select("list", F.col("r.class").alias("a"), F.col("r.root").alias("root_a"), F.col("r.size").alias("size_a")).distinct()
-            pairs = heads.join(other, "list").where("root_a <> root_b").where(near)
+        last = turn == STAR_ROUNDS or squares <= LEFT_OVER * rows
+        other = left.select("list", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+        if last:
+            heads = left.select("list", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+            pairs = heads.join(other, "list").where("root_a <> root_b and a < b")
         else:
-            pairs = open_lists.select("list", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a")).join(other, "list").where("root_a <> root_b and a < b").where(near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"pairs-{turn}")
+            drawn = [F.min(F.struct(F.xxhash64("class", F.lit(turn * REPRESENTATIVES + r)).alias("h"), "class", "root", "n")).alias(f"r{r}") for r in range(REPRESENTATIVES)]
+            heads = left.groupBy("list").agg(*drawn).select("list", F.explode(F.array(*[f"r{r}" for r in range(REPRESENTATIVES)])).alias("r"))
+            heads = heads.select("list", F.col("r.class").alias("a"), F.col("r.root").alias("root_a"), F.col("r.n").alias("n_a")).distinct()
+            pairs = heads.join(other, "list").where("root_a <> root_b")
+        pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = possible(pairs, f"pairs-{turn}")
         new = verified(pairs, f"links-{turn}")
         tried, links = tried.unionByName(pairs), links.unionByName(new)
-        if last and new.isEmpty():
-            break
         if not new.isEmpty():
-            found = components(links, f"join-{turn}")
-            roots = nodes.join(found.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"))
+            roots = rooted(links, f"join-{turn}")
         if last:
             break
     reach = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -302,7 +354,7 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
 
 def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
     members, roots = classes(docs, percent, k)
-    members = stage(members.join(roots, "class", "left"), "members")
+    members = stage(members.select("doc_id", "text_hash", "n", "class").join(roots, "class", "left"), "members")
     alone = members.where("class is not null and component_id is null").groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("m")).where("m > 1").select("class", "own")
     return members.join(alone, "class", "left").withColumn("component_id", F.coalesce("component_id", "own", "doc_id"))
 

@@ -11,7 +11,8 @@ cluster:
    stand out themselves, then those of common words. Any order that all tasks
    share gives the same links; a good one gives short lists;
 2. each class posts its id to its n-T+1 shortest lists. Tasks merge the sorted
-   runs of their part of the lists and keep lists with two classes or more;
+   runs of their part of the lists and keep lists with two classes or more.
+   Members of lists that turn out long post once more, to others instead;
 3. pairs from lists of up to SMALL classes whose sizes and shingle histograms
    allow the overlap are probed in the long lists: sets are sorted, so each list
    of the query that is left is a binary search;
@@ -116,8 +117,17 @@ def _profile(percent: int, k: int):
     return run
 
 
-def _runs(percent: int, k: int, heights, parts: int):
-    """Sorted runs of postings by part: the shortest n-T+1 lists of each class that the task meets first."""
+def _inside(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes the bitmap of ``_bitmap`` may hold."""
+    at = x.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _runs(percent: int, k: int, heights, parts: int, only=None, long=None):
+    """Sorted runs of postings by part: the shortest n-T+1 lists of each class that the task meets first.
+
+    ``only`` and ``long`` are bitmaps of the classes to post, and of lists that turned out long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tall, seen, grams, ids, n_held = heights.value, set(), [], [], 0
@@ -138,12 +148,15 @@ def _runs(percent: int, k: int, heights, parts: int):
 
         for batch in batches:
             for _, x, rank in ranked_sets(batch.column("text"), k, cost, _bucket):
-                if not len(x) or (i := class_id(x)) in seen:
+                if not len(x) or (i := class_id(x)) in seen or only and not _inside(np.array([i]), only.value)[0]:
                     continue
                 seen.add(i)
                 short = len(x) - int(need(len(x), percent)) + 1
                 lev = level(len(x), percent)
-                x = x[np.argsort((tall[_bucket(x)] << 16) + np.minimum(rank, 65535), kind="stable")[:short]]
+                height = tall[_bucket(x)]
+                if long:
+                    height = np.maximum(height, SMALL * _inside(x, long.value))
+                x = x[np.argsort((height << 16) + np.minimum(rank, 65535), kind="stable")[:short]]
                 grams.append(x), ids.append((i, short, lev))
                 n_held += len(x)
                 if n_held >= RUN:
@@ -211,7 +224,7 @@ def _possible(percent: int):
     return run
 
 
-def _sets(k: int, bits, size: int):
+def _sets(k: int, bits):
     """The sets of the classes that the filter names, once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +232,7 @@ def _sets(k: int, bits, size: int):
         for batch in batches:
             ids, sets, held = [], [], 0
             for _, x in shingle_sets(batch.column("text"), k):
-                if len(x) and (i := class_id(x)) not in seen and wanted[(b := i % size) >> 3] >> (b & 7) & 1:
+                if len(x) and (i := class_id(x)) not in seen and _inside(np.array([i]), wanted)[0]:
                     seen.add(i), ids.append(i), sets.append(x.tobytes())
                     held += len(x)
                 if held >= RUN:
@@ -259,16 +272,19 @@ def _probe(percent: int):
     return run
 
 
-def _filter_bits(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bitmap with the nodes' hashes, of 16 bits a node and FILTER_BITS at most, OR-ed together by Spark."""
-    size = min(FILTER_BITS, max(1 << 15, 1 << (16 * max(1, n) - 1).bit_length()))
-    at = F.pmod(F.col("class"), F.lit(size))
-    rows = nodes.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(1 << 15))).alias("bits")).collect()
+def _bitmap(hashes: DataFrame, column: str):
+    """A broadcast bitmap of the low bits of distinct hashes: about 16 bits for each, FILTER_BITS at most, OR-ed together by Spark.
+
+    More hashes than it has room for only make it less selective.
+    """
+    size = min(FILTER_BITS, max(1 << 15, 1 << (16 * max(1, hashes.count()) - 1).bit_length()))
+    at = F.pmod(F.col(column), F.lit(size))
+    rows = hashes.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(1 << 15))).alias("bits")).collect()
     out = np.zeros(size >> 3, np.uint8)
     for r in rows:
         page = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[r["page"] << 12 : (r["page"] << 12) + len(page)] = page
-    return out, size
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -295,19 +311,26 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
             pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("h").alias(f"h_{side}")), side)
         return stage(pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(_possible(percent), "a long, b long"), name)
 
-    runs = docs.mapInArrow(_runs(percent, k, heights, PARTS), "part int, grams binary, classes binary, levels binary")
-    merged = stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, a long, b long"), "merged")
-    short = possible(merged.where("list is null").select("a", "b").distinct(), "pairs")
-    lists = merged.where("list is not null").select("list", F.col("a").alias("class")).distinct()
+    def merged(name: str, **filters) -> DataFrame:
+        runs = docs.mapInArrow(_runs(percent, k, heights, PARTS, **filters), "part int, grams binary, classes binary, levels binary")
+        return stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, a long, b long"), name)
+
+    posted = merged("merged")
+    short = posted.where("list is null").select("a", "b")
+    long = posted.where("list is not null")
+    if not long.isEmpty():
+        # Lists that turned out long are skipped by their members, who post to their next shortest ones; only they can link through them.
+        posted = merged("merged-again", only=_bitmap(long.select("a").distinct(), "a"), long=_bitmap(long.select("list").distinct(), "list"))
+        short = short.unionByName(posted.where("list is null").select("a", "b"))
+    short = possible(short.distinct(), "pairs")
+    lists = posted.where("list is not null").select("list", F.col("a").alias("class")).distinct()
     shared = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
     lists = stage(lists.join(shared, "list", "left_semi").join(sizes.select("class", "n"), "class"), "lists")
     nodes = short.select(F.col("a").alias("class")).union(short.select("b")).union(lists.select("class"))
     nodes = stage(nodes.distinct(), "nodes")
-    n_nodes = nodes.count()
-    if not n_nodes:
+    if nodes.isEmpty():
         return members, spark.createDataFrame([], "class long, component_id long")
-    bits, width = _filter_bits(nodes, n_nodes)
-    sets = docs.mapInArrow(_sets(k, spark.sparkContext.broadcast(bits), width), "class long, grams binary")
+    sets = docs.mapInArrow(_sets(k, _bitmap(nodes, "class")), "class long, grams binary")
     sets = stage(sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -318,8 +341,14 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
         found = components(links, name).select(F.col("node").alias("class"), "root")
         return stage(nodes.join(found, "class", "left").select("class", F.coalesce("root", "class").alias("root")), f"{name}-roots")
 
-    tried, links = short, verified(short, "links")
+    # Each class meets one partner first; pairs that are then in one component need no probe.
+    links = verified(short.groupBy("b").agg(F.min("a").alias("a")), "first-links")
+    roots = rooted(links, "first-join")
+    for side in "ab":
+        short = short.join(roots.select(F.col("class").alias(side), F.col("root").alias(f"root_{side}")), side)
+    links = links.unionByName(verified(short.where("root_a <> root_b").select("a", "b"), "links"))
     roots = rooted(links, "join")
+    tried = short.select("a", "b")
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     for turn in range(STAR_ROUNDS + 1):
         left = lists.join(roots, "class")

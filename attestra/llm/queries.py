@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mil_quality, mixing, ngram_join, sharding, string_tiling
+from . import chat_snapshots, kernel_language, mil_quality, mixing, ngram_join, pivot_index, secrets, sharding, string_tiling, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(_table(spark, sf_dir, "pages"))
+
+
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_language.languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(_table(spark, sf_dir, "documents"))
 
@@ -27,9 +43,14 @@ def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.rendered(_table(spark, sf_dir, "conversations"))
+
+
 def op10_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_string_tiling, op6_interleaved_shards, op7_ngram_join, op8_mil_quality, op10_block_mixing)}
+_ALL = (op1_pivot_index, op2_url_rules, op3_string_tiling, op4_secret_owners, op5_kernel_language, op6_interleaved_shards, op7_ngram_join, op8_mil_quality, op9_chat_snapshots, op10_block_mixing)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}

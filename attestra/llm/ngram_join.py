@@ -413,11 +413,12 @@ def deduplicated(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     smallest doc_id of a component the one with the smallest hash.
     """
     placed = stage(_placed(docs, percent, k).where("class is not null"), "placed")
-    groups = placed.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    grouped = stage(placed.join(groups, placed["component_id"].eqNullSafe(groups["component_id"]), "left_semi"), "grouped")
+    groups = placed.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("component_id").alias("_group"))
+    grouped = stage(placed.join(groups, F.col("component_id").eqNullSafe(F.col("_group")), "left_semi"), "grouped")
     # Different components share a component_id only if a doc_id is repeated; their classes tell them apart then.
-    heads = grouped.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("text_hash").alias("head"))
-    apart = grouped.join(heads, grouped["component_id"].eqNullSafe(heads["component_id"]), "left").select(grouped["doc_id"], "text_hash", (grouped["doc_id"].eqNullSafe(grouped["component_id"]) & F.col("text_hash").eqNullSafe(F.col("head"))).alias("stays"))
+    heads = grouped.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("_group")).agg(F.min("text_hash").alias("head"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("head"))
+    apart = grouped.join(heads, F.col("component_id").eqNullSafe(F.col("_group")), "left").select("doc_id", "text_hash", stays.alias("stays"))
     apart = stage(apart.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("stays").alias("_stays"), F.count("*").alias("_m")), "decided")
     gone = apart.where("not _stays").select("_id", "_hash")
     out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["_hash"]), "left_anti")

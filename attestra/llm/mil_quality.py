@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     """Fit on about ``fit_rows`` of the labelled documents outside the held-out third, chosen by a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = sampled(known.withColumn("_all", F.lit(1)), F.col("_id"), "_all", fit_rows, SEED).drop("_all")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_q").toArrow().sort_by([("_id", "ascending"), ("_q", "ascending"), ("text", "ascending")])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_q").toArrow().sort_by([("_id", "ascending"), ("_q", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), np.array(rows.column("_q").to_pylist(), float))
 
 

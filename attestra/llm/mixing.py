@@ -195,9 +195,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     begin = m.streams.where("size > 0").withColumn("block", F.expr(f"first div {m.block_words}"))
     taken = begin.join(m.times(), ["source_no", "block"], "left").join(F.broadcast(m.sources.select("source_no", "name")), "source_no")
     taken = stage(taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("name").alias("_source")).agg(F.coalesce(F.sum("times"), F.lit(0)).cast("int").alias("_copies"), F.count("*").alias("_m")), "copies").where("_copies > 0")
-    names = docs.columns
-    match = docs["doc_id"].cast("long").eqNullSafe(taken["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(taken["_hash"]) & docs["source"].cast("string").eqNullSafe(taken["_source"])
-    out = docs.join(taken, match)
+    # The row travels as one column, apart from the names used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    match = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("_row.text").eqNullSafe(F.col("_hash")) & F.col("_row.source").cast("string").eqNullSafe(F.col("_source"))
+    out = rows.join(taken, match)
     if not taken.where("_m > 1").isEmpty():
         out = out.where("_m = 1").unionByName(out.where("_m > 1").dropDuplicates(["_id", "_hash", "_source"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in names])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

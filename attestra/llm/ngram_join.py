@@ -13,8 +13,8 @@ cluster:
 2. each class posts its id to its n-T+1 shortest lists. Tasks merge the sorted
    runs of their part of the lists and keep lists with two classes or more.
    Members of lists that turn out long post once more, to others instead;
-3. pairs from lists of up to SMALL classes whose sizes and shingle histograms
-   allow the overlap are probed in the long lists: sets are sorted, so each list
+3. pairs from lists of up to SMALL classes whose sizes and outlines (bitmaps
+   of the hashes) allow the overlap are probed in the long lists: sets are sorted, so each list
    of the query that is left is a binary search;
 4. longer lists meet representatives first. Lists whose classes are one component
    are done; the members of the others are compared with further representatives
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import components, stage
-from .words import mix, ranked_sets, shingle_sets
+from .words import CHUNK, buffers, mix, ranked_sets, shingle_sets
 
 #: Counters of the sketch of list lengths, and of that of word counts; their size does not depend on the data.
 SKETCH = 1 << 20
@@ -44,16 +44,19 @@ PARTS = 1 << 12
 RUN = 1 << 20
 #: Members of one long list that go to the same part.
 LIST_SPLIT = 1 << 16
-#: Rounds in which members of unsettled lists meet representatives before they meet each other.
-STAR_ROUNDS = 4
+#: Rounds in which members of unsettled lists meet further representatives before they meet each other.
+STAR_ROUNDS = 1
 #: Classes of a list up to which all its pairs are candidates at once, and mean length of the lists left over for which they are.
 SMALL, LEFT_OVER = 48, 128
-#: Counters of a set's histogram.
-HISTOGRAM = 128
+#: Bits of a set's outline, at least.
+OUTLINE = 1024
 REPRESENTATIVES = 2
+#: Classes of a list and level that meet in one task.
+BLOCK = 256
 
 
-PROFILE = ["doc_id", "text_hash", "n", "class", "histogram", "bucket", "hits"]
+UNIT = ["list", "level", "u", "v"]
+PROFILE = ["doc_id", "text_hash", "n", "class", "outline", "bucket", "hits"]
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -66,12 +69,11 @@ def class_id(x: np.ndarray) -> int:
     return int(mix(np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(x))]))[0] >> np.uint64(1))
 
 
-def histogram(x: np.ndarray) -> bytes:
-    """Shingles by seven bits of their hash, a byte each, rounded up to a power of two that the first byte names."""
-    c = np.bincount((x & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
-    shift = max(0, int(c.max()).bit_length() - 8)
-    shift += int((c.max() + (1 << shift) - 1) >> shift > 255)
-    return bytes([shift]) + ((c + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes()
+def outline(x: np.ndarray) -> bytes:
+    """A bitmap of the low bits of the hashes, two to four bits for each and at least OUTLINE; a half laid over the other is one of half the size."""
+    m = np.zeros(max(OUTLINE, 1 << (2 * len(x) - 1).bit_length()), bool)
+    m[(x & np.uint64(len(m) - 1)).astype(np.int64)] = True
+    return np.packbits(m, bitorder="little").tobytes()
 
 
 def level(n: int, percent: int) -> int:
@@ -79,6 +81,11 @@ def level(n: int, percent: int) -> int:
     return int(np.log(n) / -np.log(percent / 100) + 1e-9) if percent < 100 else n % 251
 
 
+def _level(n, percent: int):
+    """``level`` as a column."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(-np.log(percent / 100))) + 1e-9) if percent < 100 else F.pmod(n, F.lit(251))
+
+
 def _bucket(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(44)).astype(np.int64)
 
@@ -102,7 +109,7 @@ def _profile(percent: int, k: int):
             for t, x in shingle_sets(batch.column("text"), k, counted):
                 size[t] = len(x)
                 if len(x):
-                    ids[t], bars[t] = class_id(x), histogram(x)
+                    ids[t], bars[t] = class_id(x), outline(x)
                     held.append(x)
                     n_held += len(x)
                     if n_held >= RUN:
@@ -169,7 +176,10 @@ def _runs(percent: int, k: int, heights, parts: int, only=None, long=None):
 
 
 def _merge(heights):
-    """Merge the sorted runs of a task's parts: pairs (a, b) of near sizes from short lists, rows (list, a) of long or split ones."""
+    """Merge the sorted runs of a task's parts: pairs (a, b) of near sizes from short lists, rows (list, a) of long or split ones.
+
+    Of a long list the pairs of its smallest class with the others come as well.
+    """
     names = ["list", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +200,9 @@ def _merge(heights):
             own, at = np.unique(c[a : a + m], return_index=True)
             if apart or len(own) > SMALL:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g[a]).view(np.int64)), pa.array(own), pa.nulls(len(own), pa.int64())], names=names)
+                lev = v[a : a + m][at].astype(np.int64)
+                close = own[1:][np.abs(lev[1:] - lev[0]) <= 1]
+                pairs.append(np.stack([np.full(len(close), own[0]), close], 1))
                 continue
             if len(own) < 2 or (key := own.tobytes()) in done:  # one list is enough for the same members
                 continue
@@ -210,20 +223,70 @@ def _merge(heights):
 
 
 def _possible(percent: int):
-    """Keep the pairs whose sizes and histograms leave room for the overlap."""
+    """Keep the pairs whose sizes and outlines leave room for the overlap: each bit of one set alone is a shingle of it alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [b.column(c).to_numpy() for c in ("n_a", "n_b")]
-            bars = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM + 1).astype(np.int64) for c in ("h_a", "h_b")]
-            bars = [x[:, 1:] << x[:, :1] for x in bars]
             least = -(-percent * (n[0] + n[1]) // (100 + percent))
-            keep = (100 * np.minimum(*n) >= percent * np.maximum(*n)) & (np.minimum(*bars).sum(1) >= least)
+            keep = 100 * np.minimum(*n) >= percent * np.maximum(*n)
+            bits = [buffers(b.column(c)) for c in ("o_a", "o_b")]
+            size = [np.diff(offsets) for _, offsets in bits]
+            near = np.flatnonzero(keep)
+            for wide in {(int(size[0][i]), int(size[1][i])) for i in near}:
+                own = near[(size[0][near] == wide[0]) & (size[1][near] == wide[1])]
+                for at in np.array_split(own, max(1, len(own) * max(wide) // CHUNK)):
+                    x, y = (data[offsets[at][:, None] + np.arange(w)] for (data, offsets), w in zip(bits, wide, strict=True))
+                    while x.shape[1] > y.shape[1]:
+                        x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+                    while y.shape[1] > x.shape[1]:
+                        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+                    alone = [np.bitwise_count(u & ~v).sum(1, dtype=np.int64) for u, v in ((x, y), (y, x))]
+                    keep[at] = np.minimum(n[0][at] - alone[0], n[1][at] - alone[1]) >= least[at]
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def _meet(percent: int):
+    """Pairs of a unit's classes that are not in one component and whose sizes and outlines leave room for the overlap.
+
+    Of the lower level any two classes meet, of the upper one each with those of
+    the lower; of two blocks, classes of one with those of the other.
+    """
+
+    def unit(rows: list) -> np.ndarray:
+        ids, root, n, upper, block = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
+        width = min(len(r[5]) for r in rows)
+        bits = np.empty((len(rows), width >> 3), np.uint64)
+        for i, r in enumerate(rows):
+            bits[i] = np.bitwise_or.reduce(np.frombuffer(r[5], np.uint64).reshape(-1, width >> 3), 0)
+        out, two = [], block.any() and not block.all()
+        for i in np.flatnonzero(upper == 0):
+            ok = (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((upper == 1) | (ids > ids[i]))
+            if two:
+                ok &= block != block[i]
+            j = np.flatnonzero(ok)
+            alone = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
+            j = j[np.minimum(n[i] - alone[0], n[j] - alone[1]) >= -(-percent * (n[i] + n[j]) // (100 + percent))]
+            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+        return np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = None, []
+        for b in batches:
+            for *key, i, root, n, upper, block, bits in zip(*(b.column(c).to_pylist() for c in (*UNIT, "class", "root", "n", "upper", "block", "o")), strict=True):
+                if key != own:
+                    if len(rows) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in unit(rows)], names=["a", "b"])
+                    own, rows = key, []
+                rows.append((i, root, n, upper, block != key[2], bits))
+        if len(rows) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unit(rows)], names=["a", "b"])
+
+    return run
+
+
 def _sets(k: int, bits):
     """The sets of the classes that the filter names, once in each task."""
 
@@ -290,42 +353,48 @@ def _bitmap(hashes: DataFrame, column: str):
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(members, roots)``: each row's doc_id, shingle count and class; each linked class with its component's smallest doc_id.
 
-    ``members(doc_id, text_hash, n, class, histogram)`` has a row for each row of ``docs``; class is
+    ``members(doc_id, text_hash, n, class, outline)`` has a row for each row of ``docs``; class is
     null without words. ``roots(class, component_id)`` has the classes that are
     linked with another class; the others' component is the class itself.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    profile = stage(docs.mapInArrow(_profile(percent, k), "doc_id long, text_hash long, n long, class long, histogram binary, bucket int, hits long"), "profile")
-    members = profile.where("n is not null").select("doc_id", "text_hash", "n", "class", "histogram")
+    profile = stage(docs.mapInArrow(_profile(percent, k), "doc_id long, text_hash long, n long, class long, outline binary, bucket int, hits long"), "profile")
+    members = profile.where("n is not null").select("doc_id", "text_hash", "n", "class", "outline")
     counts = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toArrow()  # 2 * SKETCH rows at most
     tall = np.zeros(2 * SKETCH, np.int64)
     tall[counts.column("bucket").to_numpy()] = counts.column("hits").to_numpy()
     heights = spark.sparkContext.broadcast(tall)
 
-    sizes = members.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("h"))
+    sizes = members.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("outline").alias("o"))
     sizes = stage(sizes, "classes")
 
     def possible(pairs: DataFrame, name: str) -> DataFrame:
+        """Sizes first, so that outlines travel with near sizes only."""
         for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("h").alias(f"h_{side}")), side)
-        return stage(pairs.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(_possible(percent), "a long, b long"), name)
+            pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}")), side)
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        for side in "ba":
+            pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("o").alias(f"o_{side}")), side)
+        return stage(pairs.select("a", "b", "n_a", "n_b", "o_a", "o_b").mapInArrow(_possible(percent), "a long, b long"), name)
 
     def merged(name: str, **filters) -> DataFrame:
         runs = docs.mapInArrow(_runs(percent, k, heights, PARTS, **filters), "part int, grams binary, classes binary, levels binary")
         return stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, a long, b long"), name)
 
     posted = merged("merged")
-    short = posted.where("list is null").select("a", "b")
-    long = posted.where("list is not null")
+    pair = F.col("list").isNull()
+    short, long = posted.where(pair).select("a", "b"), posted.where(~pair)
     if not long.isEmpty():
         # Lists that turned out long are skipped by their members, who post to their next shortest ones; only they can link through them.
         posted = merged("merged-again", only=_bitmap(long.select("a").distinct(), "a"), long=_bitmap(long.select("list").distinct(), "list"))
-        short = short.unionByName(posted.where("list is null").select("a", "b"))
+        short = short.unionByName(posted.where(pair).select("a", "b"))
     short = possible(short.distinct(), "pairs")
     lists = posted.where("list is not null").select("list", F.col("a").alias("class")).distinct()
-    shared = lists.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
-    lists = stage(lists.join(shared, "list", "left_semi").join(sizes.select("class", "n"), "class"), "lists")
+    # Lists with the same smallest class are one from here on: shingles of one passage have the same members over and over.
+    shared = lists.groupBy("list").agg(F.count("*").alias("m"), F.min("class").alias("head")).where("m > 1").select("list", "head")
+    lists = lists.join(shared, "list").select(F.col("head").alias("list"), "class").distinct()
+    lists = stage(lists.join(sizes.select("class", "n"), "class"), "lists")
     nodes = short.select(F.col("a").alias("class")).union(short.select("b")).union(lists.select("class"))
     nodes = stage(nodes.distinct(), "nodes")
     if nodes.isEmpty():
@@ -344,37 +413,46 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
     # Each class meets one partner first; pairs that are then in one component need no probe.
     links = verified(short.groupBy("b").agg(F.min("a").alias("a")), "first-links")
     roots = rooted(links, "first-join")
+    todo = short
     for side in "ab":
-        short = short.join(roots.select(F.col("class").alias(side), F.col("root").alias(f"root_{side}")), side)
-    links = links.unionByName(verified(short.where("root_a <> root_b").select("a", "b"), "links"))
-    roots = rooted(links, "join")
-    tried = short.select("a", "b")
+        todo = todo.join(roots.select(F.col("class").alias(side), F.col("root").alias(f"root_{side}")), side)
+    todo = todo.where("root_a <> root_b").select("a", "b")
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     for turn in range(STAR_ROUNDS + 1):
         left = lists.join(roots, "class")
         mixed = left.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        # What is settled stays settled: each round has fewer lists.
         left = stage(left.join(mixed.select("list", "m"), "list"), f"left-{turn}")
+        lists = left.select("list", "class", "n")
         rows, squares = left.agg(F.count("*"), F.sum("m")).first()
-        if not rows:
-            break
-        last = turn == STAR_ROUNDS or squares <= LEFT_OVER * rows
-        other = left.select("list", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-        if last:
-            heads = left.select("list", F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-            pairs = heads.join(other, "list").where("root_a <> root_b and a < b")
-        else:
-            drawn = [F.min(F.struct(F.xxhash64("class", F.lit(turn * REPRESENTATIVES + r)).alias("h"), "class", "root", "n")).alias(f"r{r}") for r in range(REPRESENTATIVES)]
-            heads = left.groupBy("list").agg(*drawn).select("list", F.explode(F.array(*[f"r{r}" for r in range(REPRESENTATIVES)])).alias("r"))
-            heads = heads.select("list", F.col("r.class").alias("a"), F.col("r.root").alias("root_a"), F.col("r.n").alias("n_a")).distinct()
-            pairs = heads.join(other, "list").where("root_a <> root_b")
-        pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = possible(pairs, f"pairs-{turn}")
-        new = verified(pairs, f"links-{turn}")
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
+        last = not rows or turn == STAR_ROUNDS or squares <= LEFT_OVER * rows
+        if rows:
+            if last:
+                # Sets that can link are on one level or on neighbouring ones; blocks of a list and level meet two by two.
+                level = _level(F.col("n"), percent)
+                rows = left.withColumn("e", F.explode(F.array(F.struct(level.alias("level"), F.lit(0).alias("upper")), F.struct((level - 1).alias("level"), F.lit(1).alias("upper"))))).select("list", "class", "root", "n", "e.*")
+                groups = rows.groupBy("list", "level").agg(F.count("*").alias("m"), F.min("upper").alias("lowest")).where("m > 1 and lowest = 0")
+                rows = rows.join(groups, ["list", "level"]).withColumn("blocks", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+                others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("u"), F.greatest("block", j).alias("v")))
+                units = rows.withColumn("unit", F.explode(others)).select("list", "level", "unit.u", "unit.v", "class", "root", "n", "upper", "block")
+                units = units.join(sizes.select("class", "o"), "class").repartition(*UNIT).sortWithinPartitions(*UNIT, "class")
+                pairs = units.mapInArrow(_meet(percent), "a long, b long")
+            else:
+                other = left.select("list", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+                drawn = [F.min(F.struct(F.xxhash64("class", F.lit(turn * REPRESENTATIVES + r)).alias("h"), "class", "root", "n")).alias(f"r{r}") for r in range(REPRESENTATIVES)]
+                heads = left.groupBy("list").agg(*drawn).select("list", F.explode(F.array(*[f"r{r}" for r in range(REPRESENTATIVES)])).alias("r"))
+                heads = heads.select("list", F.col("r.class").alias("a"), F.col("r.root").alias("root_a"), F.col("r.n").alias("n_a")).distinct()
+                pairs = heads.join(other, "list").where("root_a <> root_b").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.distinct().join(short, ["a", "b"], "left_anti")
+            pairs = stage(pairs, f"pairs-{turn}") if last else possible(pairs, f"pairs-{turn}")
+            todo, short = todo.unionByName(pairs), short.unionByName(pairs)
+        new = verified(todo, f"links-{turn}")
         if not new.isEmpty():
+            links = links.unionByName(new)
             roots = rooted(links, f"join-{turn}")
         if last:
             break
+        todo = short.limit(0)
     reach = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     linked = roots.join(reach, "class")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).where("size > 1")

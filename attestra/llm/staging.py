@@ -87,34 +87,28 @@ def ordered(df: DataFrame, order: list[Column], name: str, measure: Column | Non
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows ``(node, root)``, root being the smallest node reached.
-
-    Min-label hooking with pointer jumping: each round takes the smallest label
-    among neighbours, hooks roots onto it and halves the paths, so the rounds
-    grow with the logarithm of a component's diameter. Every round is one
-    written table; nothing but a row count and a sum reaches the driver.
+    """Connected components of ``edges(a, b)``: rows ``(node, root)``, root being the smallest node reached; roots have no row.
+
+    Large-star and small-star rounds (Kiveris and others, 2014): every larger
+    neighbour of a node moves to the smallest node around it, then every smaller
+    one does, until each node has one parent that has none. Smallest neighbours
+    are combined before they are shuffled and written, so that the join that
+    follows reads two plain tables and a hub's edges can be split. Nothing but
+    the news of the end reaches the driver.
     """
-    edges = stage(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-0")
-    digest = [F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))]
-    seen = labels.agg(*digest).first()
-    for k in range(1, rounds + 1):
-        if not seen[0]:
-            break
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        hook = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("m"))
-        moves = hook.select("node", F.col("m").alias("root")).unionByName(hook.select(F.col("root").alias("node"), F.col("m").alias("root")))
-        hooked = moves.groupBy("node").agg(F.min("root").alias("root"))
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = stage(hooked.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-{k}")
-        now = labels.agg(*digest).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+    a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = stage(edges.where("a <> b").select(a, b).distinct(), f"{name}-edges")
+    for k in range(rounds):
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), f"{name}-large-{k}")
+        large = stage(edges.join(least, edges["b"] == least["node"]).select("a", F.col("m").alias("b")).distinct(), f"{name}-larger-{k}")
+        least = stage(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), f"{name}-small-{k}")
+        small = large.join(least, large["a"] == least["node"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = stage(small.distinct(), f"{name}-smaller-{k}")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def sampled(df: DataFrame, key: Column, strata: str, most: int, seed: int) -> DataFrame:

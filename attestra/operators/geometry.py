@@ -69,6 +69,6 @@ def apply(m: Column, point: Column) -> Column:
 
 
 def page_box(m: Column, box: Column) -> Column:
-    """A box of the processed page on the original one, to a tenth."""
+    """A box of the processed page on the original one, to a tenth. ``m`` should be a plain column, as it is named many times."""
     back = invert(m)
     return F.transform(box, lambda p: F.transform(apply(back, p), lambda v: F.bround(v, 1)))

@@ -350,6 +350,16 @@ def _bitmap(hashes: DataFrame, column: str):
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
+def _holding(bits, holds: bool):
+    """Rows whose ``_key`` the bitmap may hold, or those whose it does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_inside(b.column("_key").to_numpy(), bits.value) == holds))
+
+    return run
+
+
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(members, roots)``: each row's doc_id, shingle count and class; each linked class with its component's smallest doc_id.
 
@@ -499,7 +509,16 @@ def deduplicated(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     apart = grouped.join(heads, F.col("component_id").eqNullSafe(F.col("_group")), "left").select("doc_id", "text_hash", stays.alias("stays"))
     apart = stage(apart.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("stays").alias("_stays"), F.count("*").alias("_m")), "decided")
     gone = apart.where("not _stays").select("_id", "_hash")
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["_hash"]), "left_anti")
+    gone = stage(gone, "gone")
+    if gone.isEmpty():
+        return docs
+    # A row that the bitmap doesn't hold stays; only the others are shuffled to be compared. The row travels as one column.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.xxhash64("text").alias("_own_hash"))
+    rows = rows.withColumn("_key", F.xxhash64("_own_id", "_own_hash"))
+    bits = _bitmap(gone.select(F.xxhash64("_id", "_hash").alias("key")), "key")
+    stays, maybe = (rows.mapInArrow(_holding(bits, holds), rows.schema) for holds in (False, True))
+    kept = maybe.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_hash").eqNullSafe(F.col("_hash")), "left_anti")
+    out = stays.unionByName(kept).select("_row.*")
     twice = apart.where("_stays and _m > 1").select("_id", "_hash")
     if twice.isEmpty():
         return out

@@ -14,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: sets and texts are wide.
+BATCH_ROWS = 1000
 _LOW33 = (1 << 33) - 1
 
 
@@ -30,10 +33,15 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written."""
+    """Write ``df`` to the shared folder and return the table that was written. Python workers get it by small batches meanwhile."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/attestra-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

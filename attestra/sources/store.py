@@ -75,7 +75,7 @@ def file_presence(folders: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """Metadata files with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "claim_meta.json").text(root).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="claim_meta.json").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
     part = F.split("path", "/")
     return with_defaults(raw.select(F.element_at(part, -3).alias("month"), F.element_at(part, -2).alias("name"), "m.*"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import sampled
-from .words import BLANKS, buffers, slices, windows, words
+from .words import BLANKS, buffers, slices, tidy, windows, words
 
 #: Labelled documents that a model is fitted on, at most about so many.
 FIT_ROWS = 3000
@@ -154,7 +154,7 @@ def _scorer(model) -> Callable:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_scores(model.value, b.column(2)))], names=["doc_id", "held_out", "score"])
 
-    return run
+    return tidy(run)
 
 
 def _keeper(model, least: float, at: int) -> Callable:
@@ -162,7 +162,7 @@ def _keeper(model, least: float, at: int) -> Callable:
         for b in batches:
             yield b.filter(pa.array(_scores(model.value, b.column(at)) >= least))
 
-    return run
+    return tidy(run)
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import components, stage
-from .words import CHUNK, buffers, mix, ranked_sets, shingle_sets
+from .words import CHUNK, buffers, mix, ranked_sets, shingle_sets, tidy
 
 #: Counters of the sketch of list lengths, and of that of word counts; their size does not depend on the data.
 SKETCH = 1 << 20
@@ -121,7 +121,7 @@ def _profile(percent: int, k: int):
         tall = np.flatnonzero(counts > np.where(np.arange(2 * SKETCH) < SKETCH, mean + 4 * np.sqrt(mean) + 3, 2 * counts[SKETCH:].mean() + 2))
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(tall), pa.int64())] * 4, pa.nulls(len(tall), pa.binary()), pa.array(tall.astype(np.int32)), pa.array(counts[tall])], names=PROFILE)
 
-    return run
+    return tidy(run)
 
 
 def _inside(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def _runs(percent: int, k: int, heights, parts: int, only=None, long=None):
         if (last := flush()) is not None:
             yield last
 
-    return run
+    return tidy(run)
 
 
 def _merge(heights):
@@ -219,7 +219,7 @@ def _merge(heights):
                 p = pairs[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=names)
 
-    return run
+    return tidy(run)
 
 
 def _possible(percent: int):
@@ -245,7 +245,7 @@ def _possible(percent: int):
                     keep[at] = np.minimum(n[0][at] - alone[0], n[1][at] - alone[1]) >= least[at]
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def _meet(percent: int):
@@ -284,7 +284,7 @@ def _meet(percent: int):
         if len(rows) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in unit(rows)], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def _sets(k: int, bits):
@@ -303,7 +303,7 @@ def _sets(k: int, bits):
                     ids, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class", "grams"])
 
-    return run
+    return tidy(run)
 
 
 def _probe(percent: int):
@@ -332,7 +332,7 @@ def _probe(percent: int):
             keep = [links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(xs, ys, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def _bitmap(hashes: DataFrame, column: str):
@@ -357,7 +357,7 @@ def _holding(bits, holds: bool):
         for b in batches:
             yield b.filter(pa.array(_inside(b.column("_key").to_numpy(), bits.value) == holds))
 
-    return run
+    return tidy(run)
 
 
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_ALNUM, buffers, slices, windows, words
+from .words import NOT_ALNUM, buffers, slices, tidy, windows, words
 
 #: Words of the shortest tile, and the share of an item's words that taints.
 LEAST, COVERAGE = 5, 0.5
@@ -119,7 +119,7 @@ def _finder(items, coverage: float) -> Callable:
             cols = [b.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([ids[x[1]] for x in found], pa.int64()), *(pa.array([x[c] for x in found], pa.int32()) for c in (2, 3, 4)), pa.array([x[3] / x[4] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage"])
 
-    return run
+    return tidy(run)
 
 
 def _cleaner(items, coverage: float, at: int) -> Callable:
@@ -129,7 +129,7 @@ def _cleaner(items, coverage: float, at: int) -> Callable:
             keep[[t for t, _, _, m, of in items.value.matches(b.column(at)) if m >= coverage * of]] = False
             yield b.filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import MATCHING, MatchingRules
+from .text import any_of
 
 
 def date_forms(day: Column, rules: MatchingRules = MATCHING) -> Column:
@@ -24,6 +27,44 @@ def date_forms(day: Column, rules: MatchingRules = MATCHING) -> Column:
     return F.when(day.isNotNull(), F.struct(F.array_distinct(F.concat(numeric, year_first, dashed)).alias("single"), F.array_distinct(several).alias("several")))
 
 
+def read_form(core: Column, rules: MatchingRules = MATCHING) -> Column:
+    """What a printed form says: struct of ``code`` (month, day and last two digits of the year, as one number) and ``full`` (the whole year, if printed); null for what is no form of a date.
+
+    The inverse of ``date_forms``: a lower-case core, or three joined by blanks,
+    is a form of a day if and only if ``code`` is the day's and ``full`` is null or its year.
+    """
+    day, month, year = "(0?[1-9]|[12][0-9]|3[01])", "(0?[1-9]|1[0-2])", "([0-9]{4}|[0-9]{2})"
+    names = f"({any_of([n for month in rules.months for n in month])})"
+    number = F.create_map(*[F.lit(x) for i, month in enumerate(rules.months) for n in month for x in (n, i + 1)])
+    separators = "|".join(re.escape(s) for s in rules.date_separators)
+    two = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])"
+    # Pattern, and which of its groups are day, month and year.
+    ways = [
+        (f"^{day}({separators}){month}\\2{year}$", 1, 3, 4),
+        (f"^([0-9]{{4}})([-/]){two[1]}\\2{two[0]}$", 4, 3, 1),
+        (f"^{day}-{names}-{year}$", 1, 2, 3),
+        (f"^{day} {names} {year}$", 1, 2, 3),
+        (f"^{names} {day} {year}$", 2, 1, 3),
+    ]
+
+    def said(pattern: str, d: int, m: int, y: int) -> Column:
+        part = lambda i: F.regexp_extract(core, pattern, i)
+        name = F.try_element_at(number, part(m)) if names in pattern else part(m).cast("int")
+        code = (name * 100 + part(d).cast("int")) * 100 + F.right(part(y), F.lit(2)).cast("int")
+        return F.struct(code.alias("code"), F.when(F.length(part(y)) == 4, part(y).cast("int")).alias("full"))
+
+    out = None
+    for way in ways:
+        is_so = core.rlike(way[0])
+        out = F.when(is_so, said(*way)) if out is None else out.when(is_so, said(*way))
+    return F.when(core.rlike("[0-9]{2}$|[0-9]{2}-[0-9]{2}$"), out)
+
+
+def date_code(day: Column) -> Column:
+    """The ``code`` that every printed form of a day says."""
+    return (F.month(day) * 100 + F.dayofmonth(day)) * 100 + F.year(day) % 100
+
+
 def field_date(text: Column) -> Column:
     """A date of a labelled field: year-month-day or day, month, year with ``/``, ``-`` or ``.``; four-digit years only."""
     iso = F.regexp_extract_all(text, F.lit(r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$"), F.lit(0))

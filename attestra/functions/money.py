@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import MATCHING, MatchingRules
-from .text import any_of
+from .text import any_of, let
 
 
 def amount_forms(value: Column, rules: MatchingRules = MATCHING) -> Column:
@@ -26,17 +28,17 @@ def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
     """Struct of ``core`` and ``attached``: the token without what printers put around an amount; whether a currency or no-cents mark was among it."""
     words = any_of(rules.currency_lower)
     front, back = rf"(?i)^(?:{words})(?=[0-9])", rf"(?i)(?<=[0-9])(?:{words})$"
-    t = F.regexp_replace(token, f"^[{rules.prefix_marks}]+", "")
-    t = F.regexp_replace(t, "[.,;:]+$", "")
-    attached = F.lit(False)
-    for end in rules.no_cents:
-        has = t.endswith(end)
-        t, attached = F.when(has, t.substr(F.lit(1), F.length(t) - len(end))).otherwise(t), attached | has
-    for pattern in (front, back):
-        attached, t = attached | t.rlike(pattern), F.regexp_replace(t, pattern, "")
-    t = F.regexp_replace(t, f"(?<=[0-9])[{rules.tax_letters}]$", "")
-    digit = token.rlike("[0-9]")
-    return F.struct(F.when(digit, t).otherwise(token).alias("core"), (digit & attached).alias("attached"))
+    marks = [re.escape(end) + "$" for end in rules.no_cents] + [front, back]
+    bare = F.regexp_replace(F.regexp_replace(token, f"^[{rules.prefix_marks}]+", ""), "[.,;:]+$", "")
+
+    def without(t: Column) -> Column:
+        less = t
+        for mark in marks:
+            less = F.regexp_replace(less, mark, "")
+        core = lambda c: F.regexp_replace(c, f"(?<=[0-9])[{rules.tax_letters}]$", "")
+        return let(less, lambda c: F.struct(core(c).alias("core"), (F.length(c) < F.length(t)).alias("attached")))
+
+    return F.when(token.rlike("[0-9]"), let(bare, without)).otherwise(F.struct(token.alias("core"), F.lit(False).alias("attached")))
 
 
 def is_currency(token: Column, rules: MatchingRules = MATCHING) -> Column:

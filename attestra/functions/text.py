@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from ..rules import MATCHING, MatchingRules
 TOKEN = "array<struct<text:string,segments:array<int>>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(words) -> str:
     """A regular expression for one of the words, the longest first."""
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
@@ -38,7 +44,9 @@ def joined_tokens(segments: Column, rules: MatchingRules = MATCHING) -> Column:
 
     def step(acc: Column, i: Column) -> Column:
         seg = F.get(segments, i)
-        own = F.transform(split_words(seg["text"]), lambda t: F.struct(t.alias("text"), F.array(i).alias("segments")))
+        return let(F.transform(split_words(seg["text"]), lambda t: F.struct(t.alias("text"), F.array(i).alias("segments"))), lambda own: added(acc, i, seg, own))
+
+    def added(acc: Column, i: Column, seg: Column, own: Column) -> Column:
         glue = (i > 0) & is_tail(F.get(segments, i - 1), seg, rules.tail_gap) & ~F.get(segments, i - 1)["text"].rlike(r"(?U)\s$") & ~seg["text"].rlike(r"(?U)^\s") & (F.size(acc) > 0) & (F.size(own) > 0)
         last, head = F.element_at(acc, -1), F.get(own, F.lit(0))
         merged = F.struct(F.concat(last["text"], head["text"]).alias("text"), F.array_distinct(F.concat(last["segments"], head["segments"])).alias("segments"))

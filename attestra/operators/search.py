@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_forms
+from ..functions.dates import date_code, read_form
 from ..functions.money import amount_core, amount_forms, is_currency
 from ..functions.pins import normalise_pin, pin_forms, pin_shape, token_forms
-from ..functions.text import joined_tokens, plain_tokens, text_core
+from ..functions.text import joined_tokens, let, plain_tokens, text_core
 from ..rules import MATCHING, MatchingRules
 
 KEYS = ("date", "amount", "pin")
@@ -42,10 +42,10 @@ def amount_cores(pages: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame
     texts = F.col("amounts.text")
 
     def one(t: Column, i: Column) -> Column:
-        c = amount_core(t["text"], rules)
-        return F.struct(i.alias("token"), c["core"].alias("core"), (c["attached"] | _context(texts, i, rules)).alias("bare"), t["segments"].alias("segments"))
+        with_core = lambda c: F.struct(i.alias("token"), c["core"].alias("core"), (c["attached"] | _context(texts, i, rules)).alias("bare"), t["segments"].alias("segments"))
+        return F.when(t["text"].rlike("[0-9]"), let(amount_core(t["text"], rules), with_core))
 
-    cores = F.filter(F.transform("amounts", one), lambda c: c["core"].rlike("[0-9]"))
+    cores = F.filter(F.transform("amounts", one), lambda c: c.isNotNull() & c["core"].rlike("[0-9]"))
     return pages.select("doc_id", "page", "row", F.explode(cores).alias("c")).select("doc_id", "page", "row", "c.*")
 
 
@@ -80,21 +80,20 @@ def amount_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATC
 
 
 def date_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    forms = date_forms(F.col("date"), rules)
-    wanted = claims.where("date is not null")
-    single = _forms(wanted, F.explode(forms["single"]).alias("core"))
-    several = _forms(wanted, F.explode(forms["several"]).alias("core"))
+    """Tokens are read as dates and joined with claims by day: a claim is one row of the exchange, and of a page's tokens only dates are."""
+    wanted = _forms(claims.where("date is not null"), date_code(F.col("date")).alias("code"), F.year("date").alias("year"))
     cores = F.transform("plain", lambda t: F.struct(text_core(t["text"]).alias("core"), t["segments"].alias("segments")))
     rows = pages.select("doc_id", "page", "row", cores.alias("cores"))
     # A time may follow without a blank: every beginning that a time follows is a core of its own.
     starts = lambda c: F.filter(F.transform(F.sequence(F.lit(6), F.length(c) - 4), lambda n: F.when(c.substr(n + 1, F.length(c)).rlike(r"^[0-9]{1,3}:[0-9]{2}"), c.substr(F.lit(1), n))), lambda x: x.isNotNull())
     fused = lambda t: F.when(t["core"].contains(":") & (F.length(t["core"]) >= 10), F.concat(F.array(t["core"]), starts(t["core"]))).otherwise(F.array(t["core"]))
     one = rows.select("doc_id", "page", "row", F.explode(F.filter("cores", lambda t: t["core"].rlike("[0-9]"))).alias("t"))
-    one = one.select("doc_id", "page", "row", F.explode(fused(F.col("t"))).alias("core"), F.col("t.segments").alias("segments"))
+    one = one.select("doc_id", "page", "row", F.explode(fused(F.col("t"))).alias("core"), F.col("t.segments").alias("segments")).where("core not like '% %'")
     plain = F.transform("cores", lambda t: F.struct(F.btrim(t["core"], F.lit(",")).alias("core"), t["segments"].alias("segments")))
     three = lambda x, i: F.struct(F.concat_ws(" ", x["core"], F.get("p", i + 1)["core"], F.get("p", i + 2)["core"]).alias("core"), F.array_sort(F.array_distinct(F.concat(x["segments"], F.get("p", i + 1)["segments"], F.get("p", i + 2)["segments"]))).alias("segments"))
-    grams = rows.withColumn("p", plain).where("size(p) >= 3").select("doc_id", "page", "row", F.explode(F.slice(F.transform("p", three), F.lit(1), F.size("p") - 2)).alias("t")).select("doc_id", "page", "row", "t.*")
-    found = one.join(single, ["doc_id", "core"]).unionByName(grams.join(several, ["doc_id", "core"]))
+    grams = rows.where("size(cores) >= 3").withColumn("p", plain).select("doc_id", "page", "row", F.explode(F.slice(F.transform("p", three), F.lit(1), F.size("p") - 2)).alias("t")).select("doc_id", "page", "row", "t.*").where("core like '% % %'")
+    said = one.unionByName(grams).withColumn("d", read_form(F.col("core"), rules)).where("d is not null")
+    found = said.select("doc_id", "page", "row", "segments", "d.code", "d.full").join(wanted, ["doc_id", "code"]).where("full is null or full = year")
     return found.select("claim_id", "doc_id", "page", "row", F.lit("date").alias("key"), F.lit("exact").alias("strength"), "segments").distinct()
 
 
@@ -102,7 +101,9 @@ def pin_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHIN
     """Each token's strongest find: exact, or corrected by shape or by one look-alike."""
     wanted = claims.where("pin is not null").select("claim_id", "doc_id", normalise_pin(F.col("pin")).alias("pin")).where("pin <> ''")
     wanted = wanted.select("claim_id", "doc_id", "pin", pin_shape(F.col("pin"), rules).alias("shape"), F.explode(pin_forms(F.col("pin"), rules)).alias("f")).select("claim_id", "doc_id", "pin", "shape", "f.norm", "f.at", F.col("f.raw").alias("shown"))
-    tokens = pages.select("doc_id", "page", "row", F.posexplode("plain").alias("token", "t")).select("doc_id", "page", "row", "token", F.col("t.segments").alias("segments"), F.explode(token_forms(text_core(F.col("t.text")), rules)).alias("c"))
+    tokens = pages.select("doc_id", "page", "row", F.posexplode("plain").alias("token", "t")).select("doc_id", "page", "row", "token", F.col("t.segments").alias("segments"), text_core(F.col("t.text")).alias("core"))
+    # The core is a column of its own, as its forms name it many times.
+    tokens = tokens.select("doc_id", "page", "row", "token", "segments", F.explode(token_forms(F.col("core"), rules)).alias("c"))
     tokens = tokens.select("doc_id", "page", "row", "token", "segments", "c.raw", "c.norm", "c.shape")
     found = tokens.join(wanted, ["doc_id", "norm", "shape"]).where(F.col("shown").isNull() | (F.expr("substr(raw, at, 1)") == F.col("shown")))
     found = found.groupBy("claim_id", "doc_id", "page", "row", "token", "segments").agg(F.bool_or(F.col("raw") == F.col("pin")).alias("same"))

@@ -196,3 +196,30 @@ def test_arrivals(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert seen[-1] == ["PASS"] and seen[0] == ["REVIEW"]
+
+
+def test_every_printed_form_is_read_back(spark):
+    from attestra.functions.dates import date_code, date_forms, read_form
+
+    days = spark.sql("select explode(sequence(date'1999-11-28', date'2000-03-03')) as day")
+    f = date_forms(F.col("day"))
+    forms = days.select("day", F.explode(F.concat(f["single"], f["several"])).alias("form")).withColumn("d", read_form(F.col("form")))
+    wrong = forms.where(F.col("d").isNull() | (F.col("d.code") != date_code(F.col("day"))) | F.coalesce(F.col("d.full") != F.year("day"), F.lit(False)))
+    assert wrong.collect() == []
+    others = ["03/08-2026", "32/08/2026", "03/13/2026", "2026-8-3", "03/08/026", "003/08/2026", "3-foo-2026", "3 aug", ""]
+    assert spark.createDataFrame([(x,) for x in others], "t string").where(read_form(F.col("t")).isNotNull()).collect() == []
+
+
+def test_pages_longer_than_a_batch_stay_whole(spark):
+    """Batches of five words: pages go over their ends, and one has a word without a box."""
+    word = lambda d, o: (d, 1, o, f"w{o}", [[x, y] for x in (o % 4 * 50.0, o % 4 * 50.0 + 40) for y in (o // 4 * 40.0, o // 4 * 40.0 + 10)])
+    data = [word(d, o) for d in ("a", "b", None) for o in range(14)] + [("bad", 1, 0, "x", [])]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        out = rows.grouped(spark.createDataFrame(data, "doc_id string, page int, ord int, text string, box array<array<double>>")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for d in ("a", "b", None):
+        assert [r.text for r in sorted((r for r in out if r.doc_id == d), key=lambda r: r.row)] == ["w0 w1 w2 w3", "w4 w5 w6 w7", "w8 w9 w10 w11", "w12 w13"]
+    assert [(r.row, r.segments, "segment 1" in r.error) for r in out if r.doc_id == "bad"] == [(None, None, True)]

@@ -104,6 +104,15 @@ def test_dedup_of_odd_texts(odd):
     assert [i for i, _ in got] == [-1, 1, 4, 5, 6, 7, 8, 10, 11]
 
 
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    """Unlinked texts under a null or a repeated doc_id all stay, and so does a second component of the same smallest doc_id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c + " end"), (3, d), (None, d + " end"), (4, e), (4, e), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.text) for r in ngram_join.deduplicated(docs).collect())
+    assert got == sorted([(-1, a), (-1, b), (1, c), (1, d), (4, e), (-1, "")])
+
+
 def test_join_in_a_large_group(spark):
     """Near copies by the hundred that share all but a few words, in one chain of classes, and a common passage."""
     base = [f"b{i}" for i in range(60)]

@@ -185,15 +185,19 @@ def packed(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Whole rows of ``docs``, each as often as the mixture takes the block in which its text begins; all columns stay.
-
-    The words of a source then come near its target, as its blocks do. Rows
-    without a word have no block and go. Rows of the same doc_id, source and text
-    are taken as one that comes as often as all of them would.
+    """Whole rows of ``docs``, so often that the words of each source come to its target; all columns stay.
+
+    A source whose target is r times its words gives each row floor(r) times, and
+    once more the rows that lie, by their middle, in the first r - floor(r) of its
+    stream, which is in a seeded order. So each source is off its target by half of
+    the one row at the cut at most. Rows without a word are not in the stream and
+    go. Rows of the same doc_id, source and text are taken as one that comes as
+    often as all of them would.
     """
     m = Mix(docs, **options)
-    begin = m.streams.where("size > 0").withColumn("block", F.expr(f"first div {m.block_words}"))
-    taken = begin.join(m.times(), ["source_no", "block"], "left").join(F.broadcast(m.sources.select("source_no", "name")), "source_no")
+    ratio = F.col("target") / F.col("source_size")
+    extra = (2 * F.col("first") + F.col("size") <= 2 * (F.col("target") - F.floor(ratio) * F.col("source_size"))).cast("int")
+    taken = m.streams.where("size > 0").withColumn("times", F.floor(ratio) + extra).join(F.broadcast(m.sources.select("source_no", "name")), "source_no")
     taken = stage(taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("name").alias("_source")).agg(F.coalesce(F.sum("times"), F.lit(0)).cast("int").alias("_copies"), F.count("*").alias("_m")), "copies").where("_copies > 0")
     # The row travels as one column, apart from the names used here.
     rows = docs.select(F.struct(*docs.columns).alias("_row"))

@@ -245,6 +245,23 @@ def test_packed_blocks(spark):
     assert all(w.startswith(r.source) for r in out for w in r.words)
 
 
+def test_mixed_documents_come_near_their_targets(spark):
+    """A source is off its target by half of its longest document at most, also where one document holds most of its words."""
+    size = {i: 4000 if i % 20 == 7 else 20 + i for i in range(100)}
+    rows = [(i, " ".join(f"w{j}" for j in range(n)), f"s{i % 5}") for i, n in size.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    longest, words = {}, {}
+    for i, _, s in rows:
+        longest[s], words[s] = max(longest.get(s, 0), size[i]), words.get(s, 0) + size[i]
+    target = dict(zip(sorted(words), brute.shares([words[s] for s in sorted(words)], [1, 2, 3, 1, 2]), strict=True))
+    for seed in range(3):
+        taken, copies = dict.fromkeys(words, 0), {}
+        for r in mixing.mixed_documents(docs, seed=seed).collect():
+            taken[r.source] += size[r.doc_id]
+            copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in words) and max(copies.values()) <= 3
+
+
 def test_stages_of_odd_rows(spark, odd, labels, benchmark, tmp_path):
     """Every stage runs over what the one before kept, and over nothing."""
     labels.write.parquet(f"{tmp_path}/labels.parquet"), benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")

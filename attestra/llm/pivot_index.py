@@ -5,9 +5,18 @@ vectors see the same pivots, so each vector is posted to the inverted lists of
 the pairs among its nearest pivots; two vectors meet where they share two or
 more. Those that share enough are verified by their cosine in double precision.
 
-Equal vectors are one class before anything is posted. A long list is cut into
-blocks and every two of its blocks meet in a task of their own, so no list is
-ever held in one place.
+Only vectors of one label and length are compared, so each such group has
+pivots of its own, drawn from its members: about four times the square root of
+their number, so that lists stay short as a group grows. Vectors and pivots are
+seen from the pivots' mean: in a group whose vectors all lie close together the
+directions from there still differ. How close they lie tells how many pivots
+describe a vector; where even links could not be told from chance, the group is
+one list and every two of its vectors are compared.
+
+Equal vectors are one class before anything is posted. Groups are dealt out by
+chunks, each with a copy of the pivots. A long list is cut into blocks and every
+two of its blocks meet in a task of their own, so no list is ever held in one
+place.
 """
 
 from __future__ import annotations
@@ -17,95 +26,170 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import components, stage
-
-#: Pivots (from a bounded sample of the vectors), nearest ones that describe a vector, of which two vectors must share two.
-PIVOTS, NEAREST = 256, 6
-#: Vectors that pivots are chosen from, for each pivot; pivots are less similar to each other than this.
-CANDIDATES, APART = 4, 0.6
-#: Vectors of a list that meet in one task.
-BLOCK = 1024
-#: Rows of a task whose lists are worked on together.
+from .words import tidy
+
+#: Pivots of a group, at least and at most; between them PER_ROOT for each square root of its vectors, rounded up to a power of two.
+FEWEST, MOST, PER_ROOT = 32, 4096, 4
+#: Pivots of a group are less similar to each other than this, as seen from their mean.
+APART = 0.6
+#: Pivots that describe a vector: for groups of up to so many pivots, (residual similarity of a link, nearest pivots), most similar first.
+#: Measured: two vectors at that similarity share two pivots with a chance of 0.94 or more (0.91 in the last row of 256).
+NEAREST = {64: ((0.8, 6), (0.6, 8), (0.35, 12)), 256: ((0.9, 6), (0.8, 8), (0.6, 12), (0.35, 16)), 1024: ((0.85, 8), (0.75, 12), (0.6, 16)), 4096: ((0.92, 8), (0.85, 12), (0.75, 16))}
+#: Vectors of a group that are described in one task, and of a list that meet in one.
+CHUNK, BLOCK = 4096, 1024
+#: Rows of links that a task holds.
 BATCH_ROWS = 1 << 14
 SEED = 5
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+#: The list of everything.
+ALL = -1
+GROUP, UNIT = ["label", "dim"], ["label", "dim", "key", "u", "v"]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(1))[:, None]
-
-
-def spread(x: np.ndarray, n: int) -> np.ndarray:
-    """The first n unit vectors that are not near an earlier one; near pivots would rank vectors by noise."""
-    kept: list[int] = []
-    for i in range(len(x)):
-        if len(kept) < n and (not kept or (x[kept] @ x[i]).max() < APART):
-            kept.append(i)
-    return x[kept]
+    """Rows of length 1; zero rows stay. Scaled first, so that squares of large numbers do not overflow."""
+    x = x / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+
+
+def spread(x: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The unit vectors that are not near an earlier one; near pivots would rank vectors by noise."""
+    kept = np.zeros_like(x)
+    n = 0
+    for v in x:
+        if not n or (kept[:n] @ v).max() < apart:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
+def described(pivots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and directions of a group's pivots, and how many of them describe a vector; none where all vectors have to meet."""
+    mean = pivots.mean(0)
+    n = len(pivots)
+    # Mean cosine of two pivots, and how similar two linked vectors are when seen from the mean.
+    dense = ((pivots.sum(0) ** 2).sum() - n) / max(1, n * (n - 1))
+    link = (least - dense) / (1 - dense) if n > 1 and dense < 1 - 1e-9 else 0.0
+    for most in sorted(NEAREST):
+        if n <= most:
+            break
+    while most > min(NEAREST) and link < NEAREST[most][-1][0]:
+        most = max(m for m in NEAREST if m < most)  # fewer pivots, whose order is less of a chance
+    k = next((k for level, k in NEAREST[most] if link >= level), 0)
+    away = pivots[:most] - mean
+    away = spread(_unit(away[np.abs(away).max(1) > 1e-12]))
+    return mean, away, min(k, len(away)) if len(away) > 1 else 0
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest pivots of each unit vector, nearest first."""
+    """The k nearest pivots of each row, nearest first."""
     s = x @ pivots.T
-    k = min(k, s.shape[1])
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
 def _keys(near: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs of nearest pivots; a vector with fewer than two has the list of everything."""
-    if near.shape[1] < 2:
-        return np.full((len(near), 1), -1, np.int64)
+    """Numbers of the pairs of nearest pivots, the nearest pairs first."""
     pairs = [np.sort(near[:, list(c)].astype(np.int64), axis=1) for c in combinations(range(near.shape[1]), 2)]
     return np.stack([p[:, 0] << 20 | p[:, 1] for p in pairs], 1)
 
 
-def _post(pivots, nearest: int):
+def _binary(values: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> pa.Array:
+    data = pa.Array.from_buffers(pa.large_binary(), len(keep), [None, pa.py_buffer((offsets * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
+    return pc.if_else(pa.array(keep), data, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+def _bodies(wide: bool):
+    """``vec_id``, ``label``, ``dim`` and the numbers as bytes; null where a vector links with nothing."""
+    kind = np.float64 if wide else np.float32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
-                continue
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims):
-                own = np.flatnonzero(dims == d)
-                part = b.take(pa.array(own))
-                base = pivots.value.get(int(d), np.zeros((0, d)))
-                near = nearest_pivots(_unit(_matrix(part.column("embedding"))), base, nearest) if len(base) else np.zeros((len(own), 0), np.int64)
-                keys = _keys(near)
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("label"), part.column("dim"), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["class", "label", "dim", "keys", "near"])
+            lists = b.column("embedding")
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])  # noqa: B023, E731
+            fine = (count(~np.isfinite(values)) == 0) & (count(values != 0) > 0) & pc.is_valid(b.column("label")).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(length.astype(np.int32)), _binary(values + kind(0), offsets, fine)], names=["vec_id", "label", "dim", "body"])
+
+    return tidy(run)
 
-    return run
 
+def _matrix(column: pa.Array, kind, dim: int) -> np.ndarray:
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind).reshape(-1, dim) if data.ctypes.data % np.dtype(kind).itemsize == 0 else np.frombuffer(data.tobytes(), kind).reshape(-1, dim)
 
-def _meet(least: float):
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Key, start and end of each run of rows that are equal in ``names``."""
+    cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+    cut = np.concatenate([[0], np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1, [len(batch)]])
+    for a, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield tuple(cols[:, a].tolist()), a, e
+
+
+def _post(wide: bool, least: float, exact: bool):
+    """Describe the vectors of each chunk by its pivots, which come first."""
+    kind = np.float64 if wide else np.float32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, seen = None, [], None
+        for b in batches:
+            if not len(b):
+                continue
+            member = b.column("member").to_numpy()
+            for key, a, e in _runs(b, [*GROUP, "chunk"]):
+                if key != own:
+                    own, held, seen = key, [], None
+                n = int((member[a:e] == 0).sum())
+                if n:
+                    held.append(_unit(_matrix(b.column("body").slice(a, n), kind, key[1]).astype(np.float64)))
+                if a + n == e:
+                    continue
+                if seen is None:
+                    seen = described(np.concatenate(held), least)
+                mean, pivots, k = seen
+                part = b.slice(a + n, e - a - n)
+                if k < 2 or exact:
+                    keys, near = np.full((len(part), 1), ALL), np.zeros((len(part), 0), np.int32)
+                else:
+                    near = nearest_pivots(_unit(_matrix(part.column("body"), kind, key[1]).astype(np.float64)) - mean, pivots, k)
+                    keys = _keys(near)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel().astype(t))) for v, t in ((keys, np.int64), (near, np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("label"), part.column("dim"), *lists], names=["class", "label", "dim", "keys", "near"])
+
+    return tidy(run)
+
+
+def _meet(wide: bool, least: float):
     """Verify the pairs of each list and unit; rows of link counts and of edges that connect what is linked."""
-    names = ["a", "b", "n"]
-
-    def unit(key: int, rows: list) -> tuple[list, list, list]:
-        ids = np.array([r[0] for r in rows], np.int64)
-        side, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
-        x = np.stack([r[3] for r in rows])
-        dot = x @ x.T
-        size = np.sqrt(np.diagonal(dot))
-        link = dot / (size[:, None] * size) >= least
+    kind, names = np.float64 if wide else np.float32, ["a", "b", "n"]
+
+    def unit(key: tuple, parts: list[pa.RecordBatch]) -> tuple[list, list, list]:
+        column = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
+        ids, other, weight = column("class"), column("block") != key[3], column("weight")
+        x = _unit(np.concatenate([_matrix(p.column("body"), kind, key[1]) for p in parts]).astype(np.float64))
+        link = x @ x.T >= least
         np.fill_diagonal(link, False)
-        if side.any() and not side.all():  # two blocks of a long list: pairs within one of them meet elsewhere
-            link &= side[:, None] != side
+        if key[3] != key[4]:  # two blocks of a long list: pairs within one of them meet elsewhere
+            link &= other[:, None] != other
         if not link.any():
             return [], [], []
         first = link
-        if key >= 0:
-            # Of a pair's common lists the first is that of its two lowest shared pivots: the pair counts there.
-            high = key & (1 << 20) - 1
+        if key[2] != ALL:
+            # Shared pivots are counted up to the list's own two; a pair counts in the list of the two lowest that it shares.
+            high = key[2] & (1 << 20) - 1
+            near = np.concatenate([p.column("near").flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
             seen = np.zeros((len(ids), high + 1), np.float32)
-            for i, r in enumerate(rows):
-                seen[i, [p for p in r[4] if p <= high]] = 1
+            row, at = np.nonzero(near <= high)
+            seen[row, near[row, at]] = 1
             first = link & (seen @ seen.T == 2)
         counted = first @ weight
         label = np.arange(len(ids))
@@ -114,37 +198,36 @@ def _meet(least: float):
             if (best == label).all():
                 break
             label = best
-        tied = np.flatnonzero(label != np.arange(len(ids)))
-        some = np.flatnonzero(counted)
+        tied, some = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(counted)
         return [*ids[some], *ids[tied]], [*[None] * len(some), *ids[label[tied]]], [*counted[some], *[0] * len(tied)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, rows, out = None, [], ([], [], [])
+        own, parts, out = None, [], ([], [], [])
 
         def close():
-            if len(rows) > 1:
-                for o, v in zip(out, unit(open_key[2], rows), strict=True):
+            if sum(map(len, parts)) > 1:
+                for o, v in zip(out, unit(own, parts), strict=True):
                     o.extend(v)
-            rows.clear()
+            parts.clear()
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("label", "dim", "key", "u", "v", "class", "block", "weight", "near")]
-            vectors = [np.array(v, np.float64) for v in b.column("embedding").to_numpy(zero_copy_only=False)]
-            for label, dim, key, u, v, i, block, weight, near, x in zip(*cols, vectors, strict=True):
-                if (label, dim, key, u, v) != open_key:
+            if not len(b):
+                continue
+            for key, a, e in _runs(b, UNIT):
+                if key != own:
                     close()
-                    open_key = (label, dim, key, u, v)
-                rows.append((i, block != u, weight, x, near))
+                    own = key
+                parts.append(b.slice(a, e - a))
             if len(out[0]) > BATCH_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
                 out = ([], [], [])
         close()
         yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
 
-    return run
+    return tidy(run)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS, nearest: int = NEAREST) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, exact: bool = False) -> DataFrame:
     """Links between vectors of equal label with a cosine of ``least`` or more.
 
     Output, a row for each input row: ``vec_id``; ``n_links``, other rows linked
@@ -155,34 +238,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS,
     non-finite numbers link with nothing. Vectors of different lengths do not
     link. Repeated rows are further vectors; a null vec_id is never the smallest.
     An empty table gives an empty result; other columns play no part. Every link
-    that is reported is one; pairs that share fewer than two of their nearest
-    pivots are missed.
+    that is reported is one. Pairs that share fewer than two of the pivots that
+    describe them are missed; with ``exact`` every two vectors of a label are
+    compared, in blocks, and none is. Vectors are told apart by 64-bit hashes.
     """
-    spark = vectors.sparkSession
-    numbers = F.col("embedding").cast("array<double>")
-    fine = F.coalesce(F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(numbers, lambda v: v != 0) & F.col("label").isNotNull(), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), numbers.alias("embedding"), fine.alias("fine"))
-    rows = rows.withColumn("class", F.when(F.col("fine"), F.xxhash64("label", F.transform("embedding", lambda v: v + 0.0))))
-    rows = stage(rows, "vectors")
-    classes = rows.where("fine").groupBy("class").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("smallest"), F.count("*").alias("weight"))
-    classes = stage(classes.withColumn("dim", F.size("embedding")), "classes")
-
-    chosen = classes.orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(CANDIDATES * pivots).select("embedding").collect()
-    table: dict[int, list] = {}
-    for r in chosen:
-        table.setdefault(len(r[0]), []).append(r[0])
-    reference = spark.sparkContext.broadcast({d: spread(_unit(np.array(v)), pivots) for d, v in table.items()})
-
-    posted = stage(classes.select("class", "label", "dim", "embedding").mapInArrow(_post(reference, nearest), "class long, label long, dim int, keys array<long>, near array<int>"), "posted")
-    lists = posted.select("class", "label", "dim", F.explode("keys").alias("key"))
-    lengths = lists.groupBy("label", "dim", "key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = lists.join(lengths, ["label", "dim", "key"]).withColumn("blocks", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
+    wide = dict(vectors.dtypes)["embedding"] != "array<float>"
+    numbers = F.col("embedding").cast("array<double>") if wide else F.col("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), numbers.alias("embedding"))
+    rows = rows.mapInArrow(_bodies(wide), "vec_id long, label long, dim int, body binary")
+    rows = stage(rows.withColumn("class", F.when(F.col("body").isNotNull(), F.xxhash64("label", "body"))), "vectors")
+    classes = rows.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("body").alias("body"), F.min("vec_id").alias("smallest"), F.count("*").alias("weight"))
+    classes = stage(classes, "classes")
+
+    # Pivots of a group: of each of its salts the class whose hash is lowest.
+    sizes = classes.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(MOST), F.greatest(F.lit(FEWEST), F.pow(F.lit(2), F.ceil(F.log2(PER_ROOT * F.sqrt("n"))))))
+    sizes = stage(sizes.withColumn("pivots", wanted.cast("long")).withColumn("chunks", F.expr(f"(n + {CHUNK - 1}) div {CHUNK}")), "groups")
+    draw = F.xxhash64("class", F.lit(SEED))
+    members = classes.select("class", *GROUP, "body").join(sizes, GROUP).withColumn("draw", draw)
+    pivots = members.groupBy(*GROUP, F.pmod("draw", F.col("pivots")).alias("salt")).agg(F.min_by("body", F.struct("draw", "class")).alias("body"), F.first("chunks").alias("chunks"))
+    pivots = pivots.select(*GROUP, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member"), F.col("salt").alias("class"), "body")
+    members = members.select(*GROUP, F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"), F.lit(1).alias("member"), "class", "body")
+    chunks = pivots.unionByName(members).repartition(*GROUP, "chunk").sortWithinPartitions(*GROUP, "chunk", "member", "class")
+    posted = stage(chunks.mapInArrow(_post(wide, least, exact), "class long, label long, dim int, keys array<long>, near array<int>"), "posted")
+
+    lists = posted.select("class", *GROUP, F.explode("keys").alias("key"))
+    lengths = lists.groupBy(*GROUP, "key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = lists.join(lengths, [*GROUP, "key"]).withColumn("blocks", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
     lists = lists.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("u"), F.greatest("block", j).alias("v")))
-    units = lists.withColumn("unit", F.explode(others)).select("class", "label", "dim", "key", "block", "unit.u", "unit.v")
-    body = posted.select("class", "near").join(classes.select("class", "embedding", "weight"), "class")
-    units = units.join(body, "class").repartition("label", "dim", "key", "u", "v").sortWithinPartitions("label", "dim", "key", "u", "v", "class")
-    met = stage(units.mapInArrow(_meet(least), "a long, b long, n long"), "met")
+    units = lists.withColumn("unit", F.explode(others)).select("class", *GROUP, "key", "block", "unit.u", "unit.v")
+    body = posted.select("class", "near").join(classes.select("class", "body", "weight"), "class")
+    units = units.join(body, "class").repartition(*UNIT).sortWithinPartitions(*UNIT, "class")
+    met = stage(units.mapInArrow(_meet(wide, least), "a long, b long, n long"), "met")
 
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     found = components(met.where("b is not null").select("a", "b"), "vectors")

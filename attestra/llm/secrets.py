@@ -2,8 +2,9 @@
 
 Candidates are found in every text by pattern. Their values are then counted
 over the whole corpus by distinct repositories and distinct owners: a value
-that many owners carry was copied from documentation or a tutorial, one that a
-single owner has and that looks random is likely live. DataFrame functions only.
+that many owners or many repositories carry was copied from documentation, a
+tutorial or a template, one that a single owner has in few repositories and that
+looks random is likely live. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ BARE = r"[A-Za-z0-9+/_-]+"
 #: (kind, pattern that finds it, shortest value, group of the value). Runs of one class are found at their full length at once.
 KINDS = (("assign", ASSIGN, 8, 2), ("access", r"AKIA[A-Z0-9]{12,}", 16, 0), ("hex", r"[0-9a-f]{32,}", 32, 0), ("bare", r"[A-Za-z0-9+/_-]{24,}", 24, 0))
 BASE = 3
-#: Owners from which on a value counts as copied; words that mark a stand-in.
-COPIED_OWNERS = 3
+#: Owners, or repositories, from which on a value counts as copied; words that mark a stand-in.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 STAND_IN = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234"
 
 
@@ -61,15 +62,18 @@ def live_looking(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 10) & ~value.rlike(STAND_IN)
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """Spans of secrets in every text of ``docs``, told apart by who else has the value.
 
     Output, a row for each input row: ``doc_id``; ``n_assign``, ``n_access``,
     ``n_hex``; ``base_sha256`` of the base spans and ``spans``, as
     ``kind:start:end`` by start, then kind; ``n_copied`` spans whose value
-    ``copied_owners`` or more owners have, ``n_live`` spans of one owner alone that
-    look random; ``most_repositories``, the largest number of repositories that one
-    of the row's values is in. Spans of kind ``bare`` (no name and no known form
+    ``copied_owners`` or more owners, or ``copied_repositories`` or more
+    repositories, have; ``n_live`` spans that look random and whose value one owner
+    alone has, in fewer repositories than that; ``most_repositories``, the largest
+    number of repositories that one of the row's values is in. An owner is a
+    ``source`` and a repository a document of it unless other columns are named:
+    a corpus that knows its repositories should name them. Spans of kind ``bare`` (no name and no known form
     give them away, and they overlap no other span) are added only if live.
 
     Null text is an empty one; null owners and repositories count as one value.
@@ -89,11 +93,12 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     spread = each.select("hash", "owner", "repository").distinct().groupBy("hash", "owner").agg(F.count("*").alias("r"))
     spread = spread.groupBy("hash").agg(F.sum("r").alias("repositories"), F.count("*").alias("owners"))
     judged = each.join(spread, "hash")
-    live = F.col("span.live") & (F.col("owners") == 1)
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    live = F.col("span.live") & (F.col("owners") == 1) & ~copied
     judged = judged.where((F.col("span.kind") < BASE) | live)
     found = judged.groupBy("row").agg(
         F.collect_list(F.struct("span.start", "span.kind", "span.end")).alias("kept"),
-        F.count_if(F.col("owners") >= copied_owners).alias("n_copied"),
+        F.count_if(copied).alias("n_copied"),
         F.count_if(live).alias("n_live"),
         F.max("repositories").alias("most_repositories"),
     )

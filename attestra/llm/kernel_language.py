@@ -5,7 +5,8 @@ n-grams of one to three characters that both hold, divided by the geometric
 mean of how many each holds. Nyström landmarks turn it into a few dozen
 coordinates; one ridge regression for each language, against all others,
 scores them. Texts are scored in batches: presence matrix times landmarks
-times weights.
+times weights. An n-gram is one number, its characters' codes side by side, so
+the kernel is exact in any script and for texts of any length.
 """
 
 from __future__ import annotations
@@ -21,44 +22,66 @@ from pyspark.sql import functions as F
 from .mil_quality import held_out
 from .staging import sampled
 
-#: Texts of each language to fit on, and landmarks among them, at most about so many.
-FIT_ROWS, LANDMARKS = 240, 24
-#: Slots of the n-grams of one, two and three characters.
-SLOTS = (1 << 10, 1 << 12, 1 << 14)
+#: Texts of each language to fit on, and in all; longest text, in bytes, to fit on; landmarks of each language, and in all. At most about so many.
+FIT_ROWS, FIT_TOTAL, FIT_BYTES = 240, 12_000, 1 << 15
+LANDMARKS, ALL_LANDMARKS = 24, 2048
+LONGEST = 3
 RIDGE, SHARPNESS, SEED = 1e-2, 4.0, 23
-BATCH, SEGMENT = 128, 1 << 18
-#: Languages a model may have.
+#: Texts of a batch, characters of a segment, and postings of landmarks that are added up at a time.
+BATCH, SEGMENT, POSTINGS = 128, 1 << 18, 1 << 20
+#: Languages that a model may have, beyond which it stops with an error.
 MOST_LANGUAGES = 1000
-_WIDTH = sum(SLOTS)
 
 
 def presence(text: str) -> np.ndarray:
-    """Slots of the n-grams of a text, A-Z and a-z alike; long texts go through in overlapping segments."""
-    out = np.zeros(_WIDTH, bool)
+    """The distinct n-grams of a text as sorted numbers, 21 bits a character, letter case aside; long texts go through in overlapping segments."""
+    parts = []
     for a in range(0, max(1, len(text)), SEGMENT):
-        c = np.frombuffer(text[a : a + SEGMENT + len(SLOTS) - 1].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        g, base = c, 0
-        for n, size in enumerate(SLOTS):
-            if n:
-                g = g[:-1] * np.uint64(0x100000001B3) + c[n:]
-            if not len(g):
-                break
-            out[base + ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)] = True
-            base += size
-    return out
+        c = np.frombuffer(text[a : a + SEGMENT + LONGEST - 1].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+        grams = [c]
+        for n in range(1, LONGEST):
+            grams.append((grams[-1][:-1] << np.uint64(21)) + c[n:])
+        parts.append(np.unique(np.concatenate(grams)))
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+class Landmarks:
+    """The n-grams of the landmarks, each with the landmarks that hold it: a sparse matrix by rows."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.start = np.append(first, len(grams))
+        self.of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+        self.sizes = np.array([len(x) for x in sets], float)
+
+    def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Kernel of each text with each landmark."""
+        grams, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[at] == grams
+        at, row = at[known], row[known]
+        n = self.start[at + 1] - self.start[at]
+        out = np.zeros(len(texts) * len(self.sizes))
+        cut = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + POSTINGS, POSTINGS))
+        for a, b in zip(cut[:-1], [*cut[1:-1], len(n)], strict=True):
+            m = n[a:b]
+            post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[at[a:b]], m)
+            out += np.bincount(np.repeat(row[a:b], m) * len(self.sizes) + self.of[post], minlength=len(out))
+        size = np.maximum(1, [len(x) for x in texts])
+        return out.reshape(len(texts), -1) / np.sqrt(size[:, None] * np.maximum(1, self.sizes))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # slots x landmarks
-    sizes: np.ndarray
+    landmarks: Landmarks
     weights: np.ndarray  # landmarks x languages
     offset: np.ndarray
 
-    def decide(self, x: np.ndarray) -> np.ndarray:
-        k = (x @ self.landmarks) / np.sqrt(np.maximum(1, x.sum(1))[:, None] * self.sizes)
-        return k @ self.weights + self.offset
+    def decide(self, texts: list[np.ndarray]) -> np.ndarray:
+        return self.landmarks.kernel(texts) @ self.weights + self.offset
 
 
 def fit(texts: list[str], languages: list[str]) -> Model | None:
@@ -66,13 +89,12 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     names = sorted(set(languages))
     if not names:
         return None
-    x = np.array([presence(t) for t in texts], np.float32)
+    x = [presence(t) for t in texts]
     own = {n: [i for i, v in enumerate(languages) if v == n] for n in names}
-    marks = sorted(i for n in names for i in own[n][:LANDMARKS])
-    land = x[marks]
-    size = np.maximum(1, x.sum(1))
-    k = (x @ land.T) / np.sqrt(size[:, None] * size[marks])
-    value, vector = np.linalg.eigh(k[marks].astype(np.float64))
+    marks = sorted(i for n in names for i in own[n][: max(1, min(LANDMARKS, ALL_LANDMARKS // len(names)))])
+    land = Landmarks([x[i] for i in marks])
+    k = np.concatenate([land.kernel(x[i : i + BATCH]) for i in range(0, len(x), BATCH)])
+    value, vector = np.linalg.eigh(k[marks])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     z = k @ root
@@ -81,14 +103,18 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     middle, level = (weight * z).sum(0) / weight.sum(), (weight * y).sum(0) / weight.sum()
     zc, yc = z - middle, y - level
     beta = np.linalg.solve((zc * weight).T @ zc + RIDGE * np.eye(zc.shape[1]) / len(names), (zc * weight).T @ yc)
-    return Model(names, np.ascontiguousarray(land.T), size[marks].astype(np.float64), root @ beta, level - middle @ beta)
+    return Model(names, land, root @ beta, level - middle @ beta)
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on about ``fit_rows`` texts of each language outside the held-out third, chosen by a hash of doc_id and text."""
-    known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    rows = sampled(known, F.struct("doc_id", F.xxhash64("text")), "lang", fit_rows, SEED).limit(2 * fit_rows * MOST_LANGUAGES).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    """Fit on about ``fit_rows`` texts of each language outside the held-out third, chosen by a hash of doc_id and text.
+
+    Texts of more than FIT_BYTES are not fitted on, and of all languages together
+    about FIT_TOTAL texts are: what reaches the driver is bounded by rows and bytes.
+    """
+    known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    rows = sampled(known, F.struct("doc_id", F.xxhash64("text")), "lang", fit_rows, SEED, MOST_LANGUAGES, FIT_TOTAL).dropDuplicates(["doc_id", "text", "lang"]).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -97,24 +123,26 @@ def _scorer(shared):
         model: Model | None = shared.value
         for b in batches:
             texts, names, scores = b.column(2), ["und"] * len(b), np.zeros(len(b))
-            rows, at = np.zeros((BATCH, _WIDTH), np.float32), []
+            rows, at, held = [], [], 0
 
             def flush():
-                f = model.decide(rows[: len(at)])
+                f = model.decide(rows)
                 e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
                 best = f.argmax(1)
                 for i, k, p in zip(at, best, (e / e.sum(1, keepdims=True))[np.arange(len(at)), best], strict=True):
                     names[i], scores[i] = model.languages[k], p
-                at.clear()
+                at.clear(), rows.clear()
 
             for i in range(len(b) if model is not None else 0):
                 t = texts[i].as_py()
                 if t is None or not any(map(str.isalpha, t)):
                     continue
-                rows[len(at)] = presence(t)
+                rows.append(presence(t))
                 at.append(i)
-                if len(at) == BATCH:
+                held += len(rows[-1])
+                if len(at) == BATCH or held > POSTINGS:
                     flush()
+                    held = 0
             if at:
                 flush()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -126,7 +154,8 @@ def languages(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` (0 to 1) for each row of ``docs``.
 
     ``und`` and 0 where the text is null or holds no letter, and for all rows
-    when no labelled text is left to learn from. Null doc_ids are not held out;
+    when no labelled text is left to learn from. Of languages with equal scores
+    the first by name is taken. Null doc_ids are not held out;
     repeated rows have a row each; long texts are read whole; an empty table
     gives an empty result; other columns play no part.
     """

@@ -119,13 +119,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def sampled(df: DataFrame, key: Column, strata: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows of each value of ``strata``, chosen by a hash of ``key``: the same rows at every run.
+def sampled(df: DataFrame, key: Column, strata: str, most: int, seed: int, most_strata: int = 1000, total: int | None = None) -> DataFrame:
+    """About ``most`` rows of each value of ``strata``, ``total`` in all, chosen by a hash of ``key``: the same rows at every run.
 
     The counts are taken over all rows; a row stays if its hash falls below its
-    stratum's share. Only one number for each stratum reaches the driver.
+    stratum's share. Only one number for each stratum reaches the driver, and
+    more than ``most_strata`` of them are an error.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(strata).count().limit(most_strata + 1).collect()}
+    if len(counts) > most_strata:
+        raise ValueError(f"more than {most_strata} values of {strata}")
+    most = most if total is None else min(most, total // max(1, len(counts)))
     draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     keep = reduce(lambda c, kv: c | (same(F.col(strata), F.lit(kv[0])) & (draw < min(1.0, most / kv[1]))), counts.items(), F.lit(False))
     return df.where(keep)

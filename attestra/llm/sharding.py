@@ -26,6 +26,9 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     one source, null doc_ids ordinary values. Rows are told apart by doc_id and
     checksum; repeated rows change places without a difference. With fewer rows
     than shards some shards are empty; an empty table gives an empty result.
+    Groups of equal texts are not kept together: equal counts in every shard rule
+    that out for a large group, and small ones are dealt out as other rows are.
+    Remove copies first where a text must not be in two shards.
     Other columns play no part.
     """
     text = F.coalesce("text", F.lit(""))
@@ -34,7 +37,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
         F.col("source").alias("stratum"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-    ).withColumn("draw", F.xxhash64("doc_id", "text_crc32", F.lit(seed)))
+    ).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))))
     tie = [F.col(c).asc_nulls_last() for c in ("draw", "doc_id", "text_crc32")]
     ranked = ordered(rows, [F.col("stratum").asc_nulls_last(), *tie], "by-source")
     # Of each source: its rows and where it starts. A number for each source and task is all that is shuffled.

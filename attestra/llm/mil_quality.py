@@ -23,6 +23,8 @@ from .words import BLANKS, buffers, slices, tidy, windows, words
 
 #: Labelled documents that a model is fitted on, at most about so many.
 FIT_ROWS = 3000
+#: Longest text, in bytes, that is fitted on; longer ones are scored whole like all others.
+FIT_BYTES = 1 << 17
 PASSAGE_WORDS = 64
 CODE, GATE, BAG = 24, 12, 32
 STEPS, RATE, DECAY, SEED = 240, 0.02, 1e-4, 11
@@ -97,6 +99,20 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray):
     return p, z, a, of, code, t, g
 
 
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over bags, by weight."""
+    p, z, a, of, code, t, g = _forward(w, x, start)
+    d = (p - labels) / len(labels)
+    dz = d[:, None] * w["score"]
+    da = (code * dz[of]).sum(1)
+    draw = a * (da - np.add.reduceat(a * da, start[:-1])[of])
+    dtg = draw[:, None] * w["attend"]
+    dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+    dcode = a[:, None] * dz[of] + dt @ w["tan"].T + dg @ w["gate"].T
+    dpre = dcode * (1 - code * code)
+    return {"encode": x.T @ dpre, "encode0": dpre.sum(0), "tan": code.T @ dt, "gate": code.T @ dg, "attend": (t * g).T @ draw, "score": z.T @ d, "score0": d.sum(keepdims=True)}
+
+
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the log loss over whole bags; the same input gives the same model."""
     if not len(labels):
@@ -114,16 +130,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     w = {k: rng.normal(0, d**-0.5, s) for k, d, s in (("encode", WIDTH, (WIDTH, CODE)), ("tan", CODE, (CODE, GATE)), ("gate", CODE, (CODE, GATE)), ("attend", GATE, (GATE,)), ("score", CODE, (CODE,)))} | {"encode0": np.zeros(CODE), "score0": np.zeros(1)}
     m, v = ({k: np.zeros_like(u) for k, u in w.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        p, z, a, of, code, t, g = _forward(w, x, start)
-        d = (p - labels) / len(labels)
-        dz = d[:, None] * w["score"]
-        da = (code * dz[of]).sum(1)
-        draw = a * (da - np.add.reduceat(a * da, start[:-1])[of])
-        dtg = draw[:, None] * w["attend"]
-        dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-        dcode = a[:, None] * dz[of] + dt @ w["tan"].T + dg @ w["gate"].T
-        dpre = dcode * (1 - code * code)
-        grad = {"encode": x.T @ dpre, "encode0": dpre.sum(0), "tan": code.T @ dt, "gate": code.T @ dg, "attend": (t * g).T @ draw, "score": z.T @ d, "score0": d.sum(keepdims=True)}
+        grad = gradient(w, x, start, labels)
         for k in w:
             u = grad[k] + DECAY * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * u, 0.999 * v[k] + 0.001 * u * u
@@ -132,10 +139,15 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on about ``fit_rows`` of the labelled documents outside the held-out third, chosen by a hash of doc_id."""
+    """Fit on about ``fit_rows`` of the labelled documents outside the held-out third, chosen by a hash of doc_id.
+
+    Texts of more than FIT_BYTES are not fitted on; of several texts under one
+    doc_id one is, so what reaches the driver is bounded by rows and by bytes.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = sampled(known.withColumn("_all", F.lit(1)), F.col("_id"), "_all", fit_rows, SEED).drop("_all")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_q").toArrow().sort_by([("_id", "ascending"), ("_q", "ascending"), ("text", "ascending")])
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_q")
+    rows = rows.groupBy("_id", "_q").agg(F.min("text").alias("text")).select("_id", "text", "_q").toArrow().sort_by([("_id", "ascending"), ("_q", "ascending"), ("text", "ascending")])
     return fit(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), np.array(rows.column("_q").to_pylist(), float))
 
 
@@ -180,6 +192,11 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with all their columns; the same scores as ``quality``."""
+    """The rows of ``docs`` that score ``least`` or more, with all their columns; the same scores as ``quality``.
+
+    Null, empty and blank texts are scored as one passage of zeros and go or stay
+    by that; a score of exactly ``least`` stays; repeated rows go or stay alike;
+    without usable labels every score is 0.5. An empty table gives an empty one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows))
     return docs.mapInArrow(_keeper(model, least, docs.columns.index("text")), docs.schema)

@@ -2,7 +2,8 @@
 
 Each source's documents, in a seeded order, are one stream of words that is cut
 into blocks of equal length. Every output shard draws how many of its slots
-each source fills; the slots of a source are numbered over all shards and go
+each source fills, under the condition that all shards together come to the
+target; the slots of a source are numbered over all shards and go
 through a pseudorandom permutation of its block indexes, a new one for each
 time around. Slots and blocks are then joined by index, so no source, however
 large, is ever held or sorted in one place.
@@ -26,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, SHARDS, MOST = 32, 8, 3
 WEIGHTS = (1, 2, 3)
 SEED = 20240517
-#: Sources a mixture can name; their table goes to every task.
+#: Sources a mixture can name, beyond which it stops with an error; their table goes to every task.
 MOST_SOURCES = 100_000
 
 
@@ -55,21 +56,25 @@ def shares(sizes: np.ndarray, weights: np.ndarray, most: float = MOST) -> np.nda
 
 
 def drawn(expected: np.ndarray, limit: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard: the whole part of its expectation, and a multinomial draw for what is left."""
+    """Slots of each source in each shard: multinomial counts, given that every source comes to its expectation in all.
+
+    Free multinomial counts stray from the target by the square root of the
+    slots, which for a small source is many percent. Given their sums over the
+    shards they are multivariate hypergeometric: each shard draws its slots
+    without replacement from what the earlier ones left. Sums too large for the
+    generator are drawn in packs of slots.
+    """
     rng = np.random.default_rng(seed)
-    total = int(round(expected.sum()))
-    out = np.zeros((shards, len(expected)), np.int64)
-    if not total:
-        return out
-    p = expected / expected.sum()
+    whole = np.minimum(np.floor(expected + 0.5).astype(np.int64), limit)
+    pack = int(whole.sum() // (1 << 29)) + 1
+    left, out = whole // pack, np.zeros((shards, len(expected)), np.int64)
+    total = int(left.sum())
     for k in range(shards):
-        mean = (total * (k + 1) // shards - total * k // shards) * p
-        out[k] = np.floor(mean + 1e-9)
-        left = np.maximum(mean - out[k], 0)
-        if (rest := int(round(mean.sum())) - int(out[k].sum())) > 0 and left.sum() > 0:
-            out[k] += rng.multinomial(rest, left / left.sum())
-    for k in range(shards - 1, -1, -1):  # a source at its limit may have drawn a slot too many
-        out[k] -= np.clip(out.sum(0) - limit, 0, out[k])
+        out[k] = rng.multivariate_hypergeometric(left, total * (k + 1) // shards - total * k // shards, method="marginals") if len(left) else 0
+        left = left - out[k]
+    out *= pack
+    for i, rest in enumerate(whole % pack):
+        out[rng.integers(shards), i] += rest
     return out
 
 
@@ -174,7 +179,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def packed(docs: DataFrame, **options) -> DataFrame:
-    """The blocks themselves: ``shard``, ``slot``, ``source``, ``block``, ``doc_ids`` and ``words``, a row for each slot."""
+    """The blocks themselves: ``shard``, ``slot``, ``source``, ``block``, ``doc_ids`` and ``words``, a row for each slot.
+
+    Words keep their letter case and their order in the document; a block may end
+    one document and begin others. The last block of a source may be shorter.
+    Null, empty and blank texts have no word and are in no block. Repeated rows
+    are further words of the stream; rows of one doc_id, null or not, are told
+    apart by their text. An empty table gives an empty result.
+    """
     m = Mix(docs, **options)
     rows = m.pieces().join(m.streams.select("position", "doc_id", "text_hash"), "position")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words")).dropDuplicates(["_id", "_hash"])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_snapshots, kernel_language, mil_quality, mixing, ngram_join, pivot_index, secrets, sharding, string_tiling, url_rules
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,15 @@ def op10_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_pivot_index, op2_url_rules, op3_string_tiling, op4_secret_owners, op5_kernel_language, op6_interleaved_shards, op7_ngram_join, op8_mil_quality, op9_chat_snapshots, op10_block_mixing)
+def written_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: host, path and written rule of each page."""
+    return url_rules.parsed(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("verdict").alias("ruled"))
+
+
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: sizes and targets, without the draw."""
+    return mixing.Mix(_table(spark, sf_dir, "documents")).streams.select("doc_id", "size", "source_size", "target")
+
+
+_ALL = (op1_pivot_index, op2_url_rules, op3_string_tiling, op4_secret_owners, op5_kernel_language, op6_interleaved_shards, op7_ngram_join, op8_mil_quality, op9_chat_snapshots, op10_block_mixing, written_url_rules, mixture_targets)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}

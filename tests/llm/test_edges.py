@@ -123,15 +123,38 @@ def test_join_in_a_large_group(spark):
 
 
 def test_tiles_are_greedy():
-    import numpy as np
+    """Random items and texts of few words, where runs cross and overlap, against the definition."""
+    import random
+
+    import pyarrow as pa
+
+    random.seed(3)
+    for _ in range(200):
+        some = "abcdefgh"[: random.choice([1, 2, 3, 8])]
+        item, text = ([random.choice(some) for _ in range(random.randint(1, n))] for n in (18, 30))
+        want = brute.tiles(item, text, 2)
+        got = list(string_tiling.Items([7], [" ".join(item)], 2).matches(pa.array([" ".join(text)])))
+        assert got == ([(0, 0, len(want), sum(x[2] for x in want), len(item))] if want else []), (item, text)
+
+
+def test_tiling_of_one_word_over_and_over():
+    """Memory by common runs: pairs of positions would be a hundred million."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tracemalloc.start()
+    found = list(string_tiling.Items([7], ["same " * 1000], 5).matches(pa.array(["same " * 100_000]), 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 1, 1000, 1000)] and peak < 200e6
+
 
-    text, item = "p q a b c d e f x a b c y d e f g h".split(), "a b c d e f g h q r".split()
-    names = {w: i for i, w in enumerate(dict.fromkeys(text + item))}
-    h = [np.array([names[w] for w in x], np.uint64) for x in (item, text)]
-    for least in (2, 3):
-        seeds = [(t, a) for a in range(len(item) - least + 1) for t in range(len(text) - least + 1) if item[a : a + least] == text[t : t + least]]
-        got = string_tiling.tile(h[0], np.array([s[0] for s in seeds]), np.array([s[1] for s in seeds]), len(text), least)
-        assert sorted(got) == sorted(brute.tiles(item, text, least))
+def test_benchmark_in_blocks(odd, benchmark):
+    """Several blocks, one pass each, give what one block gives."""
+    for run in (string_tiling.contaminated, string_tiling.decontaminated):
+        want = sorted(map(repr, run(odd, benchmark).collect()))
+        assert sorted(map(repr, run(odd, benchmark, block_items=2).collect())) == want
 
 
 def test_tiling_sees_reordered_passages(spark):

@@ -42,7 +42,8 @@ def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
 
 
 def is_currency(token: Column, rules: MatchingRules = MATCHING) -> Column:
-    return F.coalesce(F.lower(F.btrim(token, F.lit(".,:;"))).isin(rules.currency_lower), F.lit(False))
+    """A currency word or a no-cents ending that stands alone."""
+    return F.coalesce(F.lower(F.btrim(token, F.lit(".,:;"))).isin([*rules.currency_lower, *rules.no_cents]), F.lit(False))
 
 
 def parse_typed_amount(text: Column, rules: MatchingRules = MATCHING) -> Column:

@@ -3,8 +3,9 @@
 ``rows(doc_id, page, row, segments array<struct<text, left, right, height>>)``
 are printed rows; ``claims(claim_id, doc_id, date, amount, pin)`` what is
 looked for in a document. Tokens and the context of each are worked out within
-a row, so the only exchange before the matches is the equi-join of printed
-forms with token cores on (doc_id, form).
+a row. All that a row can stand for (dates, amounts, PINs) comes out of one pass
+over it and meets all that claims ask for in one equi-join on (doc_id, form);
+finds then move once, to their claim, where they are settled, counted and decided.
 """
 
 from __future__ import annotations
@@ -37,82 +38,111 @@ def _context(texts: Column, i: Column, rules: MatchingRules) -> Column:
     return beside | ((i == F.size(texts) - 1) & label)
 
 
-def amount_cores(pages: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    """One row for each amount token with a digit: ``core``, ``bare`` (counts without cents) and ``segments``."""
-    texts = F.col("amounts.text")
+def amount_tokens(texts: Column, tokens: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Array of amounts: ``token``, ``core``, ``bare`` (counts without cents) and ``segments`` of each token with a digit."""
 
     def one(t: Column, i: Column) -> Column:
         with_core = lambda c: F.struct(i.alias("token"), c["core"].alias("core"), (c["attached"] | _context(texts, i, rules)).alias("bare"), t["segments"].alias("segments"))
         return F.when(t["text"].rlike("[0-9]"), let(amount_core(t["text"], rules), with_core))
 
-    cores = F.filter(F.transform("amounts", one), lambda c: c.isNotNull() & c["core"].rlike("[0-9]"))
-    return pages.select("doc_id", "page", "row", F.explode(cores).alias("c")).select("doc_id", "page", "row", "c.*")
+    return F.filter(F.transform(tokens, one), lambda c: c.isNotNull() & c["core"].rlike("[0-9]"))
 
 
-def faded(pages: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    """Number, two digits, currency word: an amount whose decimal point was not seen."""
-    t = F.col("amounts")
+def faded_amounts(tokens: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Array of ``token``, ``core`` and ``segments``: number (digits and commas), two digits, currency word, an amount whose decimal point was not seen."""
 
     def one(a: Column, i: Column) -> Column:
-        b, c = F.get(t, i + 1), F.get(t, i + 2)
-        ok = a["text"].rlike(r"^[0-9][0-9,.' ]*$") & F.coalesce(b["text"].rlike("^[0-9]{2}$") & is_currency(c["text"], rules), F.lit(False))
-        return F.when(ok, F.struct(amount_core(F.concat(a["text"], F.lit("."), b["text"]), rules)["core"].alias("core"), F.array_sort(F.array_union(a["segments"], b["segments"])).alias("segments")))
-
-    return pages.select("doc_id", "page", "row", F.explode(F.filter(F.transform("amounts", one), lambda x: x.isNotNull())).alias("c")).select("doc_id", "page", "row", "c.*")
-
-
-def _forms(claims: DataFrame, *columns: Column) -> DataFrame:
-    return claims.select("claim_id", "doc_id", *columns)
+        b, c = F.get(tokens, i + 1), F.get(tokens, i + 2)
+        ok = a["text"].rlike("^[0-9][0-9,]*$") & F.coalesce(b["text"].rlike("^[0-9]{2}$") & is_currency(c["text"], rules), F.lit(False))
+        return F.when(ok, F.struct(i.alias("token"), amount_core(F.concat(a["text"], F.lit("."), b["text"]), rules)["core"].alias("core"), F.array_sort(F.array_union(a["segments"], b["segments"])).alias("segments")))
+
+    return F.filter(F.transform(tokens, one), lambda x: x.isNotNull())
+
+
+#: What may stand in a row: kind, token, text, whether an amount counts without cents, and where it is.
+SIGN = "array<struct<kind:string,token:int,text:string,bare:boolean,segments:array<int>>>"
+
+
+def _sign(kind: str, token, text: Column, segments: Column, bare=None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if token is None else token).cast("int").alias("token"), text.alias("text"), F.lit(None).cast("boolean").alias("bare") if bare is None else bare.alias("bare"), segments.alias("segments"))
+
+
+def signs(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Every reading of prepared rows as ``form``: a row for each date, amount, faded amount and PIN that a place can stand for."""
+    said = []
+    rows = pages.select("doc_id", "page", "row", "plain", "amounts", F.col("amounts.text").alias("texts"), F.transform("plain", lambda t: F.struct(text_core(t["text"]).alias("core"), t["segments"].alias("segments"))).alias("cores"))
+    if "amount" in keys:
+        said += [F.transform(amount_tokens(F.col("texts"), F.col("amounts"), rules), lambda c: _sign("amount", c["token"], c["core"], c["segments"], c["bare"])), F.transform(faded_amounts(F.col("amounts"), rules), lambda c: _sign("faded", c["token"], c["core"], c["segments"]))]
+    if "date" in keys:
+        # Three tokens in a row, where the first or the second is a name and the last a number.
+        comma = lambda c: F.btrim(c, F.lit(","))
+        last = lambda i: comma(F.get("cores", i + 2)["core"])
+        all_segments = lambda x, i: F.array_sort(F.array_distinct(F.concat(x["segments"], F.get("cores", i + 1)["segments"], F.get("cores", i + 2)["segments"])))
+        three = lambda x, i: F.when(last(i).rlike("^[0-9]{2}(?:[0-9]{2})?$"), _sign("date", None, F.concat_ws(" ", comma(x["core"]), comma(F.get("cores", i + 1)["core"]), last(i)), all_segments(x, i)))
+        said += [F.filter(F.transform("cores", three), lambda x: x.isNotNull())]
+        said += [F.transform(F.filter("cores", lambda t: t["core"].rlike("[0-9]") & ~t["core"].contains(" ")), lambda t: _sign("token", None, t["core"], t["segments"]))]
+    if "pin" in keys:
+        said += [F.transform("cores", lambda t, i: _sign("pin", i, t["core"], t["segments"]))]
+    one = rows.select("doc_id", "page", "row", F.explode(F.concat(*[c.cast(SIGN) for c in said])).alias("s")).select("doc_id", "page", "row", "s.*")
+    # A time may follow a date without a blank: every beginning that a time follows is a date of its own.
+    c = F.col("text")
+    starts = F.filter(F.transform(F.sequence(F.lit(6), F.length(c) - 4), lambda n: F.when(c.substr(n + 1, F.length(c)).rlike(r"^[0-9]{1,3}:[0-9]{2}"), c.substr(F.lit(1), n))), lambda x: x.isNotNull())
+    form = "struct<text:string,raw:string,shape:string>"
+    whole = F.array(F.struct(c, F.lit(None), F.lit(None)).cast(form))
+    fused = F.concat(whole, F.transform(starts, lambda x: F.struct(x, F.lit(None), F.lit(None)).cast(form)))
+    pins = F.transform(token_forms(c, rules), lambda f: F.struct(f["norm"], f["raw"], f["shape"]).cast(form))
+    forms = F.when(F.col("kind") == "pin", pins).when((F.col("kind") == "token") & c.contains(":") & (F.length(c) >= 10), fused).otherwise(whole)
+    out = one.select("doc_id", "page", "row", "kind", "token", "bare", "segments", F.explode(forms).alias("f"))
+    is_date = F.col("kind").isin("date", "token")
+    out = out.withColumn("d", F.when(is_date, read_form(F.col("f.text"), rules))).where(~is_date | F.col("d").isNotNull())
+    key = F.when(is_date, F.concat(F.lit("d:"), F.col("d.code").cast("string"))).when(F.col("kind") == "pin", F.concat_ws(":", F.lit("p"), "f.shape", "f.text")).otherwise(F.concat(F.lit("a:"), F.col("f.text")))
+    return out.select("doc_id", key.alias("form"), "page", "row", F.when(is_date, "date").otherwise(F.col("kind")).alias("kind"), "token", "bare", "segments", F.col("d.full").alias("full"), F.col("f.raw").alias("raw"))
+
+
+def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Every form that claims ask for: a date by its day, an amount by its prints, a PIN by what may be read in its place."""
+    ask = "struct<form:string,cents:boolean,year:int,at:int,shown:string,pin:string>"
+    none = F.lit(None)
+    asks = []
+    if "date" in keys:
+        asks.append(F.when(F.col("date").isNotNull(), F.array(F.struct(F.concat(F.lit("d:"), date_code(F.col("date")).cast("string")), none, F.year("date"), none, none, none).cast(ask))))
+    if "amount" in keys:
+        forms = amount_forms(F.col("amount"), rules)
+        amount = lambda f, cents: F.transform(f, lambda x: F.struct(F.concat(F.lit("a:"), x), F.lit(cents), none, none, none, none).cast(ask))
+        asks += [amount(forms["with_cents"], True), amount(forms["without_cents"], False)]
+    if "pin" in keys:
+        pin, shape = normalise_pin(F.col("pin")), pin_shape(normalise_pin(F.col("pin")), rules)
+        asks.append(F.when(pin != "", F.transform(pin_forms(F.col("pin"), rules), lambda f: F.struct(F.concat_ws(":", F.lit("p"), shape, f["norm"]), none, none, f["at"], f["raw"], pin).cast(ask))))
+    every = F.concat(*[F.coalesce(c, F.array().cast(f"array<{ask}>")) for c in asks])
+    return claims.select("claim_id", "doc_id", F.explode(every).alias("w")).select("claim_id", "doc_id", "w.*")
+
+
+def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Every place where a claimed value is printed. ``pages`` are prepared rows."""
+    found = signs(pages, rules, keys).join(wanted(claims, rules, keys), ["doc_id", "form"])
+    kind, cents = F.col("kind"), F.col("cents")
+    fits = F.when(kind == "date", F.col("full").isNull() | (F.col("full") == F.col("year"))).when(kind == "amount", cents | F.col("bare")).when(kind == "faded", cents).otherwise(F.col("shown").isNull() | (F.expr("substr(raw, at, 1)") == F.col("shown")))
+    strength = F.when(kind == "faded", "possible").when((kind == "pin") & (F.col("raw") != F.col("pin")), "corrected").otherwise("exact")
+    found = found.where(fits).select("claim_id", "doc_id", "page", "row", F.when(kind == "faded", "amount").otherwise(kind).alias("key"), F.struct("token", "segments", strength.alias("strength")).alias("f"))
+    # From here on all that is grouped is grouped by claim and document first: finds move once.
+    found = found.repartition("claim_id", "doc_id").groupBy("claim_id", "doc_id", "page", "row", "key").agg(F.collect_set("f").alias("fs"))
+    # An exact print beside it rules out a faded one; of a token's readings as a PIN the strongest counts.
+    beaten = lambda x: F.exists("fs", lambda y: (y["strength"] == "exact") & F.when(x["strength"] == "possible", F.arrays_overlap(x["segments"], y["segments"])).otherwise((x["strength"] == "corrected") & (y["token"] == x["token"])))
+    left = found.select("claim_id", "doc_id", "page", "row", "key", F.explode(F.filter("fs", lambda x: ~beaten(x))).alias("f"))
+    return left.select("claim_id", "doc_id", "page", "row", "key", F.col("f.strength").alias("strength"), F.col("f.segments").alias("segments"))
 
 
 def amount_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    forms = amount_forms(F.col("amount"), rules)
-    wanted = claims.where("amount is not null")
-    full = _forms(wanted, F.explode(forms["with_cents"]).alias("core"), F.lit(True).alias("cents"))
-    bare = _forms(wanted, F.explode(forms["without_cents"]).alias("core"), F.lit(False).alias("cents"))
-    exact = amount_cores(pages, rules).join(full.unionByName(bare), ["doc_id", "core"]).where("cents or bare")
-    exact = exact.select("claim_id", "doc_id", "page", "row", "segments")
-    maybe = faded(pages, rules).join(full, ["doc_id", "core"]).select("claim_id", "doc_id", "page", "row", "segments")
-    seen = exact.groupBy("claim_id", "doc_id", "page", "row").agg(F.flatten(F.collect_list("segments")).alias("exact"))
-    maybe = maybe.join(seen, ["claim_id", "doc_id", "page", "row"], "left").where(~F.coalesce(F.arrays_overlap("segments", "exact"), F.lit(False))).drop("exact")
-    hit = lambda df, strength: df.select("claim_id", "doc_id", "page", "row", F.lit("amount").alias("key"), F.lit(strength).alias("strength"), "segments")
-    return hit(exact, "exact").unionByName(hit(maybe, "possible"))
+    return hits(pages, claims, rules, ("amount",))
 
 
 def date_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    """Tokens are read as dates and joined with claims by day: a claim is one row of the exchange, and of a page's tokens only dates are."""
-    wanted = _forms(claims.where("date is not null"), date_code(F.col("date")).alias("code"), F.year("date").alias("year"))
-    cores = F.transform("plain", lambda t: F.struct(text_core(t["text"]).alias("core"), t["segments"].alias("segments")))
-    rows = pages.select("doc_id", "page", "row", cores.alias("cores"))
-    # A time may follow without a blank: every beginning that a time follows is a core of its own.
-    starts = lambda c: F.filter(F.transform(F.sequence(F.lit(6), F.length(c) - 4), lambda n: F.when(c.substr(n + 1, F.length(c)).rlike(r"^[0-9]{1,3}:[0-9]{2}"), c.substr(F.lit(1), n))), lambda x: x.isNotNull())
-    fused = lambda t: F.when(t["core"].contains(":") & (F.length(t["core"]) >= 10), F.concat(F.array(t["core"]), starts(t["core"]))).otherwise(F.array(t["core"]))
-    one = rows.select("doc_id", "page", "row", F.explode(F.filter("cores", lambda t: t["core"].rlike("[0-9]"))).alias("t"))
-    one = one.select("doc_id", "page", "row", F.explode(fused(F.col("t"))).alias("core"), F.col("t.segments").alias("segments")).where("core not like '% %'")
-    plain = F.transform("cores", lambda t: F.struct(F.btrim(t["core"], F.lit(",")).alias("core"), t["segments"].alias("segments")))
-    three = lambda x, i: F.struct(F.concat_ws(" ", x["core"], F.get("p", i + 1)["core"], F.get("p", i + 2)["core"]).alias("core"), F.array_sort(F.array_distinct(F.concat(x["segments"], F.get("p", i + 1)["segments"], F.get("p", i + 2)["segments"]))).alias("segments"))
-    grams = rows.where("size(cores) >= 3").withColumn("p", plain).select("doc_id", "page", "row", F.explode(F.slice(F.transform("p", three), F.lit(1), F.size("p") - 2)).alias("t")).select("doc_id", "page", "row", "t.*").where("core like '% % %'")
-    said = one.unionByName(grams).withColumn("d", read_form(F.col("core"), rules)).where("d is not null")
-    found = said.select("doc_id", "page", "row", "segments", "d.code", "d.full").join(wanted, ["doc_id", "code"]).where("full is null or full = year")
-    return found.select("claim_id", "doc_id", "page", "row", F.lit("date").alias("key"), F.lit("exact").alias("strength"), "segments").distinct()
+    return hits(pages, claims, rules, ("date",))
 
 
 def pin_hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     """Each token's strongest find: exact, or corrected by shape or by one look-alike."""
-    wanted = claims.where("pin is not null").select("claim_id", "doc_id", normalise_pin(F.col("pin")).alias("pin")).where("pin <> ''")
-    wanted = wanted.select("claim_id", "doc_id", "pin", pin_shape(F.col("pin"), rules).alias("shape"), F.explode(pin_forms(F.col("pin"), rules)).alias("f")).select("claim_id", "doc_id", "pin", "shape", "f.norm", "f.at", F.col("f.raw").alias("shown"))
-    tokens = pages.select("doc_id", "page", "row", F.posexplode("plain").alias("token", "t")).select("doc_id", "page", "row", "token", F.col("t.segments").alias("segments"), text_core(F.col("t.text")).alias("core"))
-    # The core is a column of its own, as its forms name it many times.
-    tokens = tokens.select("doc_id", "page", "row", "token", "segments", F.explode(token_forms(F.col("core"), rules)).alias("c"))
-    tokens = tokens.select("doc_id", "page", "row", "token", "segments", "c.raw", "c.norm", "c.shape")
-    found = tokens.join(wanted, ["doc_id", "norm", "shape"]).where(F.col("shown").isNull() | (F.expr("substr(raw, at, 1)") == F.col("shown")))
-    found = found.groupBy("claim_id", "doc_id", "page", "row", "token", "segments").agg(F.bool_or(F.col("raw") == F.col("pin")).alias("same"))
-    return found.select("claim_id", "doc_id", "page", "row", F.lit("pin").alias("key"), F.when(F.col("same"), "exact").otherwise("corrected").alias("strength"), "segments")
-
-
-def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
-    """Every place where a claimed value is printed. ``pages`` are prepared rows."""
-    return date_hits(pages, claims, rules).unionByName(amount_hits(pages, claims, rules)).unionByName(pin_hits(pages, claims, rules))
+    return hits(pages, claims, rules, ("pin",))
 
 
 def with_neighbours(found: DataFrame, rows: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:

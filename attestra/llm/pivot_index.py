@@ -6,7 +6,7 @@ the pairs among its nearest pivots; two vectors meet where they share two or
 more. Those that share enough are verified by their cosine in double precision.
 
 Only vectors of one label and length are compared, so each such group has
-pivots of its own, drawn from its members: about four times the square root of
+pivots of its own, drawn from its members: about eight times the square root of
 their number, so that lists stay short as a group grows. Vectors and pivots are
 seen from the pivots' mean: in a group whose vectors all lie close together the
 directions from there still differ. How close they lie tells how many pivots
@@ -34,7 +34,7 @@ from .staging import components, stage
 from .words import tidy
 
 #: Pivots of a group, at least and at most; between them PER_ROOT for each square root of its vectors, rounded up to a power of two.
-FEWEST, MOST, PER_ROOT = 32, 4096, 4
+FEWEST, MOST, PER_ROOT = 32, 4096, 8
 #: Pivots of a group are less similar to each other than this, as seen from their mean.
 APART = 0.6
 #: Pivots that describe a vector: for groups of up to so many pivots, (residual similarity of a link, nearest pivots), most similar first.
@@ -42,8 +42,8 @@ APART = 0.6
 NEAREST = {64: ((0.8, 6), (0.6, 8), (0.35, 12)), 256: ((0.9, 6), (0.8, 8), (0.6, 12), (0.35, 16)), 1024: ((0.85, 8), (0.75, 12), (0.6, 16)), 4096: ((0.92, 8), (0.85, 12), (0.75, 16))}
 #: Vectors of a group that are described in one task, and of a list that meet in one.
 CHUNK, BLOCK = 4096, 1024
-#: Rows of links that a task holds.
-BATCH_ROWS = 1 << 14
+#: Vectors of a list up to which it is verified together with others.
+SHORT = 16
 SEED = 5
 #: The list of everything.
 ALL = -1
@@ -168,61 +168,104 @@ def _post(wide: bool, least: float, exact: bool):
     return tidy(run)
 
 
+def _own(near_a: np.ndarray, near_b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Pairs whose two lowest shared pivots are those of the list: of the lists that two vectors share, this one counts the pair."""
+    shared = np.sort(np.where((near_a[:, :, None] == near_b[:, None, :]).any(2), near_a, 1 << 20), axis=1)[:, :2]
+    return (shared[:, 0].astype(np.int64) << 20 | shared[:, 1]) == key
+
+
 def _meet(wide: bool, least: float):
-    """Verify the pairs of each list and unit; rows of link counts and of edges that connect what is linked."""
+    """Verify the pairs of each list and unit; rows of link counts and of edges that connect what is linked.
+
+    Short lists are verified many at a time, those of equal length together.
+    """
     kind, names = np.float64 if wide else np.float32, ["a", "b", "n"]
+    none = np.zeros(0, np.int64)
+
+    def column(parts: list[pa.RecordBatch], c: str) -> np.ndarray:
+        return np.concatenate([p.column(c).to_numpy() for p in parts])
 
-    def unit(key: tuple, parts: list[pa.RecordBatch]) -> tuple[list, list, list]:
-        column = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
-        ids, other, weight = column("class"), column("block") != key[3], column("weight")
-        x = _unit(np.concatenate([_matrix(p.column("body"), kind, key[1]) for p in parts]).astype(np.float64))
+    def vectors(parts: list[pa.RecordBatch], dim: int) -> np.ndarray:
+        return _unit(np.concatenate([_matrix(p.column("body"), kind, dim) for p in parts]).astype(np.float64))
+
+    def nears(parts: list[pa.RecordBatch]) -> np.ndarray:
+        return np.concatenate([p.column("near").flatten().to_numpy() for p in parts])
+
+    def unit(key: tuple, parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a long list or of two of its blocks: ends of edges, classes with links, and how many."""
+        ids, other, weight = column(parts, "class"), column(parts, "block") != key[3], column(parts, "weight")
+        x = vectors(parts, key[1])
         link = x @ x.T >= least
         np.fill_diagonal(link, False)
-        if key[3] != key[4]:  # two blocks of a long list: pairs within one of them meet elsewhere
+        if key[3] != key[4]:  # pairs within one of the blocks meet elsewhere
             link &= other[:, None] != other
-        if not link.any():
-            return [], [], []
-        first = link
-        if key[2] != ALL:
-            # Shared pivots are counted up to the list's own two; a pair counts in the list of the two lowest that it shares.
+        if key[2] != ALL and link.any():
             high = key[2] & (1 << 20) - 1
-            near = np.concatenate([p.column("near").flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
+            near = nears(parts).reshape(len(ids), -1)
             seen = np.zeros((len(ids), high + 1), np.float32)
             row, at = np.nonzero(near <= high)
             seen[row, near[row, at]] = 1
-            first = link & (seen @ seen.T == 2)
-        counted = first @ weight
-        label = np.arange(len(ids))
+            link &= seen @ seen.T == 2
+        counted, label = link @ weight, np.arange(len(ids))
         while True:
             best = np.minimum(label, np.where(link, label, len(ids)).min(1))
             if (best == label).all():
                 break
             label = best
         tied, some = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(counted)
-        return [*ids[some], *ids[tied]], [*[None] * len(some), *ids[label[tied]]], [*counted[some], *[0] * len(tied)]
+        return ids[tied], ids[label[tied]], ids[some], counted[some]
+
+    def short(batch: pa.RecordBatch, runs: list[tuple[tuple, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of many short lists of one block."""
+        ids, weight, out = batch.column("class").to_numpy(), batch.column("weight").to_numpy(), []
+        width = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("near")).to_numpy())])
+        near = batch.column("near").flatten().to_numpy()
+        shapes: dict[tuple, list] = {}
+        for key, a, e in runs:
+            shapes.setdefault((key[1], e - a, int(width[a + 1] - width[a])), []).append((a, key[2]))
+        for (dim, m, k), own in shapes.items():
+            start, keys = np.array([o[0] for o in own]), np.array([o[1] for o in own], np.int64)
+            at = start[:, None] + np.arange(m)
+            x = vectors([batch.take(pa.array(at.ravel()))], dim).reshape(len(own), m, dim)
+            r, i, j = np.nonzero(np.triu(x @ x.transpose(0, 2, 1) >= least, 1))
+            i, j, r = at[r, i], at[r, j], keys[r]
+            if len(i) and k:
+                mine = _own(near[width[i][:, None] + np.arange(k)], near[width[j][:, None] + np.arange(k)], r)
+                i, j = i[mine], j[mine]
+            out.append((ids[i], ids[j], np.concatenate([ids[i], ids[j]]), np.concatenate([weight[j], weight[i]])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        a, b, c, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none,) * 4
+        c, at = np.unique(c, return_inverse=True)
+        n = np.bincount(at, n, len(c)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([c, a])), pa.concat_arrays([pa.nulls(len(c), pa.int64()), pa.array(b)]), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts, out = None, [], ([], [], [])
-
-        def close():
-            if sum(map(len, parts)) > 1:
-                for o, v in zip(out, unit(own, parts), strict=True):
-                    o.extend(v)
-            parts.clear()
-
+        own, parts = None, []
         for b in batches:
             if not len(b):
                 continue
-            for key, a, e in _runs(b, UNIT):
-                if key != own:
-                    close()
-                    own = key
-                parts.append(b.slice(a, e - a))
-            if len(out[0]) > BATCH_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
-                out = ([], [], [])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+            runs, found = list(_runs(b, UNIT)), []
+            # The last run may go on in the next batch, and the first may have begun in the one before.
+            if own is not None and runs[0][0] != own:
+                found += [unit(own, parts)] if sum(map(len, parts)) > 1 else []
+                own, parts = None, []
+            inner = runs[1:-1] if own is not None else runs[:-1]
+            if own is not None:
+                parts.append(b.slice(0, runs[0][2]))
+                if len(runs) > 1:
+                    found.append(unit(own, parts))
+                    own, parts = None, []
+            small = [r for r in inner if 1 < r[2] - r[1] <= SHORT and r[0][3] == r[0][4]]
+            if small:
+                found.append(short(b, small))
+            found += [unit(key, [b.slice(a, e - a)]) for key, a, e in inner if e - a > SHORT or key[3] != key[4] and e - a > 1]
+            if own is None:
+                own, parts = runs[-1][0], [b.slice(runs[-1][1], len(b) - runs[-1][1])]
+            yield rows(found)
+        if sum(map(len, parts)) > 1:
+            yield rows([unit(own, parts)])
 
     return tidy(run)
 

@@ -29,7 +29,8 @@ def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
     words = any_of(rules.currency_lower)
     front, back = rf"(?i)^(?:{words})(?=[0-9])", rf"(?i)(?<=[0-9])(?:{words})$"
     marks = [re.escape(end) + "$" for end in rules.no_cents] + [front, back]
-    bare = F.regexp_replace(F.regexp_replace(token, f"^[{rules.prefix_marks}]+", ""), "[.,;:]+$", "")
+    bare = F.regexp_replace(token, f"^[{rules.prefix_marks}]+", "") if rules.prefix_marks else token
+    bare = F.regexp_replace(bare, "[.,;:]+$", "")
 
     def without(t: Column) -> Column:
         less = t

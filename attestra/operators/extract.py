@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import field_date
 from ..functions.money import parse_typed_amount
 from ..functions.text import any_of, split_words
-from ..rules import AMOUNT_LABELS, CLAIMANT_LABELS, DATE_LABELS, PROJECT_LABELS
+from ..rules import FIELDS, FieldRules
 
 
 def label_value(row: Column, labels) -> Column:
@@ -18,8 +18,8 @@ def label_value(row: Column, labels) -> Column:
     return F.when(row.rlike(pattern) & (value != ""), value)
 
 
-def row_date(row: Column) -> Column:
-    value = label_value(row, DATE_LABELS)
+def row_date(row: Column, rules: FieldRules = FIELDS) -> Column:
+    value = label_value(row, rules.date)
     return field_date(F.btrim(F.element_at(F.split(value, r"\|"), 1)))
 
 
@@ -28,21 +28,21 @@ def first_amount(text: Column) -> Column:
     return F.get(F.filter(F.transform(split_words(F.replace(text, F.lit(":"), F.lit(" "))), lambda t: parse_typed_amount(F.btrim(t, F.lit("$€£,")))["value"]), lambda v: v.isNotNull()), F.lit(0))
 
 
-def row_amount(row: Column) -> Column:
+def row_amount(row: Column, rules: FieldRules = FIELDS) -> Column:
     low, has = F.lower(row), F.lit(False)
-    for label in AMOUNT_LABELS:
+    for label in rules.amount:
         has |= low.contains(label)
     return F.when(has, first_amount(row))
 
 
-def fields(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+def fields(lines: DataFrame, tables: DataFrame | None = None, rules: FieldRules = FIELDS) -> DataFrame:
     """``lines(doc_id, page, row, text)`` to one row a document: the first value of each field in order of page and row.
 
     ``tables(doc_id, total)`` holds printed table totals; one that reads as an
     amount takes the place of the amount in the rows.
     """
     t = F.col("text")
-    read = lines.select("doc_id", F.struct("page", "row").alias("at"), label_value(t, CLAIMANT_LABELS).alias("individual_name"), label_value(t, PROJECT_LABELS).alias("project_name"), row_date(t).alias("claim_date"), row_amount(t).alias("claimed_amount"))
+    read = lines.select("doc_id", F.struct("page", "row").alias("at"), label_value(t, rules.claimant).alias("individual_name"), label_value(t, rules.project).alias("project_name"), row_date(t, rules).alias("claim_date"), row_amount(t, rules).alias("claimed_amount"))
     names = ("individual_name", "project_name", "claim_date", "claimed_amount")
     out = read.groupBy("doc_id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in names])
     if tables is None:

@@ -28,14 +28,23 @@ def prepared(rows: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     return rows.withColumn("plain", plain_tokens(F.col("segments"))).withColumn("amounts", joined_tokens(F.col("segments"), rules))
 
 
-def _context(texts: Column, i: Column, rules: MatchingRules) -> Column:
-    """Whether an amount without cents counts beside what stands around it: a currency word, or a total label at the end of the row."""
+def beside_currency(texts: Column, i: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Whether a currency word stands right before or after a token."""
+    return F.coalesce(is_currency(F.get(texts, i - 1), rules), F.lit(False)) & (i > 0) | is_currency(F.get(texts, i + 1), rules)
+
+
+def after_label(texts: Column, i: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Whether a total label of up to three words stands right before a token."""
     before = lambda n: F.lower(F.regexp_replace(F.array_join(F.slice(texts, i - n + 1, n), " "), ":+$", ""))
     label = F.lit(False)
     for n in (1, 2, 3):
         label |= F.when(i >= n, before(n).isin(list(rules.total_labels))).otherwise(False)
-    beside = F.coalesce(is_currency(F.get(texts, i - 1), rules), F.lit(False)) & (i > 0) | is_currency(F.get(texts, i + 1), rules)
-    return beside | ((i == F.size(texts) - 1) & label)
+    return label
+
+
+def _context(texts: Column, i: Column, rules: MatchingRules) -> Column:
+    """Whether an amount without cents counts beside what stands around it: a currency word, or a total label at the end of the row."""
+    return beside_currency(texts, i, rules) | ((i == F.size(texts) - 1) & after_label(texts, i, rules))
 
 
 def amount_tokens(texts: Column, tokens: Column, rules: MatchingRules = MATCHING) -> Column:

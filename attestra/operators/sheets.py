@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import in_order
+
 
 def variance(planned: Column, actual: Column) -> Column:
     return planned - actual
@@ -34,9 +36,16 @@ def next_id(sheet: DataFrame, column: str = "ID") -> DataFrame:
 
 def without_row(sheet: DataFrame, order: str, position: int) -> DataFrame:
     """The sheet without the row at a position (from 0) in the order of a column."""
-    numbered = sheet.withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    numbered, _ = in_order(sheet, [F.col(order)], "_n")
     return numbered.where(F.col("_n") != position + 1).drop("_n")
 
 
+def new_row(sheet: DataFrame, today: Column, id_column: str = "ID") -> DataFrame:
+    """The row that a sheet of text gets next: the next number, today in columns of dates, nothing in the others."""
+    blank = {c: F.date_format(today, "dd/MM/yyyy") if "date" in c.lower() else F.lit("") for c in sheet.columns}
+    row = next_id(sheet, id_column) if id_column in sheet.columns else sheet.sparkSession.range(1).select(F.lit(None).alias("next_id"))
+    return row.select(*[(F.col("next_id").cast("string") if c == id_column else v).alias(c) for c, v in blank.items()])
+
+
 def appended(sheet: DataFrame, row: DataFrame) -> DataFrame:
     return sheet.unionByName(row, allowMissingColumns=True)

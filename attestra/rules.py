@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # Fixed values.
@@ -79,4 +81,84 @@ class RowRules:
             raise ValueError("row rules must not be negative")
 
 
-MATCHING, ROWS = MatchingRules(), RowRules()
+@dataclass(frozen=True)
+class FieldRules:
+    """Labels of the fields of a claim form."""
+
+    claimant: tuple[str, ...] = CLAIMANT_LABELS
+    project: tuple[str, ...] = PROJECT_LABELS
+    date: tuple[str, ...] = DATE_LABELS
+    amount: tuple[str, ...] = AMOUNT_LABELS
+
+
+MATCHING, ROWS, FIELDS = MatchingRules(), RowRules(), FieldRules()
+
+
+def _number(v) -> bool:
+    return isinstance(v, int | float) and not isinstance(v, bool)
+
+
+def _words(v, empty: bool = False) -> bool:
+    return isinstance(v, list) and len(v) > 0 and all(isinstance(x, str) and (x or empty) for x in v)
+
+
+def _letters(v) -> bool:
+    return _words(v) and all(len(x) == 1 for x in v)
+
+
+def _swaps(v) -> bool:
+    return isinstance(v, dict) and all(len(a) == 1 and isinstance(b, str) and len(b) == 1 for a, b in v.items())
+
+
+def _calendar(v) -> bool:
+    return isinstance(v, dict) and sorted(v) == sorted(map(str, range(1, 13))) and all(_words(x) for x in v.values())
+
+
+def _lower(v) -> tuple[str, ...]:
+    return tuple(x.lower() for x in v)
+
+
+#: Key of a rule file: what it must be, whether a value is that, the field it sets, and how.
+Key = tuple[str, Callable[[object], bool], str, Callable]
+_TEXTS = "a list of text that is not empty"
+MATCHING_KEYS: dict[str, Key] = {
+    "currency_words": (_TEXTS, _words, "currency", tuple),
+    "no_cents_endings": (_TEXTS, _words, "no_cents", tuple),
+    "tax_code_letters": ("a list of single characters", _letters, "tax_letters", "".join),
+    "amount_prefix_marks": ("a list of single characters", _letters, "prefix_marks", "".join),
+    "total_labels": (_TEXTS, _words, "total_labels", _lower),
+    "thousands_separators": ("a list of text", lambda v: _words(v, empty=True), "thousands", tuple),
+    "one_decimal_forms": ("true or false", lambda v: isinstance(v, bool), "one_decimal", bool),
+    "tail_join_gap_per_height": ("a number above zero", lambda v: _number(v) and v > 0, "tail_gap", float),
+    "month_names": ("names for each of the months 1 to 12", _calendar, "months", lambda v: tuple(tuple(n.lower() for n in v[str(m)]) for m in range(1, 13))),
+    "date_separators": (_TEXTS, _words, "date_separators", tuple),
+    "pin_formats": ("a list of shapes of L and D", lambda v: _words(v) and not set("".join(v)) - set("LD"), "pin_formats", tuple),
+    "letter_to_digit": ("single characters by single characters", _swaps, "letter_to_digit", dict),
+    "digit_to_letter": ("single characters by single characters", _swaps, "digit_to_letter", dict),
+    "lookalike_pairs": ("a list of pairs of characters", lambda v: isinstance(v, list) and all(_letters(p) and len(p) == 2 for p in v), "lookalikes", lambda v: tuple((a, b) for a, b in v)),
+    "pin_labels": (_TEXTS, _words, "pin_labels", _lower),
+    "neighbours_each_side": ("a whole number, not negative", lambda v: isinstance(v, int) and not isinstance(v, bool) and v >= 0, "neighbours", int),
+}
+_ABOVE_ZERO = ("a number above zero", lambda v: _number(v) and v > 0)
+ROW_KEYS: dict[str, Key] = {
+    "same_row_offset_per_height": (*_ABOVE_ZERO, "offset", float),
+    "max_overlap_per_height": ("a number, not negative", lambda v: _number(v) and v >= 0, "overlap", float),
+    "wide_gap_per_height": (*_ABOVE_ZERO, "wide_gap", float),
+    "wide_gap_text": ("text that is not empty", lambda v: isinstance(v, str) and v != "", "wide_text", str),
+}
+FIELD_KEYS: dict[str, Key] = {f"{k}_labels": (_TEXTS, _words, k, _lower) for k in ("claimant", "project", "date", "amount")}
+
+
+def load_rules(text: str, kind: type = MatchingRules):
+    """Rules of a JSON rule file; a ``ValueError`` names all that is wrong with it at once."""
+    keys = {MatchingRules: MATCHING_KEYS, RowRules: ROW_KEYS, FieldRules: FIELD_KEYS}[kind]
+    try:
+        given = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError("config: not valid JSON") from e
+    if not isinstance(given, dict):
+        raise ValueError("config: not one JSON object")
+    wrong = [f"'{k}' is missing" if k not in given else f"'{k}' must be {what}" for k, (what, fits, _, _) in keys.items() if k not in given or not fits(given[k])]
+    if wrong:
+        raise ValueError("config: " + "; ".join(wrong))
+    return kind(**{to: make(given[k]) for k, (_, _, to, make) in keys.items()})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 METADATA = "month_year string, individual_name string, project_name string, claim_date string, claimed_amount string, verified_amount string, status string, verifier_notes string, verified_by string, updated_at string"
 REPORT = ("month_year", "individual_name", "project_name", "claim_date", "claimed_amount", "verified_amount", "status", "verifier_notes", "verified_by", "updated_at")
 DEFAULTS = {"project_name": "N/A", "claimed_amount": "0.00", "verified_amount": "0.00", "status": "Pending"}
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 WORDS = "doc_id string, page int, ord int, text string, confidence double, box array<array<double>>"
 
 
@@ -20,9 +21,36 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WORDS).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder, by the file system that Spark would read it from."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
+def month_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``month`` of every folder below the store, the last string first, also of empty ones; a listing of names only."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where) if f.isDirectory()] if files.exists(where) else []
+    return spark.createDataFrame([(n,) for n in names], "month string").orderBy(F.col("month").desc())
+
+
+def files_of(files: DataFrame, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """Files right in a folder whose names end in one of the suffixes, letter case aside, by lower-case name."""
+    low = F.lower("file")
+    wanted = F.lit(False)
+    for s in suffixes:
+        wanted |= low.endswith(s.lower())
+    here = F.regexp_replace("path", "/[^/]*$", "").endswith(folder.rstrip("/"))
+    return files.where(here & wanted).orderBy(low, "file")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").schema(BINARY_FILE).load(root) if exists(spark, root) else spark.createDataFrame([], BINARY_FILE)
+    files = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     part = F.split("path", "/")
     return files.select("path", F.element_at(part, -3).alias("month"), F.element_at(part, -2).alias("name"), F.element_at(part, -1).alias("file"), "size", "modified")
 
@@ -32,7 +60,7 @@ def file_role(file: Column) -> Column:
     low = F.lower(file)
     known = low.rlike(r"\.(pdf|png|jpg|jpeg|webp)$")
     return (
-        F.when(file == "claim_meta.json", "metadata")
+        F.when(low == "claim_meta.json", "metadata")
         .when(low.startswith("claim_form"), "claim")
         .when(low.startswith("bank_statement"), "statement")
         .when(low.startswith("receipt_"), "receipt")
@@ -75,7 +103,7 @@ def file_presence(folders: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """Metadata files with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="claim_meta.json").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[cC][lL][aA][iI][mM]_[mM][eE][tT][aA].[jJ][sS][oO][nN]").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
     part = F.split("path", "/")
     return with_defaults(raw.select(F.element_at(part, -3).alias("month"), F.element_at(part, -2).alias("name"), "m.*"))
 
@@ -89,6 +117,14 @@ def folder_name(name: Column) -> Column:
     return F.replace(F.trim(name), F.lit(" "), F.lit("_"))
 
 
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """Every claim folder with its files and its metadata (defaults where there is none), months and names as columns."""
+    folders = file_presence(classified(list_files(spark, root)))
+    if not exists(spark, root):
+        return folders.join(with_defaults(spark.createDataFrame([], f"month string, name string, {METADATA}")), ["month", "name"], "left")
+    return folders.join(read_metadata(spark, root), ["month", "name"], "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if not c.endswith("amount")})
+
+
 def latest(claims: DataFrame) -> DataFrame:
     """Upsert: of the records of one month and folder name, the last one written."""
     order = Window.partitionBy("month_year", folder_name(F.col("individual_name"))).orderBy(F.col("updated_at").desc())
@@ -103,8 +139,9 @@ def write_metadata(claims: DataFrame, path: str) -> None:
 
 
 def write_report(claims: DataFrame, path: str) -> None:
-    """The CSV report of all claims."""
-    claims.select(*REPORT).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """The CSV report of all claims: files in the order of month, name and date, as many as the claims ask for."""
+    order = ("month_year", "individual_name", "claim_date")
+    claims.select(*REPORT).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_trial(report: DataFrame, path: str) -> None:

@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.search import verify
 
+#: Parts of the store by document.
+BUCKETS = 256
 LINES = "doc_id string, page int, row int, text string, version long"
 
 
@@ -24,14 +26,20 @@ def newest(lines: DataFrame) -> DataFrame:
 
 
 def searching(stream: DataFrame, store: str, claims: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Append arriving lines to ``store`` and hand the results of the documents touched to ``publish``."""
+    """Append arriving lines to ``store`` and hand the results of the documents touched to ``publish``.
+
+    The store is dealt out by a hash of the document, so that a batch reads the
+    parts that its documents are in and no others.
+    """
     from ..operators.rows import single_rows
 
     def batch(lines: DataFrame, number: int) -> None:
         spark = lines.sparkSession
-        lines.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+        lines = lines.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).withColumn("batch", F.lit(number))
+        lines.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(store)
         touched = lines.select("doc_id").distinct()
-        known = spark.read.schema(f"{LINES}, batch int").parquet(store).join(touched, "doc_id", "left_semi").drop("batch")
+        buckets = [r[0] for r in lines.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        known = spark.read.schema(f"{LINES}, bucket int, batch int").parquet(store).where(F.col("bucket").isin(buckets)).join(touched, "doc_id", "left_semi").drop("bucket", "batch")
         publish(verify(single_rows(newest(known)), claims.join(touched, "doc_id", "left_semi")), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

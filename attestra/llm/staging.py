@@ -18,6 +18,8 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch: sets and texts are wide.
 BATCH_ROWS = 1000
 _LOW33 = (1 << 33) - 1
+#: Folders taken where none is set, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -27,15 +29,26 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="attestra-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    own = spark.sparkContext.applicationId
+    if own not in _LOCAL:
+        _LOCAL[own] = tempfile.mkdtemp(prefix="attestra-")
+    return _LOCAL[own]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/attestra-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application has written, once no result is read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written. Python workers get it by small batches meanwhile."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/attestra-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     try:

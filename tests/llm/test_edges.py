@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestra.llm import chat_snapshots, kernel_language, mil_quality, mixing, ngram_join, pivot_index, secrets, sharding, string_tiling, url_rules
+from attestra.llm import chat_snapshots, kernel_language, mil_quality, mixing, ngram_join, pivot_index, secrets, sharding, staging, string_tiling, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["size", "class", "n", "position", "_id", "root", "score", "shard", "key", "count", "first", "block"]
@@ -122,6 +122,48 @@ def test_join_in_a_large_group(spark):
     assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == brute.near_duplicates(rows)
 
 
+def test_mixture_stage(spark):
+    """Of each source whole documents come, each as often as the target asks for or once less; words are off by half a document at most, and reruns agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = corpus_pipeline.mixture(spark, docs, "")
+    assert out.columns == docs.columns
+    got, again = ([tuple(r) for r in df.select("doc_id", "source").collect()] for df in (out, corpus_pipeline.mixture(spark, docs, "")))
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    size = {r.doc_id: (r.source, len(brute.WORD.findall(r.text or ""))) for r in docs.collect()}
+    names = sorted({s for s, _ in size.values()}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for t, n in size.values() if t == s) for s in names}
+    target = dict(zip(names, brute.shares([total[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))]), strict=True))
+    for s in names:
+        taken = [i for i, t in got if t == s]
+        own = [i for i, (t, n) in size.items() if t == s and n]
+        assert abs(sum(size[i][1] for i in taken) - target[s]) <= max((size[i][1] for i in own), default=0) / 2 + 1
+        times = [taken.count(i) for i in own]
+        assert max(times) - min(times) <= 1 and max(times) <= 3
+
+
+def test_sharding_stage(spark):
+    """What the last stage returns is the contract of the sharding query, over its own input."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = corpus_pipeline.shards(spark, docs.unionByName(docs), "").collect()
+    assert len(got) == 2 * docs.count()
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    counts = [sum(r.shard == k for r in got) for k in range(8)]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_staged_tables_go(spark, odd, tmp_path, monkeypatch):
+    """Tables are kept by application below the shared folder, and ``clear`` removes those of this one alone."""
+    import os
+
+    monkeypatch.setattr(staging, "staging_root", lambda spark: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    assert staging.stage(odd, "odd").count() == odd.count()
+    assert sorted(os.listdir(tmp_path)) == sorted(["other", f"attestra-{spark.sparkContext.applicationId}"])
+    staging.clear(spark)
+    assert os.listdir(tmp_path) == ["other"]
+
+
 def test_tiles_are_greedy():
     """Random items and texts of few words, where runs cross and overlap, against the definition."""
     import random

@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders taken where none is set, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; unset, a local folder, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _LOCAL:
+        _LOCAL[own] = tempfile.mkdtemp(prefix="attestra-")
+    return _LOCAL[own]
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -24,6 +24,21 @@ def amount_forms(value: Column, rules: MatchingRules = MATCHING) -> Column:
     return F.when(value.isNotNull(), F.struct(F.array_distinct(full).alias("with_cents"), bare.alias("without_cents")))
 
 
+def read_amount(core: Column, rules: MatchingRules = MATCHING) -> Column:
+    """What a printed form says: struct of ``cents`` (the amount in cents) and ``full`` (whether cents are printed); null for what is no form of an amount.
+
+    The inverse of ``amount_forms``: a core is one of an amount's forms if and
+    only if ``cents`` is the amount's, and it is one of those with cents if and
+    only if ``full``.
+    """
+    marks = [re.escape(s) for s in rules.thousands if s]
+    heads = ["0", "[1-9][0-9]{0,2}", *[f"[1-9][0-9]{{0,2}}(?:{m}[0-9]{{3}})+" for m in marks]] + (["[1-9][0-9]+"] if "" in rules.thousands else [])
+    pattern = f"^({'|'.join(heads)})(?:\\.({'[0-9]{1,2}' if rules.one_decimal else '[0-9]{2}'}))?$"
+    part = lambda i: F.regexp_extract(core, pattern, i)
+    cents = F.concat(F.regexp_replace(part(1), "[^0-9]", ""), F.rpad(part(2), 2, "0")).try_cast("long")
+    return F.when(core.rlike(pattern), F.struct(cents.alias("cents"), (part(2) != "").alias("full")))
+
+
 def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
     """Struct of ``core`` and ``attached``: the token without what printers put around an amount; whether a currency or no-cents mark was among it."""
     words = any_of(rules.currency_lower)

@@ -37,30 +37,17 @@ def token_forms(core: Column, rules: MatchingRules = MATCHING) -> Column:
     return F.flatten(F.transform(raws, shapes))
 
 
-def pin_forms(pin: Column, rules: MatchingRules = MATCHING) -> Column:
-    """Array of (norm, at, raw): normal forms that stand for a PIN; where ``at`` is set, the raw token must hold ``raw`` there (any, if null).
-
-    The PIN itself, and the PIN with one character exchanged for a look-alike:
-    by what the token shows, or by what that is taken for in its place.
-    """
-    pin = normalise_pin(pin)
-    shape = pin_shape(pin, rules)
-    partners = F.create_map(*[x for c, ps in rules.partners().items() for x in (F.lit(c), F.array(*[F.lit(p) for p in ps]))])
-    digit = F.create_map(*[F.lit(x) for kv in rules.letter_to_digit.items() for x in kv])
-    letter = F.create_map(*[F.lit(x) for kv in rules.digit_to_letter.items() for x in kv])
-    one = "struct<norm:string,at:int,raw:string>"
-    itself = F.array(F.struct(pin.alias("norm"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("raw")).cast(one))
-
-    def at(i: Column) -> Column:
-        own = pin.substr(i, F.lit(1))
-        kind = shape.substr(i, F.lit(1))
-        put = lambda c: F.concat(pin.substr(F.lit(1), i - 1), c, pin.substr(i + 1, F.length(pin)))
-
-        def variants(q: Column) -> Column:
-            seen = F.when(kind == "D", F.coalesce(F.try_element_at(digit, q), q)).when(kind == "L", F.coalesce(F.try_element_at(letter, q), q)).otherwise(q)
-            return F.array(F.struct(put(q).alias("norm"), i.alias("at"), F.lit(None).cast("string").alias("raw")).cast(one), F.struct(put(seen).alias("norm"), i.alias("at"), q.alias("raw")).cast(one))
-
-        return F.flatten(F.transform(F.coalesce(F.try_element_at(partners, own), F.array().cast("array<string>")), variants))
-
-    others = F.flatten(F.transform(F.sequence(F.lit(1), F.length(pin)), at))
-    return F.when(F.length(pin) > 0, F.array_distinct(F.concat(itself, F.filter(others, lambda v: v["norm"] != pin))))
+def halves(pin: Column, shape: Column) -> Column:
+    """Two keys, of which two PINs that differ in one character at most share one: (key, which half)."""
+    n = F.length(pin)
+    left, right = pin.substr(F.lit(1), F.floor(n / 2).cast("int")), pin.substr(F.floor(n / 2).cast("int") + 1, n)
+    return F.transform(F.array(F.struct(F.lit("l").alias("side"), left.alias("text")), F.struct(F.lit("r").alias("side"), right.alias("text"))), lambda h: F.struct(F.concat_ws(":", F.lit("p"), shape, n.cast("string"), h["side"], h["text"]).alias("key"), h["side"].alias("side")))
+
+
+def stands_for(raw: Column, norm: Column, pin: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Whether a token of a PIN's length can stand for it: its normal form is the PIN, or differs in one place by a look-alike of what is shown, or of what that is taken for."""
+    pairs = [a + b for x, y in rules.lookalikes for a, b in ((x, y), (y, x))]
+    at = lambda c, i: c.substr(i, F.lit(1))
+    wrong = F.filter(F.sequence(F.lit(1), F.length(pin)), lambda i: at(norm, i) != at(pin, i))
+    like = F.exists(wrong, lambda i: F.concat(at(raw, i), at(pin, i)).isin(pairs) | F.concat(at(norm, i), at(pin, i)).isin(pairs))
+    return F.when(norm == pin, True).otherwise((F.size(wrong) == 1) & like)

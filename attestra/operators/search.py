@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_code, read_form
-from ..functions.money import amount_core, amount_forms, is_currency
-from ..functions.pins import normalise_pin, pin_forms, pin_shape, token_forms
+from ..functions.money import amount_core, is_currency, read_amount
+from ..functions.pins import halves, normalise_pin, pin_shape, stands_for, token_forms
 from ..functions.text import joined_tokens, let, plain_tokens, text_core
 from ..rules import MATCHING, MatchingRules
 
@@ -96,32 +96,34 @@ def signs(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ..
     # A time may follow a date without a blank: every beginning that a time follows is a date of its own.
     c = F.col("text")
     starts = F.filter(F.transform(F.sequence(F.lit(6), F.length(c) - 4), lambda n: F.when(c.substr(n + 1, F.length(c)).rlike(r"^[0-9]{1,3}:[0-9]{2}"), c.substr(F.lit(1), n))), lambda x: x.isNotNull())
-    form = "struct<text:string,raw:string,shape:string>"
-    whole = F.array(F.struct(c, F.lit(None), F.lit(None)).cast(form))
-    fused = F.concat(whole, F.transform(starts, lambda x: F.struct(x, F.lit(None), F.lit(None)).cast(form)))
-    pins = F.transform(token_forms(c, rules), lambda f: F.struct(f["norm"], f["raw"], f["shape"]).cast(form))
+    form = "struct<text:string,raw:string,norm:string,side:string>"
+    none = F.lit(None)
+    whole = F.array(F.struct(c, none, none, none).cast(form))
+    fused = F.concat(whole, F.transform(starts, lambda x: F.struct(x, none, none, none).cast(form)))
+    pins = F.flatten(F.transform(token_forms(c, rules), lambda f: F.transform(halves(f["norm"], f["shape"]), lambda h: F.struct(h["key"], f["raw"], f["norm"], h["side"]).cast(form))))
     forms = F.when(F.col("kind") == "pin", pins).when((F.col("kind") == "token") & c.contains(":") & (F.length(c) >= 10), fused).otherwise(whole)
     out = one.select("doc_id", "page", "row", "kind", "token", "bare", "segments", F.explode(forms).alias("f"))
-    is_date = F.col("kind").isin("date", "token")
-    out = out.withColumn("d", F.when(is_date, read_form(F.col("f.text"), rules))).where(~is_date | F.col("d").isNotNull())
-    key = F.when(is_date, F.concat(F.lit("d:"), F.col("d.code").cast("string"))).when(F.col("kind") == "pin", F.concat_ws(":", F.lit("p"), "f.shape", "f.text")).otherwise(F.concat(F.lit("a:"), F.col("f.text")))
-    return out.select("doc_id", key.alias("form"), "page", "row", F.when(is_date, "date").otherwise(F.col("kind")).alias("kind"), "token", "bare", "segments", F.col("d.full").alias("full"), F.col("f.raw").alias("raw"))
+    is_date, is_amount = F.col("kind").isin("date", "token"), F.col("kind").isin("amount", "faded")
+    out = out.withColumn("d", F.when(is_date, read_form(F.col("f.text"), rules))).withColumn("a", F.when(is_amount, read_amount(F.col("f.text"), rules)))
+    key = F.when(is_date, F.concat(F.lit("d:"), F.col("d.code").cast("string"))).when(is_amount, F.concat(F.lit("a:"), F.col("a.cents").cast("string"))).otherwise(F.col("f.text"))
+    # What is no date and no amount has no key; an amount without cents has to stand beside a currency word or the like.
+    counts = ~is_amount | F.col("a.full") | F.coalesce("bare", F.lit(False))
+    return out.where(key.isNotNull() & counts).select("doc_id", key.alias("form"), "page", "row", F.when(is_date, "date").otherwise(F.col("kind")).alias("kind"), "token", "segments", F.col("d.full").alias("full"), F.col("f.raw").alias("raw"), F.col("f.norm").alias("norm"), F.col("f.side").alias("side"))
 
 
 def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Every form that claims ask for: a date by its day, an amount by its prints, a PIN by what may be read in its place."""
-    ask = "struct<form:string,cents:boolean,year:int,at:int,shown:string,pin:string>"
+    """What claims ask for, a few rows each: a date by its day, an amount by its cents, a PIN by its halves, one of which is left when a character is misread."""
+    ask = "struct<form:string,year:int,pin:string>"
     none = F.lit(None)
     asks = []
     if "date" in keys:
-        asks.append(F.when(F.col("date").isNotNull(), F.array(F.struct(F.concat(F.lit("d:"), date_code(F.col("date")).cast("string")), none, F.year("date"), none, none, none).cast(ask))))
+        asks.append(F.when(F.col("date").isNotNull(), F.array(F.struct(F.concat(F.lit("d:"), date_code(F.col("date")).cast("string")), F.year("date"), none).cast(ask))))
     if "amount" in keys:
-        forms = amount_forms(F.col("amount"), rules)
-        amount = lambda f, cents: F.transform(f, lambda x: F.struct(F.concat(F.lit("a:"), x), F.lit(cents), none, none, none, none).cast(ask))
-        asks += [amount(forms["with_cents"], True), amount(forms["without_cents"], False)]
+        cents = (F.col("amount").cast("decimal(18,2)") * 100).cast("long")
+        asks.append(F.when(cents.isNotNull(), F.array(F.struct(F.concat(F.lit("a:"), cents.cast("string")), none, none).cast(ask))))
     if "pin" in keys:
-        pin, shape = normalise_pin(F.col("pin")), pin_shape(normalise_pin(F.col("pin")), rules)
-        asks.append(F.when(pin != "", F.transform(pin_forms(F.col("pin"), rules), lambda f: F.struct(F.concat_ws(":", F.lit("p"), shape, f["norm"]), none, none, f["at"], f["raw"], pin).cast(ask))))
+        pin = normalise_pin(F.col("pin"))
+        asks.append(F.when(pin != "", F.transform(halves(pin, pin_shape(pin, rules)), lambda h: F.struct(h["key"], none, pin).cast(ask))))
     every = F.concat(*[F.coalesce(c, F.array().cast(f"array<{ask}>")) for c in asks])
     return claims.select("claim_id", "doc_id", F.explode(every).alias("w")).select("claim_id", "doc_id", "w.*")
 
@@ -129,8 +131,10 @@ def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str,
 def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every place where a claimed value is printed. ``pages`` are prepared rows."""
     found = signs(pages, rules, keys).join(wanted(claims, rules, keys), ["doc_id", "form"])
-    kind, cents = F.col("kind"), F.col("cents")
-    fits = F.when(kind == "date", F.col("full").isNull() | (F.col("full") == F.col("year"))).when(kind == "amount", cents | F.col("bare")).when(kind == "faded", cents).otherwise(F.col("shown").isNull() | (F.expr("substr(raw, at, 1)") == F.col("shown")))
+    kind, n = F.col("kind"), F.floor(F.length("pin") / 2).cast("int")
+    # A PIN that shares both halves is met twice; the left one counts.
+    once = (F.col("side") == "l") | (F.col("norm").substr(F.lit(1), n) != F.col("pin").substr(F.lit(1), n))
+    fits = F.when(kind == "date", F.col("full").isNull() | (F.col("full") == F.col("year"))).when(kind == "pin", once & stands_for(F.col("raw"), F.col("norm"), F.col("pin"), rules)).otherwise(True)
     strength = F.when(kind == "faded", "possible").when((kind == "pin") & (F.col("raw") != F.col("pin")), "corrected").otherwise("exact")
     found = found.where(fits).select("claim_id", "doc_id", "page", "row", F.when(kind == "faded", "amount").otherwise(kind).alias("key"), F.struct("token", "segments", strength.alias("strength")).alias("f"))
     # From here on all that is grouped is grouped by claim and document first: finds move once.

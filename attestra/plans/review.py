@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -12,8 +13,14 @@ from ..streaming import arrivals
 from . import receipts
 from .queries import CLAIMS, HITS, LINES, LIST, ORDERS, registered
 
-K = F.col("kind")
-TODAY = F.lit("2026-09-24").cast("date")
+
+def _kind() -> Column:
+    """What an order's print or record is like."""
+    return F.col("kind")
+
+
+def _today() -> Column:
+    return F.lit("2026-09-24").cast("date")
 
 
 @registered(f"""WITH {ORDERS} SELECT claim_id, CASE WHEN kind IN (2, 3) THEN NULL WHEN kind = 4 THEN NULL ELSE day END AS date,
@@ -22,9 +29,9 @@ CASE WHEN kind IN (2, 3) THEN 'query: date or amount cannot be read' END AS quer
 def typed_claims(spark, sf_dir):
     """What is typed for a claim: half cents go to the even one, and what cannot be read asks for nothing."""
     o = receipts.orders(spark, sf_dir)
-    day = F.when(K == 2, F.date_format("day", "dd/MM/yyyy")).when(K == 4, F.lit(None)).when(K == 5, F.date_format("day", "yyyyMMdd")).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    day = F.when(_kind() == 2, F.date_format("day", "dd/MM/yyyy")).when(_kind() == 4, F.lit(None)).when(_kind() == 5, F.date_format("day", "yyyyMMdd")).otherwise(F.date_format("day", "yyyy-MM-dd"))
     text = F.col("total").cast("string")
-    amount = F.when(K == 1, F.concat(text, F.lit("5"))).when(K == 3, F.concat(text, F.lit("a"))).when(K == 6, F.concat(F.lit(" "), text)).otherwise(text)
+    amount = F.when(_kind() == 1, F.concat(text, F.lit("5"))).when(_kind() == 3, F.concat(text, F.lit("a"))).when(_kind() == 6, F.concat(F.lit(" "), text)).otherwise(text)
     return claim_ops.typed_claims(o.select("claim_id", "doc_id", day.alias("date"), amount.alias("amount"), F.col("number").alias("pin"))).drop("doc_id")
 
 
@@ -32,8 +39,8 @@ def typed_claims(spark, sf_dir):
 CASE WHEN kind = 3 THEN 'OCR Pending' ELSE 'P' || CAST(kind AS VARCHAR) END AS project_name, CASE WHEN kind = 1 THEN '2026-09-24' ELSE strftime(day, '%Y-%m-%d') END AS claim_date, CAST(CASE WHEN kind = 4 THEN 0 ELSE total END AS DECIMAL(18,2)) AS claimed_amount FROM o""")
 def upload_records(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
-    found = o.select(F.col("claim_id").alias("doc_id"), F.when(K != 2, F.concat(F.lit("Customer "), F.col("doc_id"))).alias("individual_name"), F.when(K != 3, F.concat(F.lit("P"), K.cast("string"))).alias("project_name"), F.when(K != 1, F.col("day")).alias("claim_date"), F.when(K != 4, F.col("total")).alias("claimed_amount"))
-    return claim_ops.upload_record(found, TODAY)
+    found = o.select(F.col("claim_id").alias("doc_id"), F.when(_kind() != 2, F.concat(F.lit("Customer "), F.col("doc_id"))).alias("individual_name"), F.when(_kind() != 3, F.concat(F.lit("P"), _kind().cast("string"))).alias("project_name"), F.when(_kind() != 1, F.col("day")).alias("claim_date"), F.when(_kind() != 4, F.col("total")).alias("claimed_amount"))
+    return claim_ops.upload_record(found, _today())
 
 
 @registered(f"""WITH {ORDERS}, s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (kind > 1) AS ok, count(*) FILTER (kind = 1) AS bad, string_agg('page ' || CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (kind = 1) AS errors FROM o GROUP BY doc_id)
@@ -41,28 +48,28 @@ SELECT doc_id, n AS n_pages, ok AS n_searched, bad AS n_unreadable, coalesce(err
 def document_states(spark, sf_dir):
     """Pages of kind 0 were not read yet, those of kind 1 could not be."""
     o = receipts.orders(spark, sf_dir)
-    read = o.where("kind <> 0").select("doc_id", "page", F.when(K == 1, F.concat(F.lit("page "), F.col("page").cast("string"))).alias("error"))
+    read = o.where("kind <> 0").select("doc_id", "page", F.when(_kind() == 1, F.concat(F.lit("page "), F.col("page").cast("string"))).alias("error"))
     return claim_ops.document_states(o.select("doc_id", "page"), read).withColumn("errors", F.array_join("errors", ","))
 
 
 @registered(f"WITH {ORDERS} SELECT count(DISTINCT doc_id) AS n_files FROM o WHERE kind > 1")
 def files_with_readings(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
-    return claim_ops.files_with_readings(claim_ops.searchable(o.select("doc_id", F.when(K <= 1, "unreadable").alias("error"))))
+    return claim_ops.files_with_readings(claim_ops.searchable(o.select("doc_id", F.when(_kind() <= 1, "unreadable").alias("error"))))
 
 
 @registered(f"""WITH {ORDERS} SELECT claim_id, '[' || strftime(CAST('2026-09-24 08:00:00' AS TIMESTAMP) + to_seconds(claim_id % 3600), '%H:%M:%S') || '] ocr: ' || CASE WHEN kind = 0 THEN '?' ELSE doc_id || '.pdf' END || CASE WHEN kind IN (1, 2) OR page = 0 THEN '' ELSE ' page ' || CAST(page AS VARCHAR) END || ' - could not be read' || CASE WHEN kind = 3 THEN ' (ValueError: bad scan)' ELSE '' END AS line FROM o""")
 def error_lines(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
     when = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-09-24 08:00:00").cast("timestamp")) + F.col("claim_id") % 3600)
-    line = claim_ops.error_line(when, F.lit("ocr"), F.when(K != 0, F.concat(F.col("doc_id"), F.lit(".pdf"))), F.when(K == 1, 0).when(K != 2, F.col("page")), F.lit("could not be read"), F.when(K == 3, "ValueError"), F.when(K == 3, "bad scan"))
+    line = claim_ops.error_line(when, F.lit("ocr"), F.when(_kind() != 0, F.concat(F.col("doc_id"), F.lit(".pdf"))), F.when(_kind() == 1, 0).when(_kind() != 2, F.col("page")), F.lit("could not be read"), F.when(_kind() == 3, "ValueError"), F.when(_kind() == 3, "bad scan"))
     return o.select("claim_id", line.alias("line"))
 
 
 @registered(f"WITH {ORDERS}, e AS (SELECT doc_id, kind AS page, 'ocr' AS stage, 'error ' || CAST(claim_id % 3 AS VARCHAR) AS detail FROM o WHERE kind < 3) SELECT doc_id, page, stage, min(detail) AS detail, count(*) AS n_times FROM e GROUP BY ALL")
 def errors_once(spark, sf_dir):
     o = receipts.orders(spark, sf_dir).where("kind < 3")
-    return claim_ops.errors_once(o.select("doc_id", K.alias("page"), F.lit("ocr").alias("stage"), F.concat(F.lit("error "), (F.col("claim_id") % 3).cast("string")).alias("detail")))
+    return claim_ops.errors_once(o.select("doc_id", _kind().alias("page"), F.lit("ocr").alias("stage"), F.concat(F.lit("error "), (F.col("claim_id") % 3).cast("string")).alias("detail")))
 
 
 @registered(f"""WITH {ORDERS}, {LIST}, n AS (SELECT claim_id, row_number() OVER (ORDER BY month_year DESC, individual_name, claim_id) AS place, count(*) OVER () AS n FROM s)
@@ -83,7 +90,7 @@ def selected_claims(spark, sf_dir):
 @registered(f"WITH {ORDERS} SELECT claim_id, CASE WHEN kind < 4 THEN strftime(day, '%Y_%m') ELSE 'archive' END AS month FROM o")
 def month_keys(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
-    name = F.when(K < 2, F.date_format("day", "MM_yyyy")).when(K < 4, F.date_format("day", "yyyy_MM")).otherwise(F.lit("archive"))
+    name = F.when(_kind() < 2, F.date_format("day", "MM_yyyy")).when(_kind() < 4, F.date_format("day", "yyyy_MM")).otherwise(F.lit("archive"))
     return o.select("claim_id", claim_ops.month_key(name).alias("month"))
 
 
@@ -92,7 +99,7 @@ def form_fields(spark, sf_dir):
     """All four fields of claim forms, dates in four ways, and a printed table total that goes before the rows' amounts."""
     o = receipts.orders(spark, sf_dir)
     day = F.element_at(F.array(*[F.date_format("day", p) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "d-M-yyyy", "dd.MM.yyyy")]), (F.col("claim_id") % 4 + 1).cast("int"))
-    texts = F.array(F.concat(F.lit("Claimant: Customer "), F.col("doc_id")), F.concat(F.lit("PROJECT:P"), K.cast("string")), F.concat(F.lit("Claim Date: "), day, F.lit(" | form")), F.concat(F.lit("Total paid: $"), F.format_number(F.col("total"), 2)))
+    texts = F.array(F.concat(F.lit("Claimant: Customer "), F.col("doc_id")), F.concat(F.lit("PROJECT:P"), _kind().cast("string")), F.concat(F.lit("Claim Date: "), day, F.lit(" | form")), F.concat(F.lit("Total paid: $"), F.format_number(F.col("total"), 2)))
     lines = o.select("doc_id", "page", F.posexplode(texts).alias("row", "text"))
     tables = o.groupBy("doc_id").agg(F.concat(F.lit("KSh: "), F.format_number(F.max("total"), 2)).alias("total"))
     return extract.fields(lines, tables)
@@ -103,9 +110,9 @@ def printed_dates(spark, sf_dir):
     """Dates as printed, day first: numbers with three separators, two digits of the year (of this century, so moved back here), a month's name, and what is no date."""
     o = receipts.orders(spark, sf_dir)
     f = lambda p: F.date_format("day", p)
-    shown = F.when(K == 0, f("d/M/yyyy")).when(K == 1, f("dd-MM-yyyy")).when(K == 2, f("dd.MM.yyyy")).when(K == 3, f("d-MMM-yyyy")).when(K == 4, f("dd/MM/yy")).when(K == 5, f("MM/dd/yyyy")).otherwise(F.lit("31/02/2026"))
+    shown = F.when(_kind() == 0, f("d/M/yyyy")).when(_kind() == 1, f("dd-MM-yyyy")).when(_kind() == 2, f("dd.MM.yyyy")).when(_kind() == 3, f("d-MMM-yyyy")).when(_kind() == 4, f("dd/MM/yy")).when(_kind() == 5, f("MM/dd/yyyy")).otherwise(F.lit("31/02/2026"))
     read = dates.printed_date(shown)
-    return o.select("claim_id", F.when(K == 4, F.add_months(read, (F.year("day") - F.year(read)) * 12)).otherwise(read).alias("day"))
+    return o.select("claim_id", F.when(_kind() == 4, F.add_months(read, (F.year("day") - F.year(read)) * 12)).otherwise(read).alias("day"))
 
 
 @registered(f"""WITH {ORDERS} SELECT claim_id, 'N/A' AS project_name, CAST(CASE WHEN kind IN (0, 6) THEN 0 WHEN kind = 1 THEN NULL ELSE total END AS DECIMAL(22,2)) AS claimed_amount, 'Pending' AS status FROM o""")
@@ -113,7 +120,7 @@ def metadata_defaults(spark, sf_dir):
     """Records of metadata with fields that are missing or no number."""
     o = receipts.orders(spark, sf_dir)
     none = F.lit(None).cast("string")
-    raw = o.select("claim_id", none.alias("project_name"), F.when(K == 0, none).when(K == 1, "not a number").when(K == 6, "0").otherwise(F.col("total").cast("string")).alias("claimed_amount"), none.alias("verified_amount"), none.alias("status"))
+    raw = o.select("claim_id", none.alias("project_name"), F.when(_kind() == 0, none).when(_kind() == 1, "not a number").when(_kind() == 6, "0").otherwise(F.col("total").cast("string")).alias("claimed_amount"), none.alias("verified_amount"), none.alias("status"))
     return store.with_defaults(raw).select("claim_id", "project_name", F.col("claimed_amount").cast("decimal(22,2)").alias("claimed_amount"), "status")
 
 
@@ -127,7 +134,7 @@ def identical_files(spark, sf_dir):
 def newest_lines(spark, sf_dir):
     """Of the versions of a page that arrived, the rows of the newest."""
     o = receipts.orders(spark, sf_dir)
-    lines = o.select("doc_id", K.alias("page"), F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("row", "text"), F.col("claim_id").alias("version"))
+    lines = o.select("doc_id", _kind().alias("page"), F.posexplode(F.array(F.lit("first"), F.lit("second"))).alias("row", "text"), F.col("claim_id").alias("version"))
     return arrivals.newest(lines).select("doc_id", "page", "version", "text")
 
 
@@ -143,7 +150,7 @@ def possible_matches(spark, sf_dir):
     """Pages whose totals lost their decimal points: what is possible and what is found."""
     o = receipts.orders(spark, sf_dir)
     full, page = F.format_number("total", 2), F.col("claim_id").cast("string")
-    shown = F.when(K == 6, full).otherwise(F.concat(F.replace(full, F.lit("."), F.lit(" ")), F.lit(" KSh")))
+    shown = F.when(_kind() == 6, full).otherwise(F.concat(F.replace(full, F.lit("."), F.lit(" ")), F.lit(" KSh")))
     asked = o.select("claim_id", page.alias("doc_id"), F.lit(None).cast("date").alias("date"), F.col("total").alias("amount"), F.lit(None).cast("string").alias("pin"))
     found = search.hits(search.prepared(rows.single_rows(o.select(page.alias("doc_id"), "page", F.lit(0).alias("row"), shown.alias("text")))), asked)
     return search.page_matches(found).select("claim_id", "amount_possible", "amount_found", "date_possible", "pin_possible")
@@ -184,7 +191,7 @@ def page_points(spark, sf_dir):
 def sheet_row(spark, sf_dir):
     """The row that a sheet gets next."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return sheets.new_row(o.select(F.col("o_orderkey").cast("string").alias("ID"), F.col("o_orderdate").cast("string").alias("Entry Date"), F.lit("").alias("Notes")), TODAY)
+    return sheets.new_row(o.select(F.col("o_orderkey").cast("string").alias("ID"), F.col("o_orderdate").cast("string").alias("Entry Date"), F.lit("").alias("Notes")), _today())
 
 
 @registered("WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderkey FROM s WHERE n <> 11")
@@ -196,7 +203,7 @@ def sheet_without_row(spark, sf_dir):
 def listed_files(spark, sf_dir):
     """The PDFs of one folder."""
     o = receipts.orders(spark, sf_dir)
-    ends = F.when(K == 1, ".PDF").when(K == 2, ".pdf").otherwise(".txt")
+    ends = F.when(_kind() == 1, ".PDF").when(_kind() == 2, ".pdf").otherwise(".txt")
     files = o.select(F.concat_ws("/", "doc_id", F.concat(F.col("claim_id").cast("string"), ends)).alias("path"), F.concat(F.col("claim_id").cast("string"), ends).alias("file"), "doc_id")
     first = files.agg(F.min("doc_id")).first()[0]
     return store.files_of(files.where(F.col("doc_id") == first), first, (".pdf",)).select("path")

@@ -9,7 +9,11 @@ from ..operators import rows, scores, search, trials
 from . import receipts
 from .queries import ORDERS, registered
 
-K = F.col("kind")
+
+def _kind() -> Column:
+    return F.col("kind")
+
+
 GROUPED = "format('{:,.2f}', CAST(total AS DOUBLE))"
 SHORT = "format('{:,}', CAST(floor(total) AS BIGINT))"
 #: How an amount, a date and a PIN are printed, by the order's kind.
@@ -17,9 +21,9 @@ AMOUNT_TEXT = f"""'TOTAL ' || CASE kind WHEN 0 THEN {GROUPED} WHEN 1 THEN 'KSh'
 
 
 def _by_kind(*shown: Column) -> Column:
-    out = F.when(K == 0, shown[0])
+    out = F.when(_kind() == 0, shown[0])
     for i, c in enumerate(shown[1:], 1):
-        out = out.when(K == i, c)
+        out = out.when(_kind() == i, c)
     return out
 
 
@@ -113,7 +117,8 @@ def pin_rule_trial(spark, sf_dir):
     return _tally(_cases(each, "pin", F.col("claim"), F.col("category"), F.col("category") == "printed"), _pages(o, _pin_text()), "pin")
 
 
-SEGMENTS = F.array(*[F.struct(t.alias("text"), F.lit(float(x)).alias("left"), F.lit(float(x + w)).alias("right"), F.lit(20.0).alias("height")) for t, x, w in ((F.lit("TOTAL"), 0, 50), (F.format_number(F.floor("total"), 0), 60, 50), (F.concat(F.lit("."), F.right(F.col("total").cast("string"), F.lit(2))), 112, 20), (F.concat(F.lit("no "), F.col("claim_id").cast("string"), F.lit(" 000 5")), 300, 90))])
+def _segments() -> Column:
+    return F.array(*[F.struct(t.alias("text"), F.lit(float(x)).alias("left"), F.lit(float(x + w)).alias("right"), F.lit(20.0).alias("height")) for t, x, w in ((F.lit("TOTAL"), 0, 50), (F.format_number(F.floor("total"), 0), 60, 50), (F.concat(F.lit("."), F.right(F.col("total").cast("string"), F.lit(2))), 112, 20), (F.concat(F.lit("no "), F.col("claim_id").cast("string"), F.lit(" 000 5")), 300, 90))])
 
 
 @registered(f"""WITH {ORDERS}, s AS (SELECT claim_id, {SHORT} AS whole, '.' || right(CAST(total AS VARCHAR), 2) AS tail, CAST(claim_id AS VARCHAR) AS n FROM o),
@@ -123,7 +128,7 @@ UNION ALL SELECT claim_id, 'none', true, CASE WHEN length(n) <= 3 THEN ['TOTAL',
 SELECT claim_id, joined, merged, array_to_string(tokens, '|') AS tokens FROM t""")
 def token_settings(spark, sf_dir):
     """A row of four segments as tokens, by each way of joining neighbours and with blanks between thousands removed."""
-    o = receipts.orders(spark, sf_dir).select("claim_id", SEGMENTS.alias("segments"))
+    o = receipts.orders(spark, sf_dir).select("claim_id", _segments().alias("segments"))
     made = [(j, m, trials.trial_tokens(F.col("segments"), trials.TextSettings(j, 0.6, m))) for j, m in (("none", False), ("near", False), ("tail", False), ("all", False), ("none", True))]
     each = F.explode(F.array(*[F.struct(F.lit(j).alias("joined"), F.lit(m).alias("merged"), F.array_join(t, "|").alias("tokens")) for j, m, t in made]))
     return o.select("claim_id", each.alias("t")).select("claim_id", "t.*")
@@ -151,13 +156,13 @@ def decoys_not_printed(spark, sf_dir):
 SELECT rule, source, CASE WHEN expected AND found THEN 'found' WHEN expected THEN 'missed' WHEN found THEN 'FALSE MATCH' ELSE 'rejected' END AS outcome, inherent, count(*) AS n, avg(ms) AS mean_ms FROM r GROUP BY ALL""")
 def trial_summary(spark, sf_dir):
     k = F.col("claim_id")
-    r = receipts.orders(spark, sf_dir).select(F.concat(F.lit("rule"), (k % 5).cast("string")).alias("rule"), F.col("o_orderstatus").alias("source"), F.when(K == 5, trials.INHERENT).otherwise("other").alias("category"), (K < 4).alias("expected"), (k % 11 < 5).alias("found"), (K / 2).alias("ms"))
+    r = receipts.orders(spark, sf_dir).select(F.concat(F.lit("rule"), (k % 5).cast("string")).alias("rule"), F.col("o_orderstatus").alias("source"), F.when(_kind() == 5, trials.INHERENT).otherwise("other").alias("category"), (_kind() < 4).alias("expected"), (k % 11 < 5).alias("found"), (_kind() / 2).alias("ms"))
     return trials.outcome_counts(r)
 
 
 @registered(f"WITH {ORDERS} SELECT CASE WHEN kind < 3 THEN 'amount' ELSE 'pin' END AS kind, o_orderstatus AS source, kind % 2 = 0 AS expected, claim_id % 11 < 5 AS found, count(*) AS n FROM o GROUP BY ALL")
 def trial_confusion(spark, sf_dir):
-    r = receipts.orders(spark, sf_dir).select(F.when(K < 3, "amount").otherwise("pin").alias("kind"), F.col("o_orderstatus").alias("source"), (K % 2 == 0).alias("expected"), (F.col("claim_id") % 11 < 5).alias("found"))
+    r = receipts.orders(spark, sf_dir).select(F.when(_kind() < 3, "amount").otherwise("pin").alias("kind"), F.col("o_orderstatus").alias("source"), (_kind() % 2 == 0).alias("expected"), (F.col("claim_id") % 11 < 5).alias("found"))
     return trials.confusion(r)
 
 
@@ -175,8 +180,8 @@ def variant_scores(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
     lines = lambda amount, pin: F.array_compact(F.array(F.concat(F.lit("TOTAL|"), F.replace(amount.cast("string"), F.lit(","), F.lit(""))), pin))
     pin = F.concat(F.lit("PIN|"), F.col("number"))
-    read = [("current", lines(F.col("total"), pin)), ("other", lines(F.when(K == 2, F.col("total") + F.lit("0.01").cast("decimal(3,2)")).otherwise(F.col("total")).cast("decimal(18,2)"), F.when(K != 3, pin)))]
-    readings = o.select(F.col("claim_id").alias("page_id"), (K / 2).alias("seconds"), F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), x.alias("lines")) for v, x in read])).alias("r")).select("page_id", "seconds", "r.*")
+    read = [("current", lines(F.col("total"), pin)), ("other", lines(F.when(_kind() == 2, F.col("total") + F.lit("0.01").cast("decimal(3,2)")).otherwise(F.col("total")).cast("decimal(18,2)"), F.when(_kind() != 3, pin)))]
+    readings = o.select(F.col("claim_id").alias("page_id"), (_kind() / 2).alias("seconds"), F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), x.alias("lines")) for v, x in read])).alias("r")).select("page_id", "seconds", "r.*")
     truth = o.select(F.col("claim_id").alias("page_id"), F.explode(F.array(F.struct(F.lit("amount").alias("kind"), F.col("total").cast("string").alias("value")), F.struct(F.lit("pin").alias("kind"), F.col("number").alias("value")))).alias("t")).select("page_id", "t.*")
     return scores.variant_scores(readings, truth, "current")
 
@@ -199,7 +204,7 @@ def faded_separators(spark, sf_dir):
 def odd_prints(spark, sf_dir):
     """A time fused to a date, a label glued to a PIN, and a decimal tail in a segment of its own, near enough on every other page."""
     o = receipts.orders(spark, sf_dir)
-    at = F.when(K % 2 == 0, 302.0).otherwise(380.0)
+    at = F.when(_kind() % 2 == 0, 302.0).otherwise(380.0)
     part = lambda t, x, w: F.struct(t.alias("text"), F.lit(x).alias("left") if isinstance(x, float) else x.alias("left"), (F.lit(x) + w if isinstance(x, float) else x + w).alias("right"), F.lit(20.0).alias("height"))
     segments = F.array(part(F.concat(F.lit("Date:"), F.date_format("day", "dd/MM/yyyy"), F.lit("193:33:31")), 0.0, 90.0), part(F.concat(F.lit("Pin"), F.col("number")), 100.0, 60.0), part(F.lit("TOTAL"), 200.0, 40.0), part(F.format_number(F.floor("total"), 0), 250.0, 50.0), part(F.concat(F.lit("."), F.right(F.col("total").cast("string"), F.lit(2))), at, 20.0))
     page = F.col("claim_id").cast("string")

@@ -54,7 +54,11 @@ def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
         core = lambda c: F.regexp_replace(c, f"(?<=[0-9])[{rules.tax_letters}]$", "")
         return let(less, lambda c: F.struct(core(c).alias("core"), (F.length(c) < F.length(t)).alias("attached")))
 
-    return F.when(token.rlike("[0-9]"), let(bare, without)).otherwise(F.struct(token.alias("core"), F.lit(False).alias("attached")))
+    trimmed, whole = F.when(token.rlike("[0-9]"), let(bare, without)), F.struct(token.alias("core"), F.lit(False).alias("attached"))
+    # Digits and separators alone, a digit last: nothing to take away, unless words or marks have digits of their own.
+    if not re.search("[0-9]", "".join([*rules.currency, *rules.no_cents, rules.prefix_marks])):
+        return F.when(token.rlike("^[0-9](?:[0-9,.']*[0-9])?$"), whole).otherwise(F.coalesce(trimmed, whole))
+    return F.coalesce(trimmed, whole)
 
 
 def is_currency(token: Column, rules: MatchingRules = MATCHING) -> Column:

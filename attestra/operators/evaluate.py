@@ -44,10 +44,15 @@ def outcomes(results: DataFrame) -> DataFrame:
     return results.withColumn("outcome", outcome).groupBy("category", "outcome").agg(F.count("*").alias("n"))
 
 
-def ranked(tallies: DataFrame, most: int = 14) -> DataFrame:
-    """Rules by fewest false finds, then most finds; a report of the first ones."""
+def ranked(tallies: DataFrame, most: int = 14, baselines: str | None = None, more: int = 3) -> DataFrame:
+    """Rules by fewest false finds, then most finds: a report of the first ones, and of ``more`` that come later and begin with ``baselines``."""
     sums = tallies.groupBy("rule").agg(F.sum("found").alias("found"), F.sum("false").alias("false"))
-    return sums.orderBy("false", F.col("found").desc(), "rule").limit(most)
+    order = ["false", F.col("found").desc(), "rule"]
+    first = sums.orderBy(*order).limit(most)
+    if baselines is None:
+        return first
+    simple = sums.where(F.startswith("rule", F.lit(baselines))).join(first.select("rule"), "rule", "left_anti")
+    return first.unionByName(simple.orderBy(*order).limit(more).select(*first.columns))
 
 
 def disagreements(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

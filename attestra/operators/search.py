@@ -10,6 +10,8 @@ finds then move once, to their claim, where they are settled, counted and decide
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..functions.money import amount_core, is_currency, read_amount
 from ..functions.pins import halves, normalise_pin, pin_shape, stands_for, token_forms
 from ..functions.text import joined_tokens, let, plain_tokens, text_core
 from ..rules import MATCHING, MatchingRules
+from ..sources.staged import staged
 
 KEYS = ("date", "amount", "pin")
 HIT = ["claim_id", "doc_id", "page", "row", "key", "strength", "segments"]
@@ -51,7 +54,9 @@ def amount_tokens(texts: Column, tokens: Column, rules: MatchingRules = MATCHING
     """Array of amounts: ``token``, ``core``, ``bare`` (counts without cents) and ``segments`` of each token with a digit."""
 
     def one(t: Column, i: Column) -> Column:
-        with_core = lambda c: F.struct(i.alias("token"), c["core"].alias("core"), (c["attached"] | _context(texts, i, rules)).alias("bare"), t["segments"].alias("segments"))
+        # With cents printed it does not matter what stands around it.
+        bare = lambda c: F.when(c["core"].rlike("[.][0-9]{1,2}$"), False).otherwise(c["attached"] | _context(texts, i, rules))
+        with_core = lambda c: F.struct(i.alias("token"), c["core"].alias("core"), bare(c).alias("bare"), t["segments"].alias("segments"))
         return F.when(t["text"].rlike("[0-9]"), let(amount_core(t["text"], rules), with_core))
 
     return F.filter(F.transform(tokens, one), lambda c: c.isNotNull() & c["core"].rlike("[0-9]"))
@@ -76,22 +81,37 @@ def _sign(kind: str, token, text: Column, segments: Column, bare=None) -> Column
     return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if token is None else token).cast("int").alias("token"), text.alias("text"), F.lit(None).cast("boolean").alias("bare") if bare is None else bare.alias("bare"), segments.alias("segments"))
 
 
-def signs(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Every reading of prepared rows as ``form``: a row for each date, amount, faded amount and PIN that a place can stand for."""
+def pin_lengths(claims: DataFrame) -> Column:
+    """The lengths of all PINs that claims ask for, as an array that the plan works out once: a few numbers."""
+    return claims.select(F.collect_set(F.length(normalise_pin(F.col("pin"))))).scalar()
+
+
+def signs(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS, lengths: Column | None = None) -> DataFrame:
+    """Every reading of prepared rows as ``form``: a row for each date, amount, faded amount and PIN that a place can stand for.
+
+    With ``lengths``, only tokens that are as long as a PIN, alone or behind a label, are taken for one.
+    """
     said = []
     rows = pages.select("doc_id", "page", "row", "plain", "amounts", F.col("amounts.text").alias("texts"), F.transform("plain", lambda t: F.struct(text_core(t["text"]).alias("core"), t["segments"].alias("segments"))).alias("cores"))
     if "amount" in keys:
         said += [F.transform(amount_tokens(F.col("texts"), F.col("amounts"), rules), lambda c: _sign("amount", c["token"], c["core"], c["segments"], c["bare"])), F.transform(faded_amounts(F.col("amounts"), rules), lambda c: _sign("faded", c["token"], c["core"], c["segments"]))]
     if "date" in keys:
-        # Three tokens in a row, where the first or the second is a name and the last a number.
+        # One token: a number, a separator, and another one before the next number. Three tokens in a row, where the first or the second is a name and the last a number.
+        mark = "|".join(re.escape(x) for x in sorted({*rules.date_separators, "-", "/"}))
+        dated = f"^[0-9]{{1,4}}(?:{mark})[^ ]+(?:{mark})[0-9]"
         comma = lambda c: F.btrim(c, F.lit(","))
         last = lambda i: comma(F.get("cores", i + 2)["core"])
         all_segments = lambda x, i: F.array_sort(F.array_distinct(F.concat(x["segments"], F.get("cores", i + 1)["segments"], F.get("cores", i + 2)["segments"])))
         three = lambda x, i: F.when(last(i).rlike("^[0-9]{2}(?:[0-9]{2})?$"), _sign("date", None, F.concat_ws(" ", comma(x["core"]), comma(F.get("cores", i + 1)["core"]), last(i)), all_segments(x, i)))
         said += [F.filter(F.transform("cores", three), lambda x: x.isNotNull())]
-        said += [F.transform(F.filter("cores", lambda t: t["core"].rlike("[0-9]") & ~t["core"].contains(" ")), lambda t: _sign("token", None, t["core"], t["segments"]))]
+        said += [F.transform(F.filter("cores", lambda t: t["core"].rlike(dated)), lambda t: _sign("token", None, t["core"], t["segments"]))]
     if "pin" in keys:
-        said += [F.transform("cores", lambda t, i: _sign("pin", i, t["core"], t["segments"]))]
+        pins = F.transform("cores", lambda t, i: _sign("pin", i, t["core"], t["segments"]))
+        long = lambda c, n: (F.length(c) == n) | (F.length(c) > n) & c.substr(F.lit(1), F.length(c) - n).isin(list(rules.pin_labels))
+        if lengths is not None:
+            rows = rows.withColumn("lengths", lengths)
+            pins = F.filter(pins, lambda s: F.exists("lengths", lambda n: long(s["text"], n)))
+        said += [pins]
     one = rows.select("doc_id", "page", "row", F.explode(F.concat(*[c.cast(SIGN) for c in said])).alias("s")).select("doc_id", "page", "row", "s.*")
     # A time may follow a date without a blank: every beginning that a time follows is a date of its own.
     c = F.col("text")
@@ -130,7 +150,7 @@ def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str,
 
 def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every place where a claimed value is printed. ``pages`` are prepared rows."""
-    found = signs(pages, rules, keys).join(wanted(claims, rules, keys), ["doc_id", "form"])
+    found = signs(pages, rules, keys, pin_lengths(claims) if "pin" in keys else None).join(wanted(claims, rules, keys), ["doc_id", "form"])
     kind, n = F.col("kind"), F.floor(F.length("pin") / 2).cast("int")
     # A PIN that shares both halves is met twice; the left one counts.
     once = (F.col("side") == "l") | (F.col("norm").substr(F.lit(1), n) != F.col("pin").substr(F.lit(1), n))
@@ -233,6 +253,18 @@ def verify(rows: DataFrame, claims: DataFrame, errors: DataFrame | None = None,
     return document_matches(claims, page_matches(hits(prepared(rows, rules), claims, rules)), errors)
 
 
+def kept_pages(rows: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
+    """Prepared rows as a written table, for more than one search of the same pages."""
+    return staged(prepared(rows, rules))
+
+
+def told(summaries: DataFrame) -> DataFrame:
+    """``summary`` with a text: places, and possible ones apart."""
+    many = lambda n, one: F.concat(n.cast("string"), F.when(n == 1, one).otherwise(one + "s"))
+    sure, maybe = many(F.col("n_places"), " place"), many(F.col("n_possible"), " possible place")
+    return summaries.withColumn("said", F.when((F.col("n_places") == 0) & (F.col("n_possible") == 0), "not found").otherwise(F.concat_ws(", ", F.when(F.col("n_places") > 0, sure), F.when(F.col("n_possible") > 0, maybe))))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """For each claim and key: places (possible ones apart), and the pages as text."""
     sure = F.col("strength") != "possible"

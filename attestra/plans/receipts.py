@@ -39,6 +39,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("doc_id", "page", F.posexplode(rows).alias("row", "text"))
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, page, row, text``: one long page for each customer, with the rows of all receipts and of all their items."""
+    items = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    o = orders(spark, sf_dir).select("claim_id", "doc_id")
+    text = F.concat_ws(" ", F.lit("ITEM"), F.col("l_quantity").cast("int").cast("string"), F.lit("x"), F.format_number("l_extendedprice", 2))
+    lines_of = items.join(o, F.col("l_orderkey") == F.col("claim_id")).select("doc_id", F.lit(1).alias("page"), (F.col("l_orderkey") * 16 + 3 + F.col("l_linenumber")).cast("int").alias("row"), text.alias("text"))
+    key = F.when(F.col("kind") == 6, F.concat(F.lit("KSh "), F.format_number(F.floor("total"), 0))).otherwise(F.format_number("total", 2))
+    own = F.array(F.concat(F.lit("DATE:"), F.date_format("day", "dd/MM/yyyy")), F.concat(F.lit("TOTAL "), key), F.concat(F.lit("PIN: "), F.col("number")))
+    heads = orders(spark, sf_dir).select("claim_id", "doc_id", F.posexplode(own).alias("at", "text")).select("doc_id", F.lit(1).alias("page"), (F.col("claim_id") * 16 + F.col("at")).cast("int").alias("row"), "text")
+    return heads.unionByName(lines_of)
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``claim_id, doc_id, date, amount, pin``: an order's values, changed by its kind."""
     o = orders(spark, sf_dir)

@@ -207,3 +207,29 @@ def listed_files(spark, sf_dir):
     files = o.select(F.concat_ws("/", "doc_id", F.concat(F.col("claim_id").cast("string"), ends)).alias("path"), F.concat(F.col("claim_id").cast("string"), ends).alias("file"), "doc_id")
     first = files.agg(F.min("doc_id")).first()[0]
     return store.files_of(files.where(F.col("doc_id") == first), first, (".pdf",)).select("path")
+
+
+@registered(f"""WITH {ORDERS}, {CLAIMS}, p AS (SELECT o.doc_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem JOIN o ON l_orderkey = o.claim_id),
+h AS (SELECT claim_id, 'date' AS key, 'exact' AS strength FROM c JOIN o USING (doc_id) WHERE c.date = o.day UNION ALL SELECT c.claim_id, 'amount', 'exact' FROM c JOIN o ON c.doc_id = o.doc_id AND c.amount = o.total UNION ALL SELECT c.claim_id, 'amount', 'exact' FROM c JOIN p ON c.doc_id = p.doc_id AND c.amount = p.price
+UNION ALL SELECT c.claim_id, 'pin', CASE WHEN pin = number THEN 'exact' ELSE 'corrected' END FROM c JOIN o ON c.doc_id = o.doc_id WHERE pin = number OR (hamming(pin, number) = 1 AND translate(pin, '8', '0') = translate(number, '8', '0')))
+SELECT claim_id, key, strength, count(*) AS n FROM h GROUP BY ALL""".replace("SELECT claim_id, 'date' AS key, 'exact' AS strength FROM c JOIN o USING (doc_id)", "SELECT c.claim_id, 'date' AS key, 'exact' AS strength FROM c JOIN o ON c.doc_id = o.doc_id"))
+def statement_hits(spark, sf_dir):
+    """Claims against long pages: some seventy rows each."""
+    pages = search.prepared(rows.single_rows(receipts.statements(spark, sf_dir)))
+    return search.hits(pages, receipts.claims(spark, sf_dir)).groupBy("claim_id", "key", "strength").agg(F.count("*").alias("n"))
+
+
+@registered(f"""WITH {ORDERS}, r AS (SELECT 'rule' || CAST(claim_id % 20 AS VARCHAR) AS rule, kind < 4 AS expected, claim_id % 11 < 5 AS found FROM o), s AS (SELECT rule, count(*) FILTER (expected AND found) AS found, count(*) FILTER (NOT expected AND found) AS "false" FROM r GROUP BY rule),
+n AS (SELECT *, row_number() OVER (ORDER BY "false", found DESC, rule) AS n FROM s), b AS (SELECT rule, row_number() OVER (ORDER BY n) AS k FROM n WHERE n > 14 AND rule LIKE 'rule1%') SELECT rule, found, "false" FROM n LEFT JOIN b USING (rule) WHERE n <= 14 OR k <= 3""")
+def rules_shown(spark, sf_dir):
+    """The first fourteen rules, and of the simple ones that come later three."""
+    k = F.col("claim_id")
+    r = receipts.orders(spark, sf_dir).select(F.concat(F.lit("rule"), (k % 20).cast("string")).alias("rule"), F.lit("receipts").alias("source"), F.lit("all").alias("category"), (_kind() < 4).alias("expected"), (k % 11 < 5).alias("found"))
+    return evaluate.ranked(evaluate.tally(r), baselines="rule1")
+
+
+@registered(f"""WITH {ORDERS}, {CLAIMS}, {HITS} SELECT claim_id, key, count(*) AS n_places, 0 AS n_possible, CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' place' ELSE ' places' END AS said FROM h GROUP BY claim_id, key""")
+def summary_text(spark, sf_dir):
+    """Finds as they are told, by claim and key."""
+    found = search.hits(search.prepared(rows.single_rows(receipts.lines(spark, sf_dir))), receipts.claims(spark, sf_dir))
+    return search.told(search.summary(found)).select("claim_id", "key", "n_places", F.col("n_possible").cast("int").alias("n_possible"), "said")

@@ -6,6 +6,8 @@ source without its content, so a scan costs no more than the listing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,9 +134,9 @@ def latest(claims: DataFrame) -> DataFrame:
 
 
 def write_metadata(claims: DataFrame, path: str) -> None:
-    """JSON by month and name; amounts as strings. Only the partitions that are written are replaced."""
-    money = [c for c, t in claims.dtypes if t.startswith("decimal")]
-    out = claims.withColumns({c: F.col(c).cast("string") for c in money}).withColumn("name", folder_name(F.col("individual_name")))
+    """JSON by month and name; amounts as strings, also inside of arrays, maps and structs. Only the partitions that are written are replaced."""
+    plain = {c: re.sub(r"decimal\(\d+,\d+\)", "string", t) for c, t in claims.dtypes}
+    out = claims.withColumns({c: F.col(c).cast(t) for c, t in plain.items() if t != dict(claims.dtypes)[c]}).withColumn("name", folder_name(F.col("individual_name")))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_year", "name").json(path)
 
 

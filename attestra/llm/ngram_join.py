@@ -361,11 +361,11 @@ def _holding(bits, holds: bool):
 
 
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(members, roots)``: each row's doc_id, shingle count and class; each linked class with its component's root class and smallest doc_id.
+    """``(members, roots)``: each row's doc_id, shingle count and class; each class of a component of several rows, with its root class and smallest doc_id.
 
     ``members(doc_id, text_hash, n, class, outline)`` has a row for each row of ``docs``; class is
     null without words. ``roots(class, root, component_id)`` has the classes that are
-    linked with another class; the others' component is the class itself.
+    linked with another class or that several rows share; the others are a row alone.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
@@ -408,7 +408,7 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
     nodes = short.select(F.col("a").alias("class")).union(short.select("b")).union(lists.select("class"))
     nodes = stage(nodes.distinct(), "nodes")
     if nodes.isEmpty():
-        return members, spark.createDataFrame([], "class long, root long, component_id long")
+        return members, _components(members, spark.createDataFrame([], "class long, root long"))
     sets = docs.mapInArrow(_sets(k, _bitmap(nodes, "class")), "class long, grams binary")
     sets = stage(sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
 
@@ -463,17 +463,21 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
         if last:
             break
         todo = short.limit(0)
-    reach = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    linked = roots.join(reach, "class")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).where("size > 1")
-    return members, linked.join(least, "root").select("class", "root", "component_id")
+    return members, _components(members, roots)
+
+
+def _components(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes whose component has several rows. Written, so that the join of all rows with it can split a hot class."""
+    reach = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    reach = stage(reach.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root"), "least", "m"), "reach")
+    least = reach.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("m").alias("size")).where("size > 1")
+    return stage(reach.join(least, "root").select("class", "root", "component_id"), "components")
 
 
 def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Each row's doc_id, text hash, shingle count, class, component, and the component's root class where it has several rows."""
     members, roots = classes(docs, percent, k)
-    members = stage(members.select("doc_id", "text_hash", "n", "class").join(roots, "class", "left"), "members")
-    alone = members.where("class is not null and component_id is null").groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("m")).where("m > 1").select("class", "own")
-    return members.join(alone, "class", "left").withColumn("component_id", F.coalesce("component_id", "own", "doc_id")).withColumn("root", F.coalesce("root", "class"))
+    return members.select("doc_id", "text_hash", "n", "class").join(roots, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -501,11 +505,9 @@ def deduplicated(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     smallest doc_id of a component the one with the smallest hash. Texts without a
     link stay apart under one doc_id, null or not.
     """
-    placed = stage(_placed(docs, percent, k).where("class is not null"), "placed")
     # Components are told apart by their root classes: a doc_id, null or repeated, may name texts of several.
-    groups = placed.groupBy(F.col("root").alias("_group")).agg(F.count("*").alias("m")).where("m > 1").select("_group")
-    grouped = stage(placed.join(groups, F.col("root") == F.col("_group"), "left_semi"), "grouped")
-    heads = grouped.where("doc_id <=> component_id").groupBy(F.col("root").alias("_group")).agg(F.min("text_hash").alias("head"))
+    grouped = stage(_placed(docs, percent, k).where("root is not null"), "grouped")
+    heads = stage(grouped.where("doc_id <=> component_id").groupBy(F.col("root").alias("_group")).agg(F.min("text_hash").alias("head")), "heads")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("head"))
     apart = grouped.join(heads, F.col("root") == F.col("_group"), "left").select("doc_id", "text_hash", stays.alias("stays"))
     apart = stage(apart.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("stays").alias("_stays"), F.count("*").alias("_m")), "decided")

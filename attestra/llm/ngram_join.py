@@ -36,8 +36,8 @@ from .words import CHUNK, buffers, mix, ranked_sets, shingle_sets, tidy
 
 #: Counters of the sketch of list lengths, and of that of word counts; their size does not depend on the data.
 SKETCH = 1 << 20
-#: Bits of the filter by which sets of candidates are read again, at most.
-FILTER_BITS = 1 << 30
+#: Bits that remember which lists turned out long; their number does not depend on the data. Two lists may share one: that only changes an order.
+LONG_BITS = 1 << 24
 #: Parts that posting lists are dealt to before Spark groups them into tasks.
 PARTS = 1 << 12
 #: Postings a map task holds before it writes a run of each part.
@@ -125,15 +125,15 @@ def _profile(percent: int, k: int):
 
 
 def _inside(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which hashes the bitmap of ``_bitmap`` may hold."""
+    """Which lists the bitmap of ``_long_lists`` may hold."""
     at = x.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _runs(percent: int, k: int, heights, parts: int, only=None, long=None):
+def _runs(percent: int, k: int, heights, parts: int, long=None):
     """Sorted runs of postings by part: the shortest n-T+1 lists of each class that the task meets first.
 
-    ``only`` and ``long`` are bitmaps of the classes to post, and of lists that turned out long.
+    ``long`` is a bitmap of lists that turned out long, which come last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _runs(percent: int, k: int, heights, parts: int, only=None, long=None):
 
         for batch in batches:
             for _, x, rank in ranked_sets(batch.column("text"), k, cost, _bucket):
-                if not len(x) or (i := class_id(x)) in seen or only and not _inside(np.array([i]), only.value)[0]:
+                if not len(x) or (i := class_id(x)) in seen:
                     continue
                 seen.add(i)
                 short = len(x) - int(need(len(x), percent)) + 1
@@ -287,16 +287,15 @@ def _meet(percent: int):
     return tidy(run)
 
 
-def _sets(k: int, bits):
-    """The sets of the classes that the filter names, once in each task."""
+def _sets(k: int):
+    """Classes and sets of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = bits.value, set()
         for batch in batches:
             ids, sets, held = [], [], 0
             for _, x in shingle_sets(batch.column("text"), k):
-                if len(x) and (i := class_id(x)) not in seen and _inside(np.array([i]), wanted)[0]:
-                    seen.add(i), ids.append(i), sets.append(x.tobytes())
+                if len(x):
+                    ids.append(class_id(x)), sets.append(x.tobytes())
                     held += len(x)
                 if held >= RUN:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class", "grams"])
@@ -335,29 +334,15 @@ def _probe(percent: int):
     return tidy(run)
 
 
-def _bitmap(hashes: DataFrame, column: str):
-    """A broadcast bitmap of the low bits of distinct hashes: about 16 bits for each, FILTER_BITS at most, OR-ed together by Spark.
-
-    More hashes than it has room for only make it less selective.
-    """
-    size = min(FILTER_BITS, max(1 << 15, 1 << (16 * max(1, hashes.count()) - 1).bit_length()))
-    at = F.pmod(F.col(column), F.lit(size))
-    rows = hashes.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(1 << 15))).alias("bits")).collect()
-    out = np.zeros(size >> 3, np.uint8)
+def _long_lists(lists: DataFrame):
+    """A broadcast bitmap of LONG_BITS bits of the lists' hashes, OR-ed together by Spark page by page."""
+    at = F.pmod(F.col("list"), F.lit(LONG_BITS))
+    rows = lists.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(1 << 15))).alias("bits")).collect()  # LONG_BITS bits at most
+    out = np.zeros(LONG_BITS >> 3, np.uint8)
     for r in rows:
         page = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[r["page"] << 12 : (r["page"] << 12) + len(page)] = page
-    return hashes.sparkSession.sparkContext.broadcast(out)
-
-
-def _holding(bits, holds: bool):
-    """Rows whose ``_key`` the bitmap may hold, or those whose it does not."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_inside(b.column("_key").to_numpy(), bits.value) == holds))
-
-    return tidy(run)
+    return lists.sparkSession.sparkContext.broadcast(out)
 
 
 def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -388,16 +373,23 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
             pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("o").alias(f"o_{side}")), side)
         return stage(pairs.select("a", "b", "n_a", "n_b", "o_a", "o_b").mapInArrow(_possible(percent), "a long, b long"), name)
 
-    def merged(name: str, **filters) -> DataFrame:
-        runs = docs.mapInArrow(_runs(percent, k, heights, PARTS, **filters), "part int, grams binary, classes binary, levels binary")
+    def texts_of(some: DataFrame, name: str) -> DataFrame:
+        """One text of each class. Their keys are a written table, so that Spark knows its size and broadcasts it, or else shuffles both sides."""
+        keys = members.join(some, "class", "left_semi").groupBy("class").agg(F.min(F.struct("text_hash", "doc_id")).alias("k"))
+        keys = stage(keys.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")), name)
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["text_hash"] == keys["_hash"]), "left_semi")
+
+    def merged(name: str, texts: DataFrame, long=None) -> DataFrame:
+        runs = texts.mapInArrow(_runs(percent, k, heights, PARTS, long), "part int, grams binary, classes binary, levels binary")
         return stage(runs.repartition("part").mapInArrow(_merge(heights), "list long, a long, b long"), name)
 
-    posted = merged("merged")
+    posted = merged("merged", docs)
     pair = F.col("list").isNull()
     short, long = posted.where(pair).select("a", "b"), posted.where(~pair)
     if not long.isEmpty():
         # Lists that turned out long are skipped by their members, who post to their next shortest ones; only they can link through them.
-        posted = merged("merged-again", only=_bitmap(long.select("a").distinct(), "a"), long=_bitmap(long.select("list").distinct(), "list"))
+        again = stage(long.select(F.col("a").alias("class")).distinct(), "members-of-long")
+        posted = merged("merged-again", texts_of(again, "texts-of-long"), _long_lists(long.select("list").distinct()))
         short = short.unionByName(posted.where(pair).select("a", "b"))
     short = possible(short.distinct(), "pairs")
     lists = posted.where("list is not null").select("list", F.col("a").alias("class")).distinct()
@@ -409,8 +401,8 @@ def classes(docs: DataFrame, percent: int = 75, k: int = 5) -> tuple[DataFrame,
     nodes = stage(nodes.distinct(), "nodes")
     if nodes.isEmpty():
         return members, _components(members, spark.createDataFrame([], "class long, root long"))
-    sets = docs.mapInArrow(_sets(k, _bitmap(nodes, "class")), "class long, grams binary")
-    sets = stage(sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("grams").alias("grams")), "sets")
+    sets = texts_of(nodes, "texts-of-nodes").mapInArrow(_sets(k), "class long, grams binary")
+    sets = stage(sets.groupBy("class").agg(F.first("grams").alias("grams")), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x, y = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
@@ -515,13 +507,9 @@ def deduplicated(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     gone = stage(gone, "gone")
     if gone.isEmpty():
         return docs
-    # A row that the bitmap doesn't hold stays; only the others are shuffled to be compared. The row travels as one column.
+    # The row travels as one column, apart from the names used here; the keys are a written table of known size.
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.xxhash64("text").alias("_own_hash"))
-    rows = rows.withColumn("_key", F.xxhash64("_own_id", "_own_hash"))
-    bits = _bitmap(gone.select(F.xxhash64("_id", "_hash").alias("key")), "key")
-    stays, maybe = (rows.mapInArrow(_holding(bits, holds), rows.schema) for holds in (False, True))
-    kept = maybe.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_hash").eqNullSafe(F.col("_hash")), "left_anti")
-    out = stays.unionByName(kept).select("_row.*")
+    out = rows.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_hash").eqNullSafe(F.col("_hash")), "left_anti").select("_row.*")
     twice = apart.where("_stays and _m > 1").select("_id", "_hash")
     if twice.isEmpty():
         return out

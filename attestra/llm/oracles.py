@@ -38,7 +38,7 @@ def _crc32() -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {byte}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
 
 
-SHARDS = f"""WITH h AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+SHARDS = f"""WITH h AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS x FROM documents),
 d AS MATERIALIZED (SELECT doc_id, source, size, CAST({_crc32()} AS BIGINT) AS text_crc32 FROM h),
 k AS (SELECT *, md5(concat_ws(':', '{sharding.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(text_crc32 AS VARCHAR))) AS draw FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM k),

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import kernel_language, mil_quality, mixing, pivot_index, queries, string_tiling, url_rules
+from attestra.llm import chat_snapshots, kernel_language, mil_quality, mixing, pivot_index, queries, string_tiling, url_rules
 
 
 @pytest.fixture(scope="module")
@@ -275,6 +275,23 @@ def test_chats(spark, sf):
         assert r.chat == "\n".join(f"<|im_start|>{a}\n{t}<|im_end|>" for a, t in convs[r.conv_id])
 
 
+def test_long_conversations(spark, monkeypatch):
+    """Conversations of many stretches of turns, with repeated, null and negative turn numbers, against plain lists."""
+    monkeypatch.setattr(chat_snapshots, "STRETCH", 1)
+    rng = np.random.default_rng(11)
+    line = [(int(t), "user" if t % 2 else None, f"t{t % 5}") for t in range(-7, 40)]
+    rows = [(c, *turn) for c, n in enumerate((1, 2, 9, 20, 20, 46, 47)) for turn in line[:n]]
+    rows += [(50, t, r, x + "!" if t == 3 else x) for t, r, x in line[:30]] + [(51, None, "a", "b"), (51, None, "a", None), (51, 0, "a", "c")] + rows[:5]
+    rng.shuffle(rows)
+    rows = [(int(c), None if t is None else int(t), r, x) for c, t, r, x in rows]
+    convs = {}
+    for c in {r[0] for r in rows}:
+        own = {r[1:] for r in rows if r[0] == c}
+        convs[c] = [x[1:] for x in sorted(own, key=lambda x: [(v is not None, v if v is not None else 0) for v in x[:1]] + [(v is not None, v or "") for v in x[1:]])]
+    got = chat_snapshots.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.conv_id: (r.n_copies, r.n_turns) for r in got} == {i: (n, len(convs[i])) for i, n in brute.maximal(convs).items()}
+
+
 def test_mixing(spark, sf, documents):
     got = {r.doc_id: r for r in rows(spark, sf, "op10_block_mixing")}
     again = {r.doc_id: r.taken for r in rows(spark, sf, "op10_block_mixing")}

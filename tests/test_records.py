@@ -52,6 +52,16 @@ def test_store_on_disk(spark, tmp_path):
     assert [r.file for r in pdfs] == ["more.pdf", "scan.pdf"]
 
 
+def test_metadata_holds_amounts_as_text(spark, tmp_path):
+    """Decimals are written as strings wherever they are; a second write replaces the folders that it names alone."""
+    rows = spark.createDataFrame([("09_2026", "Ada L", "485.50", "P"), ("10_2026", "Bob", "1.00", "P")], "month_year string, individual_name string, claimed_amount string, status string")
+    rows = rows.withColumn("claimed_amount", F.col("claimed_amount").cast("decimal(18,2)")).withColumn("ocr_result", F.struct(F.array("claimed_amount").alias("amounts")))
+    store.write_metadata(rows, str(tmp_path / "m"))
+    store.write_metadata(rows.where("individual_name = 'Bob'").withColumn("status", F.lit("Q")), str(tmp_path / "m"))
+    got = [json.loads(line) for p in sorted((tmp_path / "m").rglob("*.json")) for line in p.read_text().splitlines()]
+    assert {(r["claimed_amount"], r["ocr_result"]["amounts"][0], r["status"]) for r in got} == {("485.50", "485.50", "P"), ("1.00", "1.00", "Q")}
+
+
 def test_report_is_in_order(spark, tmp_path):
     rows = [(f"{i % 5:02d}_2026", f"n{i:03d}", "p", "2026-01-01", "1", "0", "Pending", None, None, None) for i in range(60)]
     store.write_report(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in store.REPORT)), str(tmp_path / "r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_snapshots, mixing, secrets, sharding, url_rules
+from . import chat_snapshots, kd_clusters, mixing, range_spelling, secrets, sharding, url_rules
 
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
@@ -87,12 +87,42 @@ it AS (SELECT 0 AS step, list(size ORDER BY i) AS s, list({list(mixing.WEIGHTS)}
 z AS (SELECT *, CAST(list_sum(s) - {mixing.MOST} * coalesce(list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN done[i] THEN s[i] ELSE 0 END)), 0) AS DOUBLE) AS rest, list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN done[i] THEN 0 ELSE w[i] END)) AS open FROM it ORDER BY step DESC LIMIT 1)
 SELECT doc_id, d.size, s.size AS source_size, CASE WHEN z.done[i] THEN CAST({mixing.MOST} * s.size AS DOUBLE) ELSE z.rest * z.w[i] / z.open END AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, z"""
 
+
+
+def _clusters() -> str:
+    c = kd_clusters
+    assigned = lambda i: f"a{i} AS MATERIALIZED (SELECT r, best.c AS c, best.d AS d FROM (SELECT r, min(struct_pack(d := CAST(pp - 2 * list_dot_product(p, z) + list_dot_product(z, z) AS BIGINT), c := c)) AS best FROM k, c{i} GROUP BY r))"
+    moved = lambda i: f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.z, c{i}.z) AS z FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS z FROM (SELECT c, j, CAST(sum(p[j]) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN k USING (r), range(1, {c.COMPONENTS + 1}) t(j) GROUP BY c, j) GROUP BY c) m USING (c))"
+    steps = ",\n".join(f"{assigned(i)}, {moved(i)}" for i in range(c.ROUNDS))
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, p, list_dot_product(p, p) AS pp FROM (SELECT vec_id, list_transform(embedding, lambda x: floor({c.SCALE} * CAST(x AS DOUBLE))) AS p FROM embeddings WHERE len(embedding) = {c.COMPONENTS} AND len(list_filter(embedding, lambda x: (x IS NULL OR NOT isfinite(x)))) = 0)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{c.SALT}:' || vec_id), p) - 1 AS c, p AS z FROM k QUALIFY c < {c.CENTROIDS}),
+{steps}, {assigned(c.ROUNDS)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(z, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM a{c.ROUNDS} JOIN k USING (r) JOIN c{c.ROUNDS} USING (c)"""
+
+
+def _variants() -> str:
+    v = range_spelling
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{v.LETTERS}]{{{v.LEAST_LENGTH},}}')) AS w FROM documents) GROUP BY ALL),
+x AS (SELECT w, k, string_split(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '') AS x FROM r), h AS (SELECT w, k, {_crc32()} AS h FROM x),
+d AS (SELECT CASE WHEN h % {v.DAMAGED} = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, k FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= {v.LEAST_LENGTH} GROUP BY word HAVING sum(k) >= {v.LEAST_COUNT}),
+l AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM l a JOIN l b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT l.word, w.word FROM l JOIN w ON l.less = w.word UNION SELECT w.word, l.word FROM l JOIN w ON l.less = w.word),
+m AS MATERIALIZED (SELECT a AS word, count(*) AS n_near, min(struct_pack(k := -w.n, b := b)) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= {v.MORE_FREQUENT} * n THEN best.b END AS form, CASE WHEN -best.k >= {v.MORE_FREQUENT} * n THEN -best.k END AS form_n FROM w LEFT JOIN m USING (word)),
+g AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL),
+e AS (SELECT g.word, g.root FROM g JOIN f ON f.word = g.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)"""
+
+
 ORACLE_SQL = {
     "op1_pivot_index": VECTORS,
     "op4_secret_owners": _secrets(),
     "op6_interleaved_shards": SHARDS,
     "op7_ngram_join": NEAR_COPIES,
     "op9_chat_snapshots": CHATS,
+    "op11_kd_clusters": _clusters(),
+    "op13_range_spelling": _variants(),
     "written_url_rules": WRITTEN_URLS,
     "mixture_targets": TARGETS,
 }

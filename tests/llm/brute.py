@@ -133,3 +133,44 @@ def maximal(conversations: dict[int, list[tuple]]) -> dict[int, int]:
         groups[tuple(turns)].append(i)
     begun = {t[:n] for t in groups for n in range(len(t))}
     return {min(ids): len(ids) for t, ids in groups.items() if t not in begun}
+
+
+def clusters(rows: list[tuple[int, list]], most: int = 40, rounds: int = 5) -> dict:
+    """(vec_id, components) -> (cluster, distance, centroid) in Python integers."""
+    import math
+
+    points = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    z = [p for _, p in sorted(points, key=lambda r: (hashlib.sha256(f"2:{r[0]}".encode()).hexdigest(), r[1]))[:most]]
+    near = lambda p: min((sum((a - b) ** 2 for a, b in zip(p, c, strict=True)), k) for k, c in enumerate(z))
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, p in points:
+            own[near(p)[1]].append(p)
+        z = [[sum(x) // len(own[k]) for x in zip(*own[k], strict=True)] if own[k] else c for k, c in enumerate(z)]
+    return {(i, tuple(p)): (near(p)[1], near(p)[0], ",".join(map(str, z[near(p)[1]]))) for i, p in points}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(docs: list[tuple]) -> set:
+    count = defaultdict(int)
+    for i, t in docs:
+        for run in re.findall("[a-zÀ-ÿ]+", (t or "").translate(UPPER)):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            count[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    n = {w: k for w, k in count.items() if len(w) >= 7 and k >= 2}
+    near = {w: [x for x in n if abs(len(x) - len(w)) < 2 and one_edit(w, x)] for w in n}
+    best = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: x for w, x in best.items() if n[x] >= 10 * n[w]}
+    out = set()
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, money, pins, text
 from ..operators import claims as claim_ops
 from ..operators import evaluate, extract, geometry, rows, search, sheets
-from ..sources import store
+from ..sources import staged, store
+from ..sources.claim_table import ClaimTable
 from . import receipts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,6 +267,27 @@ def latest_claims(spark, sf_dir):
     return store.latest(c).select("month_year", store.folder_name(F.col("individual_name")).alias("folder"), "claim_id")
 
 
+UPSERTS = """u AS (
+  SELECT 1 AS round, claim_id, month_year, individual_name, project_name, claimed_amount, 'Pending' AS status, CAST(NULL AS VARCHAR) AS notes FROM s WHERE claim_id % 4 <> 0
+  UNION ALL SELECT 2, claim_id, month_year, individual_name, project_name, claimed_amount, 'Verified', 'checked' FROM s WHERE claim_id % 3 = 0
+  UNION ALL SELECT 3, claim_id, month_year, individual_name, NULL, claimed_amount + 1, 'Rejected', NULL FROM s WHERE claim_id % 5 = 0)"""
+
+
+@registered(f"""WITH {ORDERS}, {LIST}, {UPSERTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY round, month_year, individual_name ORDER BY claim_id DESC) AS n FROM u),
+k AS (SELECT month_year, individual_name, arg_max(project_name, round) AS project_name, arg_max(claimed_amount, round) AS claimed_amount, arg_max(status, round) AS status, arg_max(notes, round) AS notes, max(round) AS round FROM r WHERE n = 1 GROUP BY ALL)
+SELECT month_year, replace(individual_name, ' ', '_') AS folder, project_name, CAST(claimed_amount AS VARCHAR) AS claimed_amount, status, notes AS verifier_notes, '2026-01-0' || round AS updated_at FROM k""")
+def claim_upserts(spark, sf_dir):
+    """Three rounds of upserts into a table of claims, each a commit, and the table as of the last: new claims, verified ones, and rejected ones whose empty fields keep what was there."""
+    c = receipts.claim_list(spark, sf_dir).select("claim_id", "month_year", "individual_name", "project_name", "claimed_amount")
+    key = F.col("claim_id")
+    table = ClaimTable(spark, f"{staged.shared_folder(spark)}/claims-{uuid.uuid4().hex}")
+    table.upsert(c.where(key % 4 != 0).withColumn("status", F.lit("Pending")), "2026-01-01", [key])
+    table.upsert(c.where(key % 3 == 0).withColumns({"status": F.lit("Verified"), "verifier_notes": F.lit("checked")}), "2026-01-02", [key])
+    table.upsert(c.where(key % 5 == 0).drop("project_name").withColumns({"status": F.lit("Rejected"), "claimed_amount": F.col("claimed_amount") + 1}), "2026-01-03", [key], fill=True)
+    return table.read().select("month_year", "folder", "project_name", "claimed_amount", "status", "verifier_notes", "updated_at")
+
+
 @registered(f"WITH {ORDERS}, {LIST} SELECT month_year, individual_name, project_name, claim_date, CAST(claimed_amount AS VARCHAR) AS claimed_amount, CAST(verified_amount AS VARCHAR) AS verified_amount, status, CAST(NULL AS VARCHAR) AS verifier_notes, 'Verifier' AS verified_by, claim_date AS updated_at FROM s")
 def report_rows(spark, sf_dir):
     c = receipts.claim_list(spark, sf_dir).withColumns({"verifier_notes": F.lit(None).cast("string"), "verified_by": F.lit("Verifier"), "updated_at": F.col("claim_date"), "claimed_amount": F.col("claimed_amount").cast("string"), "verified_amount": F.col("verified_amount").cast("string")})

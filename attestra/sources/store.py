@@ -6,6 +6,7 @@ source without its content, so a scan costs no more than the listing.
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 METADATA = "month_year string, individual_name string, project_name string, claim_date string, claimed_amount string, verified_amount string, status string, verifier_notes string, verified_by string, updated_at string"
 REPORT = ("month_year", "individual_name", "project_name", "claim_date", "claimed_amount", "verified_amount", "status", "verifier_notes", "verified_by", "updated_at")
 DEFAULTS = {"project_name": "N/A", "claimed_amount": "0.00", "verified_amount": "0.00", "status": "Pending"}
+#: Names of metadata files as a partitioned write gives them.
+WRITTEN = r"^part-.*\.json$"
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 WORDS = "doc_id string, page int, ord int, text string, confidence double, box array<array<double>>"
 
@@ -49,12 +52,19 @@ def files_of(files: DataFrame, folder: str, suffixes: tuple[str, ...]) -> DataFr
     return files.where(here & wanted).orderBy(low, "file")
 
 
+def _folder(name: Column) -> Column:
+    """A folder's name, whether it was made by hand or by a partitioned write, as ``column=value`` with odd characters by number."""
+    value = F.regexp_replace(name, "^(month_year|name)=", "")
+    decoded = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    return F.when(value == name, name).when(value == "__HIVE_DEFAULT_PARTITION__", F.lit("")).otherwise(decoded)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").schema(BINARY_FILE).load(root) if exists(spark, root) else spark.createDataFrame([], BINARY_FILE)
     files = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     part = F.split("path", "/")
-    return files.select("path", F.element_at(part, -3).alias("month"), F.element_at(part, -2).alias("name"), F.element_at(part, -1).alias("file"), "size", "modified")
+    return files.select("path", _folder(F.element_at(part, -3)).alias("month"), _folder(F.element_at(part, -2)).alias("name"), F.element_at(part, -1).alias("file"), "size", "modified")
 
 
 def file_role(file: Column) -> Column:
@@ -62,7 +72,7 @@ def file_role(file: Column) -> Column:
     low = F.lower(file)
     known = low.rlike(r"\.(pdf|png|jpg|jpeg|webp)$")
     return (
-        F.when(low == "claim_meta.json", "metadata")
+        F.when((low == "claim_meta.json") | low.rlike(WRITTEN), "metadata")
         .when(low.startswith("claim_form"), "claim")
         .when(low.startswith("bank_statement"), "statement")
         .when(low.startswith("receipt_"), "receipt")
@@ -104,10 +114,11 @@ def file_presence(folders: DataFrame) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata files with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="[cC][lL][aA][iI][mM]_[mM][eE][tT][aA].[jJ][sS][oO][nN]").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
-    part = F.split("path", "/")
-    return with_defaults(raw.select(F.element_at(part, -3).alias("month"), F.element_at(part, -2).alias("name"), "m.*"))
+    """Metadata files, ``claim_meta.json`` or as ``write_metadata`` leaves them, with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{[cC][lL][aA][iI][mM]_[mM][eE][tT][aA],part-*}.[jJ][sS][oO][nN]").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
+    part = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
+    rows = raw.select(_folder(F.element_at(part, -3)).alias("month"), _folder(F.element_at(part, -2)).alias("name"), "m.*")
+    return with_defaults(rows.withColumn("month_year", F.coalesce("month_year", "month")))
 
 
 def with_defaults(metadata: DataFrame) -> DataFrame:
@@ -133,10 +144,16 @@ def latest(claims: DataFrame) -> DataFrame:
     return claims.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def write_metadata(claims: DataFrame, path: str) -> None:
-    """JSON by month and name; amounts as strings, also inside of arrays, maps and structs. Only the partitions that are written are replaced."""
+def write_metadata(claims: DataFrame, path: str, now: str | None = None) -> None:
+    """A JSON file for each claim below its month and name, the last one of a month and name, stamped with the time (``now``, if given); amounts as strings, also inside of arrays, maps and structs.
+
+    Only the folders that are written are replaced. ``read_metadata`` and
+    ``scan`` read them again. Many claims are better kept in a ``ClaimTable``.
+    """
     plain = {c: re.sub(r"decimal\(\d+,\d+\)", "string", t) for c, t in claims.dtypes}
-    out = claims.withColumns({c: F.col(c).cast(t) for c, t in plain.items() if t != dict(claims.dtypes)[c]}).withColumn("name", folder_name(F.col("individual_name")))
+    stamped = latest(claims.withColumn("updated_at", F.col("updated_at") if "updated_at" in claims.columns else F.lit(None).cast("string")))
+    out = stamped.withColumns({c: F.col(c).cast(t) for c, t in plain.items() if t != dict(claims.dtypes)[c]})
+    out = out.withColumn("updated_at", F.lit(now or datetime.datetime.now().isoformat())).withColumn("name", folder_name(F.col("individual_name")))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month_year", "name").json(path)
 
 

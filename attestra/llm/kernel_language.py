@@ -89,11 +89,11 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
     names = sorted(set(languages))
     if not names:
         return None
-    x = [presence(t) for t in texts]
     own = {n: [i for i, v in enumerate(languages) if v == n] for n in names}
     marks = sorted(i for n in names for i in own[n][: max(1, min(LANDMARKS, ALL_LANDMARKS // len(names)))])
-    land = Landmarks([x[i] for i in marks])
-    k = np.concatenate([land.kernel(x[i : i + BATCH]) for i in range(0, len(x), BATCH)])
+    land = Landmarks([presence(texts[i]) for i in marks])
+    # N-grams of a batch at a time: those of all texts could be ten times the texts.
+    k = np.concatenate([land.kernel([presence(t) for t in texts[i : i + BATCH]]) for i in range(0, len(texts), BATCH)])
     value, vector = np.linalg.eigh(k[marks])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])

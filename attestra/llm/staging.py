@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,10 +138,10 @@ def sampled(df: DataFrame, key: Column, strata: str, most: int, seed: int, most_
     stratum's share. Only one number for each stratum reaches the driver, and
     more than ``most_strata`` of them are an error.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().limit(most_strata + 1).collect()}
-    if len(counts) > most_strata:
+    held = df.groupBy(F.col(strata).alias("_stratum")).count().limit(most_strata + 1).collect()
+    if len(held) > most_strata:
         raise ValueError(f"more than {most_strata} values of {strata}")
-    most = most if total is None else min(most, total // max(1, len(counts)))
+    most = most if total is None else min(most, total // max(1, len(held)))
+    shares = df.sparkSession.createDataFrame([(r["_stratum"], min(1.0, most / r["count"])) for r in held], f"_stratum {df.schema[strata].dataType.simpleString()}, _share double")
     draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    keep = reduce(lambda c, kv: c | (same(F.col(strata), F.lit(kv[0])) & (draw < min(1.0, most / kv[1]))), counts.items(), F.lit(False))
-    return df.where(keep)
+    return df.withColumn("_draw", draw).join(F.broadcast(shares), same(F.col(strata), F.col("_stratum"))).where(F.col("_draw") < F.col("_share")).drop("_draw", "_stratum", "_share")

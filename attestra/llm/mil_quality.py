@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     Texts of more than FIT_BYTES are not fitted on; of several texts under one
     doc_id one is, so what reaches the driver is bounded by rows and by bytes.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q")).where(F.col("_q").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     chosen = sampled(known.withColumn("_all", F.lit(1)), F.col("_id"), "_all", fit_rows, SEED).drop("_all")
     rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_q")
     rows = rows.groupBy("_id", "_q").agg(F.min("text").alias("text")).select("_id", "text", "_q").toArrow().sort_by([("_id", "ascending"), ("_q", "ascending"), ("text", "ascending")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import text_ratio
+
 # What looks like an amount, a date and a PIN in a reading; marks between thousands.
 PATTERNS = {"amount": r"\d{1,3}(?:[,\s]\d{3})*\.\d{2}|\d+\.\d{2}", "date": r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}", "pin": r"[A-Z]\d{9}[A-Z]"}
 MARKS = (",", ".", " ", "")
@@ -53,8 +55,8 @@ def variant_scores(readings: DataFrame, truth: DataFrame, current: str) -> DataF
     """``readings(variant, page_id, seconds, lines array<string>)`` against the answer key and the current variant.
 
     By variant: mean seconds, values shown and in all, tokens lost and new
-    against the current one, new ones that the key does not hold (misread), and
-    pages with the same text.
+    against the current one, new ones that the key does not hold (misread),
+    pages with the same text, and the mean share of text that changed.
     """
     lines = readings.select("variant", "page_id", F.explode("lines").alias("text"))
     tokens = value_tokens(lines)
@@ -65,7 +67,7 @@ def variant_scores(readings: DataFrame, truth: DataFrame, current: str) -> DataF
     wrong = new.join(key_tokens(truth), ["page_id", "token"], "left_anti")
     count = lambda df, name: df.groupBy("variant").agg(F.count("*").alias(name))
     own = readings.where(F.col("variant") == current).select("page_id", F.col("lines").alias("_lines"))
-    times = readings.join(own, "page_id", "left").groupBy("variant").agg(F.avg("seconds").alias("mean_seconds"), F.count_if(F.col("lines") == F.col("_lines")).alias("pages_identical"))
+    times = readings.join(own, "page_id", "left").groupBy("variant").agg(F.avg("seconds").alias("mean_seconds"), F.count_if(F.col("lines") == F.col("_lines")).alias("pages_identical"), F.round(F.avg(1 - text_ratio(F.array_join("_lines", "\n"), F.array_join("lines", "\n"))), 6).alias("text_changed"))
     hits = values_found(truth, lines).groupBy("variant").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
     out = names.join(times, "variant").join(hits, "variant", "left")
     for df, name in ((gone, "lost"), (new, "new"), (wrong, "misread")):

@@ -20,6 +20,7 @@ from ..functions.money import amount_core, amount_forms, is_currency
 from ..functions.pins import normalise_pin, pin_shape, positional
 from ..functions.text import is_tail, label_trim, let, split_fused, split_words
 from ..rules import MATCHING, MatchingRules
+from . import search
 from .search import after_label, beside_currency
 
 # The rules by kind, and a number with blanks between its thousands.
@@ -179,6 +180,22 @@ def trial(cases: DataFrame, rows: DataFrame, kind: str, rules: MatchingRules = M
     return finds.select("case_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("found")) for r in RULES[kind]])).alias("r")).select("case_id", "r.*")
 
 
+#: The rule that a trial chose, by kind.
+CHOSEN = {"amount": "A9", "date": "D4", "pin": "P6"}
+
+
+def against(cases: DataFrame, rows: DataFrame, kind: str, settings: TextSettings = TextSettings(), rules: MatchingRules = MATCHING) -> DataFrame:
+    """Cases of a kind with what the search finds (``app_found``: exactly or corrected) and what the chosen rule finds (``rule_found``), by the same pages."""
+    own = cases.where(F.col("kind") == kind)
+    asked = {k: F.when(F.col("kind") == k, F.col("claim")).cast(t).alias(k) for k, t in (("date", "date"), ("amount", "decimal(18,2)"), ("pin", "string"))}
+    page = F.col("page_id").cast("string").alias("doc_id")
+    lines = rows.withColumn("doc_id", page).withColumn("page", F.lit(1)) if "doc_id" not in rows.columns else rows
+    found = search.hits(search.prepared(lines, rules), own.select(F.col("case_id").alias("claim_id"), page, *asked.values()), rules, (kind,))
+    app = found.where("strength <> 'possible'").select(F.col("claim_id").alias("case_id"), F.lit(True).alias("_app")).distinct()
+    rule = trial(own, rows, kind, rules, settings).where(F.col("rule") == CHOSEN[kind]).select("case_id", F.col("found").alias("rule_found"))
+    return own.join(app, "case_id", "left").join(rule, "case_id", "left").withColumns({"app_found": F.coalesce("_app", F.lit(False)), "rule_found": F.coalesce("rule_found", F.lit(False))}).drop("_app")
+
+
 def cases_of(*tables: DataFrame) -> DataFrame:
     """Cases of several origins as one table: real and made up ones, amounts, dates and PINs; claims as text."""
     names = ["page_id", "kind", "claim", "expected", "category", "source"]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import similarity
 from ..operators import rows, scores, search, trials
 from . import receipts
 from .queries import ORDERS, registered
@@ -73,10 +76,7 @@ x AS (SELECT *, len(list_filter([g, replace(g, ',', '.'), replace(g, ',', ' '),
 def amount_rule_trial(spark, sf_dir):
     """Nine rules for amounts over totals printed in seven ways, each with three decoys."""
     o = receipts.orders(spark, sf_dir)
-    t = F.col("total")
-    made = F.array(*[F.struct(F.lit(c).alias("category"), v.cast("decimal(20,2)").alias("claim")) for c, v in (("printed", t), ("cent", t + F.lit("0.01").cast("decimal(3,2)")), ("tenfold", t * 10), ("whole", F.floor(t)))])
-    each = o.select(F.col("claim_id").alias("page_id"), "total", F.explode(made).alias("d")).where("d.category <> 'whole' or d.claim <> total")
-    return _tally(_cases(each, "amount", F.col("d.claim"), F.col("d.category"), F.col("d.category") == "printed"), _pages(o, _amount_text()), "amount")
+    return _tally(_amount_cases(o), _pages(o, _amount_text()), "amount")
 
 
 DATE_CASES = """d AS (SELECT claim_id, kind, 'printed' AS category, day AS value FROM o UNION ALL SELECT claim_id, kind, 'next day', day + 1 FROM o UNION ALL SELECT claim_id, kind, 'last year', CAST(day - INTERVAL 1 YEAR AS DATE) FROM o
@@ -86,13 +86,8 @@ UNION ALL SELECT claim_id, kind, 'swapped', make_date(year(day), day(day), month
 @registered(_ruled({"D1": "expected AND kind IN (0, 4)", "D2": "expected AND kind IN (0, 2, 4)", "D3": "expected AND kind IN (0, 1, 2, 4, 5)", "D4": "expected AND kind < 6"}, DATE_CASES))
 def date_rule_trial(spark, sf_dir):
     """Four rules for dates over seven ways of printing one, with near misses as decoys."""
-    from ..operators.evaluate import date_decoys
-
     o = receipts.orders(spark, sf_dir)
-    truth = o.select("doc_id", F.col("claim_id").alias("page"), F.col("day").alias("date"))
-    decoys = date_decoys(truth).select(F.col("page").alias("page_id"), "value", "decoy")
-    own = truth.select(F.col("page").alias("page_id"), F.col("date").alias("value"), F.lit("printed").alias("decoy"))
-    return _tally(_cases(own.unionByName(decoys), "date", F.col("value"), F.col("decoy"), F.col("decoy") == "printed"), _pages(o, _date_text()), "date")
+    return _tally(_date_cases(o), _pages(o, _date_text()), "date")
 
 
 LIKE = f"one look-alike digit ({trials.INHERENT})"
@@ -111,10 +106,7 @@ def _pin_rule(printed: str, one: str, like: str) -> str:
 def pin_rule_trial(spark, sf_dir):
     """Six rules for PINs over seven ways of printing one, with other PINs as decoys."""
     o = receipts.orders(spark, sf_dir)
-    truth = o.select(F.col("claim_id").alias("page_id"), F.col("number").alias("pin"))
-    own = truth.select("page_id", F.col("pin").alias("claim"), F.lit("printed").alias("category"))
-    each = own.unionByName(trials.pin_decoys(truth))
-    return _tally(_cases(each, "pin", F.col("claim"), F.col("category"), F.col("category") == "printed"), _pages(o, _pin_text()), "pin")
+    return _tally(_pin_cases(o), _pages(o, _pin_text()), "pin")
 
 
 def _segments() -> Column:
@@ -172,9 +164,23 @@ def pages_with_truth(spark, sf_dir):
     return trials.on_truth(o, o.where("kind = 2")).select("page_id", "claim_id")
 
 
-@registered(f"""WITH {ORDERS}, r AS (SELECT unnest(['current', 'other']) AS variant, kind, claim_id FROM o)
+def _blocks(pairs: str) -> str:
+    """``t`` and, from it, ``m(id, matched)``: of each of ``pairs(id, a, b)`` the longest common stretch is cut out, and then those of what is left on either side."""
+    return f"""RECURSIVE g AS (SELECT id, a, b, 0 AS n FROM ({pairs}) WHERE a <> b
+  UNION ALL SELECT id, unnest([a[: c.i - 1], a[c.i + c.n :]]), unnest([b[: c.j - 1], b[c.j + c.n :]]), unnest([c.n, 0]) FROM (SELECT id, a, b, struct_pack(i := c.i, n := c.n, j := instr(b, a[c.i : c.i + c.n - 1])) AS c FROM (
+    SELECT id, a, b, list_filter(flatten(list_transform(range(least(length(a), length(b)), 0, -1), lambda n: list_transform(range(1, length(a) - n + 2), lambda i: struct_pack(i := i, n := n)))), lambda s: contains(b, a[s.i : s.i + s.n - 1]))[1] AS c
+    FROM g WHERE a <> '' AND b <> '') WHERE c IS NOT NULL)),
+m AS (SELECT id, CAST(sum(n) AS BIGINT) AS matched FROM g GROUP BY id)"""
+
+
+_CURRENT = "'TOTAL|' || CAST(total AS VARCHAR) || chr(10) || 'PIN|' || number"
+_OTHER = "'TOTAL|' || CAST(CASE WHEN kind = 2 THEN total + 0.01 ELSE total END AS VARCHAR) || CASE WHEN kind <> 3 THEN chr(10) || 'PIN|' || number ELSE '' END"
+
+
+@registered(f"""WITH {_blocks(f"WITH {ORDERS} SELECT claim_id AS id, {_CURRENT} AS a, {_OTHER} AS b FROM o")}, {ORDERS}, r AS (SELECT unnest(['current', 'other']) AS variant, kind, claim_id FROM o),
+c AS (SELECT claim_id, CASE WHEN {_CURRENT} = {_OTHER} THEN 0 ELSE 1 - 2.0 * matched / CAST(length({_CURRENT}) + length({_OTHER}) AS DOUBLE) END AS changed FROM o LEFT JOIN m ON id = claim_id)
 SELECT variant, avg(CAST(kind AS DOUBLE) / 2) AS mean_seconds, count(*) FILTER (variant = 'current' OR kind NOT IN (2, 3)) AS pages_identical, CAST(2 * count(*) - count(*) FILTER (variant = 'other' AND kind IN (2, 3)) AS BIGINT) AS hits, CAST(2 * count(*) AS BIGINT) AS total,
-count(*) FILTER (variant = 'other' AND kind IN (2, 3)) AS lost, count(*) FILTER (variant = 'other' AND kind = 2) AS new, count(*) FILTER (variant = 'other' AND kind = 2) AS misread FROM r GROUP BY variant""")
+count(*) FILTER (variant = 'other' AND kind IN (2, 3)) AS lost, count(*) FILTER (variant = 'other' AND kind = 2) AS new, count(*) FILTER (variant = 'other' AND kind = 2) AS misread, round(avg(CASE WHEN variant = 'other' THEN changed ELSE 0 END), 6) AS text_changed FROM r JOIN c USING (claim_id) GROUP BY variant""")
 def variant_scores(spark, sf_dir):
     """A second reading that takes some totals for a cent more and loses some PINs."""
     o = receipts.orders(spark, sf_dir)
@@ -186,6 +192,60 @@ def variant_scores(spark, sf_dir):
     return scores.variant_scores(readings, truth, "current")
 
 
+_PAGE = f"strftime(day, '%d/%m/%Y') || chr(10) || {GROUPED} || chr(10) || number"
+_READ = f"""CASE kind WHEN 1 THEN number || chr(10) || {GROUPED} || chr(10) || strftime(day, '%d/%m/%Y') WHEN 2 THEN ({_PAGE})[1 : 7] || ({_PAGE})[9 :] WHEN 3 THEN replace({_PAGE}, '0', 'O') WHEN 4 THEN ({_PAGE}) || ' ' || ({_PAGE}) WHEN 5 THEN '' WHEN 6 THEN reverse({_PAGE}) ELSE {_PAGE} END"""
+
+
+@registered(f"""WITH {_blocks(f"WITH {ORDERS} SELECT claim_id AS id, {_PAGE} AS a, {_READ} AS b FROM o")}, {ORDERS}, p AS (SELECT claim_id, {_PAGE} AS a, {_READ} AS b FROM o), q AS (SELECT claim_id, length(a) AS n, length(b) AS k, CASE WHEN a = b THEN length(a) ELSE matched END AS matched FROM p LEFT JOIN m ON id = claim_id)
+SELECT claim_id, matched, 2.0 * matched / CAST(n + k AS DOUBLE) AS ratio FROM q""")
+def text_similarity(spark, sf_dir):
+    """Readings with lines in another order, a lost character, look-alikes, everything twice, nothing, or read from behind, against the page."""
+    o = receipts.orders(spark, sf_dir)
+    day, total = F.date_format("day", "dd/MM/yyyy"), F.format_number("total", 2)
+    page = F.concat_ws("\n", day, total, "number")
+    read = _by_kind(page, F.concat_ws("\n", "number", total, day), F.concat(page.substr(1, 7), page.substr(9, 1000)), F.replace(page, F.lit("0"), F.lit("O")), F.concat_ws(" ", page, page), F.lit(""), F.reverse(page))
+    return o.select("claim_id", page.alias("a"), read.alias("b")).select("claim_id", similarity.matched_characters(F.col("a"), F.col("b")).alias("matched"), similarity.text_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+def _amount_cases(o: DataFrame) -> DataFrame:
+    t = F.col("total")
+    made = F.array(*[F.struct(F.lit(c).alias("category"), v.cast("decimal(20,2)").alias("claim")) for c, v in (("printed", t), ("cent", t + F.lit("0.01").cast("decimal(3,2)")), ("tenfold", t * 10), ("whole", F.floor(t)))])
+    each = o.select(F.col("claim_id").alias("page_id"), "total", F.explode(made).alias("d")).where("d.category <> 'whole' or d.claim <> total")
+    return _cases(each, "amount", F.col("d.claim"), F.col("d.category"), F.col("d.category") == "printed")
+
+
+def _date_cases(o: DataFrame) -> DataFrame:
+    from ..operators.evaluate import date_decoys
+
+    truth = o.select("doc_id", F.col("claim_id").alias("page"), F.col("day").alias("date"))
+    decoys = date_decoys(truth).select(F.col("page").alias("page_id"), "value", "decoy")
+    own = truth.select(F.col("page").alias("page_id"), F.col("date").alias("value"), F.lit("printed").alias("decoy"))
+    return _cases(own.unionByName(decoys), "date", F.col("value"), F.col("decoy"), F.col("decoy") == "printed")
+
+
+def _pin_cases(o: DataFrame) -> DataFrame:
+    truth = o.select(F.col("claim_id").alias("page_id"), F.col("number").alias("pin"))
+    own = truth.select("page_id", F.col("pin").alias("claim"), F.lit("printed").alias("category"))
+    return _cases(own.unionByName(trials.pin_decoys(truth)), "pin", F.col("claim"), F.col("category"), F.col("category") == "printed")
+
+
+def _against(kind: str, cases: str, found: str) -> str:
+    return f"(WITH {cases} SELECT '{kind}' AS kind, category, expected, count(*) AS n, count(*) FILTER ({found}) AS app_found, count(*) FILTER ({found}) AS rule_found, CAST(0 AS BIGINT) AS n_differ FROM x GROUP BY category, expected)"
+
+
+A9 = f"{_IN_CENTS} OR kind = 6 AND {_BARE} OR expected AND kind IN (2, 5)"
+P6 = _pin_rule("0, 1, 2, 3, 4, 5", "-1", "0, 1, 2, 3, 4, 5")
+
+
+@registered(f"WITH {ORDERS} {' UNION ALL '.join(_against(k, c, f) for k, c, f in (('amount', AMOUNT_CASES, A9), ('date', DATE_CASES, 'expected AND kind < 6'), ('pin', PIN_CASES, P6)))}")
+def search_against_rules(spark, sf_dir):
+    """The search and the rule that its trial chose (A9, D4, P6), over the cases of all three trials: what each finds, and where they differ, which is nowhere."""
+    o = receipts.orders(spark, sf_dir)
+    made = (("amount", _amount_cases(o), _amount_text(), trials.TextSettings("tail", 0.6)), ("date", _date_cases(o), _date_text(), trials.TextSettings()), ("pin", _pin_cases(o), _pin_text(), trials.TextSettings()))
+    each = [trials.against(trials.cases_of(cases), _pages(o, text), kind, settings) for kind, cases, text, settings in made]
+    return reduce(DataFrame.unionByName, each).groupBy("kind", "category", "expected").agg(F.count("*").alias("n"), F.count_if("app_found").alias("app_found"), F.count_if("rule_found").alias("rule_found"), F.count_if(F.col("app_found") != F.col("rule_found")).alias("n_differ"))
+
+
 @registered(f"""WITH {ORDERS} SELECT claim_id, CASE WHEN claim_id % 4 = 0 OR total < 1000 THEN 1 ELSE 0 END AS n_possible FROM o""")
 def faded_separators(spark, sf_dir):
     """A faded total counts with commas between its thousands only: a point, an apostrophe or a blank there is another amount."""

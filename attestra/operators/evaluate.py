@@ -22,14 +22,23 @@ def date_decoys(truth: DataFrame) -> DataFrame:
 
 
 def other_pages(truth: DataFrame, value: str, most: int | None = None) -> DataFrame:
-    """Values that other pages of a document hold and this one does not; ``most`` of each page, the smallest first, if set."""
-    own = truth.select("doc_id", "page", value).distinct()
-    pages, values = own.select("doc_id", "page").distinct(), own.select("doc_id", value).distinct()
-    out = pages.join(values, "doc_id").join(own, ["doc_id", "page", value], "left_anti")
+    """Values that other pages of a document hold and this one does not; ``most`` of each page, the smallest first, if set.
+
+    A page of k values lacks ``most`` of the first ``most + k`` of its document:
+    it asks for these places, so that no page meets all values. A null is no value.
+    """
+    own = truth.select("doc_id", "page", value).where(F.col(value).isNotNull()).distinct()
+    pages, values = truth.select("doc_id", "page").distinct(), own.select("doc_id", value).distinct()
     if most is None:
-        return out
-    order = Window.partitionBy("doc_id", "page").orderBy(value)
-    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+        return pages.join(values, "doc_id").join(own, ["doc_id", "page", value], "left_anti")
+    if most < 1:
+        return own.limit(0)
+    placed = values.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(value)))
+    held = truth.select("doc_id", "page", value).distinct().groupBy("doc_id", "page").agg(F.count(value).cast("int").alias("_k"))
+    asked = held.select("doc_id", "page", F.explode(F.sequence(F.lit(1), F.col("_k") + most)).alias("_place"))
+    lacked = asked.join(placed, ["doc_id", "_place"]).join(own, ["doc_id", "page", value], "left_anti")
+    order = Window.partitionBy("doc_id", "page").orderBy("_place")
+    return lacked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "page", value)
 
 
 def tally(results: DataFrame) -> DataFrame:

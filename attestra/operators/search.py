@@ -11,6 +11,7 @@ finds then move once, to their claim, where they are settled, counted and decide
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ..functions.money import amount_core, is_currency, read_amount
 from ..functions.pins import halves, normalise_pin, pin_shape, stands_for, token_forms
 from ..functions.text import joined_tokens, let, plain_tokens, text_core
 from ..rules import MATCHING, MatchingRules
+from ..sources.page_cache import PageCache
 from ..sources.staged import staged
 
 KEYS = ("date", "amount", "pin")
@@ -258,6 +260,11 @@ def kept_pages(rows: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     return staged(prepared(rows, rules))
 
 
+def kept_by_version(cache: PageCache, files: DataFrame, read: Callable[[DataFrame], DataFrame], rules: MatchingRules = MATCHING) -> DataFrame:
+    """Prepared rows of all ``files``, of which only new and changed ones are read and prepared; ``read`` gives printed rows with the ``path`` of their file."""
+    return cache.refresh(files, lambda changed: prepared(read(changed), rules))
+
+
 def told(summaries: DataFrame) -> DataFrame:
     """``summary`` with a text: places, and possible ones apart."""
     many = lambda n, one: F.concat(n.cast("string"), F.when(n == 1, one).otherwise(one + "s"))

@@ -60,7 +60,7 @@ def _folder(name: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one."""
+    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one; Spark does not list files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").schema(BINARY_FILE).load(root) if exists(spark, root) else spark.createDataFrame([], BINARY_FILE)
     files = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     part = F.split("path", "/")

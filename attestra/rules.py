@@ -24,6 +24,17 @@ CLAIMANT_LABELS = ("claimant", "individual", "employee", "name")
 PROJECT_LABELS = ("project",)
 DATE_LABELS = ("date", "claim date")
 AMOUNT_LABELS = ("total", "grand total", "amount", "total claimed", "total paid")
+STEP_RULES = {
+    "crop": {"min_trim_share": 0.1, "min_scale_gain": 0.1, "margin_per_text_height": 2.0, "min_margin_px": 10},
+    "denoise": {"above_noise_sigma": 5.0, "strength_per_sigma": 1.5, "max_strength": 20.0},
+    "deskew": {"search_limit_deg": 10.0, "min_tilt_deg": 1.0, "min_alignment_gain": 1.05},
+    "flatten_light": {"above_background_spread": 35.0, "below_paper_level": 220.0, "kernel_per_text_height": 3.0},
+    "stretch_contrast": {"below_text_contrast": 0.0, "target_ink_level": 20.0, "target_paper_level": 235.0},
+    "brighten": {"below_paper_level": 190.0, "target_paper_level": 235.0, "min_gamma": 0.3},
+    "resize": {"size_basis": "small", "below_text_height_px": 0.0, "above_text_height_px": 90.0, "target_text_height_px": 32.0, "max_upscale": 3.0, "min_downscale": 0.4},
+    "sharpen": {"below_sharpness": 100.0, "min_amount": 0.3, "max_amount": 1.2, "radius_px": 1.2},
+    "adaptive_threshold": {"below_text_contrast": 0.0, "block_per_text_height": 2.5, "offset_per_noise_sigma": 2.0, "min_offset": 5.0},
+}
 STATUS_OF_DECISION = {"PASS": "Verified", "CAUTION": "Needs Revision", "REVIEW": "Pending"}
 
 
@@ -162,3 +173,23 @@ def load_rules(text: str, kind: type = MatchingRules):
     if wrong:
         raise ValueError("config: " + "; ".join(wrong))
     return kind(**{to: make(given[k]) for k, (_, _, to, make) in keys.items()})
+
+
+def load_step_rules(text: str) -> dict[str, dict]:
+    """When a page gets which preparing step, of a JSON rule file with a section for each of ``STEP_RULES``; a ``ValueError`` names all that is wrong at once."""
+    try:
+        given = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError("config: not valid JSON") from e
+    if not isinstance(given, dict):
+        raise ValueError("config: not one JSON object")
+    out, wrong = {}, []
+    for section, keys in STEP_RULES.items():
+        own = given.get(section)
+        own = own if isinstance(own, dict) else {}
+        fits = {k: own.get(k) in ("small", "median") if k == "size_basis" else _number(own.get(k)) for k in keys}
+        wrong += [f"'{section}.{k}' is missing or unusable" for k, ok in fits.items() if not ok]
+        out[section] = {k: own.get(k) for k in keys}
+    if wrong:
+        raise ValueError("config: " + "; ".join(wrong))
+    return out

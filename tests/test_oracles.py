@@ -10,7 +10,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from attestra.plans import queries, review, trials  # noqa: F401
+from attestra.plans import preparing, queries, review, trials  # noqa: F401
 
 
 def plain(v):

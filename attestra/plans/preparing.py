@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import advice
 from ..rules import STEP_RULES
+from ..sources import reading, staged
 from .queries import registered
 
 #: The usual rules switch three steps off; here all are on.
@@ -77,3 +78,47 @@ def page_advice(spark, sf_dir):
         of("stretch_contrast", "ink_level").alias("ink_level"), of("brighten", "gamma").alias("gamma"), of("resize", "scale").alias("scale"),
         of("sharpen", "amount").alias("amount"), of("adaptive_threshold", "block_px").alias("block_px"), of("adaptive_threshold", "offset").alias("threshold_offset"),
     )
+
+
+class Paragraphs:
+    """A reader of web pages: each paragraph is a page, its words lie in a line; those that are marked as ``broken`` cannot be read."""
+
+    def __init__(self, broken: str | None):
+        self.broken = broken
+
+    def start(self) -> None:
+        pass
+
+    def pages(self, content: bytes) -> list[str]:
+        return content.decode().split("</p>")
+
+    def words(self, page: str) -> list[tuple[str, float, list[list[float]]]]:
+        if self.broken and self.broken in page:
+            raise ValueError("cannot be read")
+        return [(w, 1.0, [[10.0 * i, 0.0], [10.0 * i + 8, 0.0], [10.0 * i + 8, 10.0], [10.0 * i, 10.0]]) for i, w in enumerate(page.split(" "))]
+
+
+def _html(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select(F.col("page_id").cast("string").alias("doc_id"), F.encode("html", "UTF-8").alias("content"))
+
+
+def _shown(readings):
+    return readings.withColumn("n_words", F.size("words").cast("long")).withColumn("digest", F.md5(F.array_join(F.transform("words", lambda w: w["text"]), " "))).drop("words")
+
+
+PARTS = "p AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, string_split(html, '</p>') AS parts FROM pages), w AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS page FROM p), bad AS (SELECT *, contains(part, '###') AS failed FROM w)"
+
+
+@registered(f"WITH {PARTS} SELECT doc_id, CAST(page AS INT) AS page, CASE WHEN failed THEN 'read: ValueError: cannot be read' END AS error, CASE WHEN NOT failed THEN CAST(len(string_split(part, ' ')) AS BIGINT) END AS n_words, CASE WHEN NOT failed THEN md5(part) END AS digest FROM bad UNION ALL SELECT doc_id, 0, 'load: ValueError: no content', NULL, NULL FROM p WHERE parts IS NULL")
+def page_readings(spark, sf_dir):
+    """Web pages read by paragraphs; some paragraphs fail, each in its own row."""
+    return _shown(reading.read_pages(_html(spark, sf_dir), Paragraphs("###")))
+
+
+@registered(f"WITH {PARTS} SELECT doc_id, CAST(page AS INT) AS page, CAST(NULL AS VARCHAR) AS error, failed AS again, CAST(len(string_split(part, ' ')) AS BIGINT) AS n_words, md5(part) AS digest FROM bad UNION ALL SELECT doc_id, 0, 'load: ValueError: no content', true, NULL, NULL FROM p WHERE parts IS NULL")
+def resumed_readings(spark, sf_dir):
+    """The same with a second run, which reads only the paragraphs that failed in the first."""
+    files = _html(spark, sf_dir)
+    first = staged.staged(reading.read_pages(files, Paragraphs("###")))
+    return _shown(reading.resumed(files, first, Paragraphs(None)))

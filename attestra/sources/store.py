@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,9 +61,42 @@ def _folder(name: Column) -> Column:
     return F.when(value == name, name).when(value == "__HIVE_DEFAULT_PARTITION__", F.lit("")).otherwise(decoded)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one; Spark does not list files of no bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").schema(BINARY_FILE).load(root) if exists(spark, root) else spark.createDataFrame([], BINARY_FILE)
+def _plain(folder: str) -> str:
+    """The same for a name on the driver."""
+    value = re.sub("^(month_year|name)=", "", folder)
+    return folder if value == folder else "" if value == "__HIVE_DEFAULT_PARTITION__" else unquote(value)
+
+
+def chosen_folders(spark: SparkSession, root: str, months: Iterable[str] | None = None, names: Iterable[str] | None = None) -> list[str]:
+    """Folders that hold what is asked for: the store, some of its months, or folders of some names in these months.
+
+    Names of folders are listed level by level, months first, so a month that is
+    not asked for is never opened; with ``names`` each chosen month is listed once.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    found = [where]
+    for wanted in (months, names) if names is not None else (months,) if months is not None else ():
+        wanted = None if wanted is None else set(wanted)
+        found = [f.getPath() for at in found for f in files.listStatus(at) if f.isDirectory() and (wanted is None or _plain(f.getPath().getName()) in wanted)]
+    return [str(f) for f in found]
+
+
+def _literal(paths: list[str]) -> list[str]:
+    """Paths in which no character stands for others."""
+    return [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]
+
+
+def list_files(spark: SparkSession, root: str, months: Iterable[str] | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """``path, month, name, file, size, modified`` of files two folders down; the version of a file is path, size and time. A missing store is an empty one; Spark does not list files of no bytes.
+
+    With ``months`` or ``names`` only their folders are listed.
+    """
+    chosen = _literal(chosen_folders(spark, root, months, names))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").schema(BINARY_FILE).load(chosen) if chosen else spark.createDataFrame([], BINARY_FILE)
     files = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     part = F.split("path", "/")
     return files.select("path", _folder(F.element_at(part, -3)).alias("month"), _folder(F.element_at(part, -2)).alias("name"), F.element_at(part, -1).alias("file"), "size", "modified")
@@ -113,9 +148,12 @@ def file_presence(folders: DataFrame) -> DataFrame:
     return folders.withColumn("files", F.when(text == "", "None").otherwise(text))
 
 
-def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata files, ``claim_meta.json`` or as ``write_metadata`` leaves them, with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{[cC][lL][aA][iI][mM]_[mM][eE][tT][aA],part-*}.[jJ][sS][oO][nN]").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
+def read_metadata(spark: SparkSession, root: str, months: Iterable[str] | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """Metadata files (of some months or names, whose folders alone are listed), ``claim_meta.json`` or as ``write_metadata`` leaves them, with every field as a string, amounts then as decimals; an unreadable one is a record of defaults."""
+    chosen = root if months is None and names is None else _literal(chosen_folders(spark, root, months, names))
+    if not chosen:
+        return with_defaults(spark.createDataFrame([], f"month string, name string, {METADATA}"))
+    raw = spark.read.text(chosen, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{[cC][lL][aA][iI][mM]_[mM][eE][tT][aA],part-*}.[jJ][sS][oO][nN]").select(F.col("_metadata.file_path").alias("path"), F.from_json("value", METADATA).alias("m"))
     part = F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/")
     rows = raw.select(_folder(F.element_at(part, -3)).alias("month"), _folder(F.element_at(part, -2)).alias("name"), "m.*")
     return with_defaults(rows.withColumn("month_year", F.coalesce("month_year", "month")))
@@ -130,12 +168,12 @@ def folder_name(name: Column) -> Column:
     return F.replace(F.trim(name), F.lit(" "), F.lit("_"))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Every claim folder with its files and its metadata (defaults where there is none), months and names as columns."""
-    folders = file_presence(classified(list_files(spark, root)))
+def scan(spark: SparkSession, root: str, months: Iterable[str] | None = None, names: Iterable[str] | None = None) -> DataFrame:
+    """Every claim folder, or those of some months and names, with its files and its metadata (defaults where there is none), months and names as columns."""
+    folders = file_presence(classified(list_files(spark, root, months, names)))
     if not exists(spark, root):
         return folders.join(with_defaults(spark.createDataFrame([], f"month string, name string, {METADATA}")), ["month", "name"], "left")
-    return folders.join(read_metadata(spark, root), ["month", "name"], "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if not c.endswith("amount")})
+    return folders.join(read_metadata(spark, root, months, names), ["month", "name"], "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if not c.endswith("amount")})
 
 
 def latest(claims: DataFrame) -> DataFrame:

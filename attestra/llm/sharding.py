@@ -8,7 +8,7 @@ shards whose counts differ by one at most, overall, and by one or so in each sou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import ordered, stage
@@ -31,13 +31,17 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     Remove copies first where a text must not be in two shards.
     Other columns play no part.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").alias("stratum"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-    ).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))))
+    return _places(docs, shards, seed).drop("stratum")
+
+
+def _known(text: Column) -> list[Column]:
+    """Size and checksum of a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+
+
+def _places(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("stratum"), *_known(F.col("text"))).withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))))
     tie = [F.col(c).asc_nulls_last() for c in ("draw", "doc_id", "text_crc32")]
     ranked = ordered(rows, [F.col("stratum").asc_nulls_last(), *tie], "by-source")
     # Of each source: its rows and where it starts. A number for each source and task is all that is shuffled.
@@ -50,6 +54,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     shard = F.expr(f"position * {shards} div {max(1, total)}")
     return placed.withColumn("shard", shard.cast("long")).select(
         "doc_id",
+        "stratum",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
@@ -57,3 +62,29 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
         (F.col("position") - F.expr(f"(shard * {total} + {shards - 1}) div {shards}")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all their columns and texts, with the ``size``, ``text_crc32``, ``law``, ``shard`` and ``slot`` that ``interleaved`` gives them.
+
+    Places are worked out without the texts, which move once, to meet theirs by
+    doc_id, source and checksum; equal rows are numbered and take one place each.
+    Columns of ``docs`` that are named like those added are replaced. Nulls are
+    ordinary values, an empty table gives an empty result. Rows equal in doc_id,
+    source and text are numbered one after the other in one task, without being
+    held there.
+    """
+    given = ["size", "text_crc32", "law", "shard", "slot"]
+    key = ["_id", "_source", "_crc", "_size"]
+    placed = _places(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("stratum").alias("_source"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.struct(*given).alias("_place"))
+    placed = stage(placed, "places")
+    size, crc = _known(F.col("text"))
+    # The row travels as one column, apart from the names used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), crc.alias("_crc"), size.alias("_size"), F.struct(*docs.columns).alias("_row"))
+    number = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by))
+    placed, rows = placed.withColumn("_n", number(F.col("_place.shard"))), rows.withColumn("_m", number(F.lit(0))).select(*[F.col(k).alias(f"{k}_r") for k in key], "_m", "_row")
+    match = F.col("_n") == F.col("_m")
+    for k in key:
+        match &= F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in given]
+    return rows.join(placed, match).select(*kept, *[F.col("_place")[c].alias(c) for c in given])

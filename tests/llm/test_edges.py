@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -356,3 +358,22 @@ def test_pipeline(spark, sf):
         if name == "benchmark_decontamination":
             assert string_tiling.contaminated(out, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0 < len(before) - len(after)
     assert out.count() > 0
+
+
+def test_sharded_rows_keep_their_texts(spark):
+    """Every row comes back whole, with the places of ``interleaved``; repeated rows have one each."""
+    rows = [(i, f"text {i % 7}", ("a", "b", None)[i % 3], i) for i in range(200)] + [(5, "text 5", None, 5)] * 40 + [(None, None, None, k) for k in range(3)] + [(1, None, "a", 0), (1, "", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int").withColumn("_id", F.lit("x")).withColumn("_row", F.lit("y"))
+    out = sharding.sharded(df)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "source", "_id", "_row", "size", "text_crc32", "law", "shard", "slot"]
+    assert sorted((r.doc_id or -1, r.text or "", r.source or "") for r in got) == sorted((i or -1, t or "", s or "") for i, t, s, _ in rows)
+    names = ("doc_id", "size", "text_crc32", "law", "shard", "slot")
+    want = sorted(map(repr, (tuple(r) for r in sharding.interleaved(df).select(*names).collect())))
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got))) == want
+    assert all(zlib.crc32((r.text or "").encode()) == r.text_crc32 for r in got)
+    # Of each source every shard has its share, give or take one and a row of the cut.
+    for s in ("a", "b", None):
+        counts = [sum(r.source == s and r.shard == k for r in got) for k in range(8)]
+        assert max(counts) - min(counts) <= 2, (s, counts)
+    assert sharding.sharded(df.limit(0)).collect() == []

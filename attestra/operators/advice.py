@@ -51,6 +51,8 @@ def advised(pages: DataFrame, rules: dict[str, dict] = STEP_RULES, max_side: flo
     A step whose measurement is null is left out; so is every step of a page
     without a size, as nothing of it is above or below anything. A page without
     letter-sized marks keeps its size. An empty table gives an empty one.
+    Parameters are rounded half to even by their shortest decimal print, so 0.885
+    is 0.88 although its binary value lies a little above.
     """
     yes = lambda c: F.coalesce(c, F.lit(False))
     w, h, box = F.col("width").cast("double"), F.col("height").cast("double"), F.col("content_box")

@@ -37,6 +37,9 @@ MEASURED = {
 }
 _ROWS = "m AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{e} AS {n}" for n, e in MEASURED.items()) + " FROM lineitem)"
 _ODD = "CAST(greatest(15, round_even({0}, 0)) AS INT) + CASE WHEN CAST(greatest(15, round_even({0}, 0)) AS INT) % 2 = 0 THEN 1 ELSE 0 END"
+#: An amount of sharpening to two digits: half to even, by its shortest decimal print.
+_AMOUNT = "CAST(CAST(0.3::DOUBLE + (1.0::DOUBLE - sharpness / 100.0::DOUBLE) * (1.2::DOUBLE - 0.3::DOUBLE) AS VARCHAR) AS DECIMAL(20,17)) * 100"
+_EVEN = f"CAST(floor({_AMOUNT}) + CASE WHEN {_AMOUNT} - floor({_AMOUNT}) > 0.5 OR {_AMOUNT} - floor({_AMOUNT}) = 0.5 AND CAST(floor({_AMOUNT}) AS INT) % 2 = 1 THEN 1 ELSE 0 END AS DOUBLE) / 100"
 _SHRINK = "least(1.0::DOUBLE, 2000.0::DOUBLE / greatest({0}, {1}))"
 
 
@@ -58,7 +61,7 @@ concat_ws(',', CASE WHEN small_height IS NULL THEN 'resize: height of characters
 CASE WHEN crop THEN x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 END AS cut, CASE WHEN noise > 5 THEN round_even(least(20.0::DOUBLE, noise * 1.5::DOUBLE), 1) END AS strength, CASE WHEN turned THEN tilt END AS angle,
 CAST(CASE WHEN flat THEN {_ODD.format('CASE WHEN text_height IS NOT NULL THEN text_height * 3.0::DOUBLE ELSE least(width, height) / 20.0::DOUBLE END')} END AS DOUBLE) AS kernel_px,
 CASE WHEN stretched THEN round_even(pp - ct, 1) END AS ink_level, CASE WHEN dark THEN round_even(greatest(0.3::DOUBLE, ln(235.0::DOUBLE / 255.0::DOUBLE) / ln(pp / 255.0::DOUBLE)), 3) END AS gamma, CASE WHEN sized THEN round_even(factor, 3) END AS scale,
-CASE WHEN soft AND NOT faint THEN round_even(0.3::DOUBLE + (1.0::DOUBLE - sharpness / 100.0::DOUBLE) * (1.2::DOUBLE - 0.3::DOUBLE), 2) END AS amount,
+CASE WHEN soft AND NOT faint THEN {_EVEN} END AS amount,
 CAST(CASE WHEN faint THEN {_ODD.format('coalesce(text_height, least(width, height) / 40.0::DOUBLE) * CASE WHEN sized THEN factor ELSE 1.0::DOUBLE END * 2.5::DOUBLE')} END AS DOUBLE) AS block_px, CASE WHEN faint THEN round_even(greatest(5.0::DOUBLE, noise * 2.0::DOUBLE), 1) END AS threshold_offset FROM h""")
 def page_advice(spark, sf_dir):
     """The steps that pages of every kind get, with their parameters, and what was weighed and left out."""

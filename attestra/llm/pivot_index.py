@@ -3,7 +3,10 @@
 A vector is described by its nearest reference points (pivots), in order. Near
 vectors see the same pivots, so each vector is posted to the inverted lists of
 the pairs among its nearest pivots; two vectors meet where they share two or
-more. Those that share enough are verified by their cosine in double precision.
+more. There the pivots they share are counted, down to DEEPER times as many
+places of the order, and only the vectors of pairs that share as many as links do
+are fetched and verified by their cosine in double precision: what is posted is
+ids and pivots. How many links share is tried out on each group's own vectors.
 
 Only vectors of one label and length are compared, so each such group has
 pivots of its own, drawn from its members: about eight times the square root of
@@ -40,6 +43,10 @@ APART = 0.6
 #: Pivots that describe a vector: for groups of up to so many pivots, (residual similarity of a link, nearest pivots), most similar first.
 #: Measured: two vectors at that similarity share two pivots with a chance of 0.94 or more (0.91 in the last row of 256).
 NEAREST = {64: ((0.8, 6), (0.6, 8), (0.35, 12)), 256: ((0.9, 6), (0.8, 8), (0.6, 12), (0.35, 16)), 1024: ((0.85, 8), (0.75, 12), (0.6, 16)), 4096: ((0.92, 8), (0.85, 12), (0.75, 16))}
+#: Places of the order in which shared pivots are counted, for each that vectors are posted by; a group's pivots are so many times as many at least.
+DEEPER = 3
+#: Share of the tried links that may have fewer shared pivots than what is asked for, and vectors they are tried on.
+MISSED, TRIED = 0.002, 512
 #: Vectors of a group that are described in one task, and of a list that meet in one.
 CHUNK, BLOCK = 4096, 1024
 #: Vectors of a list up to which it is verified together with others.
@@ -92,6 +99,30 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
+def deepened(vectors: np.ndarray, mean: np.ndarray, pivots: np.ndarray, k: int, least: float) -> tuple[int, int]:
+    """How many pivots of the order are compared, and how many of them two vectors have to share to be verified.
+
+    Some of the group's ``vectors`` get partners at a cosine of ``least``, away
+    from them at random and towards other vectors; of those that meet in a list,
+    all but MISSED share as many. One less is asked for, as the vectors are
+    pivots themselves and see themselves first.
+    """
+    deep = max(k, min(DEEPER * k, len(pivots) // DEEPER))
+    if deep == k:
+        return k, 2
+    rng = np.random.default_rng(SEED)
+    base = vectors[:TRIED]
+    need = deep
+    for away in (rng.normal(size=base.shape), np.roll(base, 1, axis=0)):
+        away = _unit(away - (away * base).sum(1, keepdims=True) * base)
+        a, b = (nearest_pivots(v - mean, pivots, deep) for v in (base, least * base + np.sqrt(1 - least * least) * away))
+        same = a[:, :, None] == b[:, None, :]
+        meet = same[:, :k, :k].sum((1, 2)) >= 2
+        if meet.any():
+            need = min(need, int(np.quantile(same.sum((1, 2))[meet], MISSED)) - 1)
+    return deep, max(2, need)
+
+
 def _keys(near: np.ndarray) -> np.ndarray:
     """Numbers of the pairs of nearest pivots, the nearest pairs first."""
     pairs = [np.sort(near[:, list(c)].astype(np.int64), axis=1) for c in combinations(range(near.shape[1]), 2)]
@@ -154,26 +185,128 @@ def _post(wide: bool, least: float, exact: bool):
                 if a + n == e:
                     continue
                 if seen is None:
-                    seen = described(np.concatenate(held), least)
-                mean, pivots, k = seen
+                    mean, pivots, k = described(np.concatenate(held), least)
+                    seen = mean, pivots, k, *(deepened(np.concatenate(held), mean, pivots, k, least) if k >= 2 and not exact else (0, 0))
+                mean, pivots, k, deep, need = seen
                 part = b.slice(a + n, e - a - n)
                 if k < 2 or exact:
                     keys, near = np.full((len(part), 1), ALL), np.zeros((len(part), 0), np.int32)
                 else:
-                    near = nearest_pivots(_unit(_matrix(part.column("body"), kind, key[1]).astype(np.float64)) - mean, pivots, k)
-                    keys = _keys(near)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel().astype(t))) for v, t in ((keys, np.int64), (near, np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("label"), part.column("dim"), *lists], names=["class", "label", "dim", "keys", "near"])
+                    near = nearest_pivots(_unit(_matrix(part.column("body"), kind, key[1]).astype(np.float64)) - mean, pivots, deep)
+                    keys = _keys(near[:, :k])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel().astype(t))) for v, t in ((keys, np.int64), (near, np.int16))]
+                told = [pa.array(np.full(len(part), v, np.int32)) for v in (k, need)]
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("label"), part.column("dim"), *lists, *told], names=["class", "label", "dim", "keys", "near", "k", "need"])
 
     return tidy(run)
 
 
 def _own(near_a: np.ndarray, near_b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Pairs whose two lowest shared pivots are those of the list: of the lists that two vectors share, this one counts the pair."""
-    shared = np.sort(np.where((near_a[:, :, None] == near_b[:, None, :]).any(2), near_a, 1 << 20), axis=1)[:, :2]
+    shared = np.sort(np.where((near_a[:, :, None] == near_b[:, None, :]).any(2), near_a.astype(np.int64), 1 << 20), axis=1)[:, :2]
     return (shared[:, 0].astype(np.int64) << 20 | shared[:, 1]) == key
 
 
+def _of_list(near: np.ndarray, key: int) -> np.ndarray:
+    """The same for all pairs of a long list: whether they share no pivots up to the list's higher one but its two."""
+    high = key & (1 << 20) - 1
+    seen = np.zeros((len(near), high + 1), np.float32)
+    row, at = np.nonzero(near <= high)
+    seen[row, near[row, at]] = 1
+    return seen @ seen.T == 2
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch], unit, short) -> Iterator[list]:
+    """What ``unit(key, parts)`` makes of each unit of two rows and more, and ``short(batch, runs)`` of a batch's short lists of one block."""
+    own, parts = None, []
+    for b in batches:
+        if not len(b):
+            continue
+        runs, found = list(_runs(b, UNIT)), []
+        # The last run may go on in the next batch, and the first may have begun in the one before.
+        if own is not None and runs[0][0] != own:
+            found += [unit(own, parts)] if sum(map(len, parts)) > 1 else []
+            own, parts = None, []
+        inner = runs[1:-1] if own is not None else runs[:-1]
+        if own is not None:
+            parts.append(b.slice(0, runs[0][2]))
+            if len(runs) > 1:
+                found.append(unit(own, parts))
+                own, parts = None, []
+        small = [r for r in inner if 1 < r[2] - r[1] <= SHORT and r[0][3] == r[0][4]]
+        if small:
+            found.append(short(b, small))
+        found += [unit(key, [b.slice(a, e - a)]) for key, a, e in inner if e - a > SHORT or key[3] != key[4] and e - a > 1]
+        if own is None:
+            own, parts = runs[-1][0], [b.slice(runs[-1][1], len(b) - runs[-1][1])]
+        yield found
+    if sum(map(len, parts)) > 1:
+        yield [unit(own, parts)]
+
+
+def _nears(column: pa.Array) -> np.ndarray:
+    """Rows of pivots, all of one length."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _count():
+    """Count the pivots that the pairs of each list and unit share; the rows of the vectors to verify there.
+
+    A row stays if it has a partner that shares enough pivots with it and that
+    no other list counts. Rows come out at most once, so a group of near copies
+    makes no more of them than were posted.
+    """
+    names = ["class", *GROUP, "key", "block", "u", "v"]
+
+    def unit(key: tuple, parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        near = np.concatenate([_nears(p.column("near")) for p in parts])
+        k, need = parts[0].column("k")[0].as_py(), parts[0].column("need")[0].as_py()
+        pivots, at = np.unique(near, return_inverse=True)
+        seen = np.zeros((len(near), len(pivots)), np.float32)
+        seen[np.arange(len(near))[:, None], at.reshape(near.shape)] = 1
+        enough = seen @ seen.T >= need
+        np.fill_diagonal(enough, False)
+        if key[3] != key[4]:  # pairs within one of the blocks meet elsewhere
+            other = np.concatenate([p.column("block").to_numpy() for p in parts]) != key[3]
+            enough &= other[:, None] != other
+        if enough.any():
+            enough &= _of_list(near[:, :k], key[2])
+        some, start, out = enough.any(1), 0, []
+        for p in parts:
+            out.append(p.select(names).filter(pa.array(some[start : start + len(p)])))
+            start += len(p)
+        return out
+
+    def short(batch: pa.RecordBatch, runs: list[tuple[tuple, int, int]]) -> list[pa.RecordBatch]:
+        length = pc.list_value_length(batch.column("near")).to_numpy()
+        width = np.concatenate([[0], np.cumsum(length)])
+        flat, ks, needs = batch.column("near").flatten().to_numpy(), batch.column("k").to_numpy(), batch.column("need").to_numpy()
+        # A bit for each pivot.
+        bits = np.zeros((len(batch), (int(flat.max(initial=0)) // 64 + 1) * 64), np.uint8)
+        bits[np.repeat(np.arange(len(batch)), length), flat] = 1
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        stays = np.zeros(len(batch), bool)
+        shapes: dict[tuple, list] = {}
+        for key, a, e in runs:
+            shapes.setdefault((e - a, int(ks[a])), []).append((a, key[2]))
+        for (m, k), own in shapes.items():
+            start, keys = np.array([o[0] for o in own]), np.array([o[1] for o in own], np.int64)
+            x, y = np.triu_indices(m, 1)
+            i, j = (start[:, None] + x).ravel(), (start[:, None] + y).ravel()
+            enough = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) >= needs[i]
+            i, j, r = i[enough], j[enough], np.repeat(keys, len(x))[enough]
+            mine = _own(flat[width[i][:, None] + np.arange(k)], flat[width[j][:, None] + np.arange(k)], r)
+            stays[i[mine]] = stays[j[mine]] = True
+        return [batch.select(names).filter(pa.array(stays))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _by_unit(batches, unit, short):
+            for kept in found:
+                yield from kept
+
+    return tidy(run)
+
+
 def _meet(wide: bool, least: float):
     """Verify the pairs of each list and unit; rows of link counts and of edges that connect what is linked.
 
@@ -188,9 +321,6 @@ def _meet(wide: bool, least: float):
     def vectors(parts: list[pa.RecordBatch], dim: int) -> np.ndarray:
         return _unit(np.concatenate([_matrix(p.column("body"), kind, dim) for p in parts]).astype(np.float64))
 
-    def nears(parts: list[pa.RecordBatch]) -> np.ndarray:
-        return np.concatenate([p.column("near").flatten().to_numpy() for p in parts])
-
     def unit(key: tuple, parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a long list or of two of its blocks: ends of edges, classes with links, and how many."""
         ids, other, weight = column(parts, "class"), column(parts, "block") != key[3], column(parts, "weight")
@@ -200,12 +330,7 @@ def _meet(wide: bool, least: float):
         if key[3] != key[4]:  # pairs within one of the blocks meet elsewhere
             link &= other[:, None] != other
         if key[2] != ALL and link.any():
-            high = key[2] & (1 << 20) - 1
-            near = nears(parts).reshape(len(ids), -1)
-            seen = np.zeros((len(ids), high + 1), np.float32)
-            row, at = np.nonzero(near <= high)
-            seen[row, near[row, at]] = 1
-            link &= seen @ seen.T == 2
+            link &= _of_list(np.concatenate([_nears(p.column("near")) for p in parts]), key[2])
         counted, label = link @ weight, np.arange(len(ids))
         while True:
             best = np.minimum(label, np.where(link, label, len(ids)).min(1))
@@ -242,34 +367,22 @@ def _meet(wide: bool, least: float):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([c, a])), pa.concat_arrays([pa.nulls(len(c), pa.int64()), pa.array(b)]), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
-        for b in batches:
-            if not len(b):
-                continue
-            runs, found = list(_runs(b, UNIT)), []
-            # The last run may go on in the next batch, and the first may have begun in the one before.
-            if own is not None and runs[0][0] != own:
-                found += [unit(own, parts)] if sum(map(len, parts)) > 1 else []
-                own, parts = None, []
-            inner = runs[1:-1] if own is not None else runs[:-1]
-            if own is not None:
-                parts.append(b.slice(0, runs[0][2]))
-                if len(runs) > 1:
-                    found.append(unit(own, parts))
-                    own, parts = None, []
-            small = [r for r in inner if 1 < r[2] - r[1] <= SHORT and r[0][3] == r[0][4]]
-            if small:
-                found.append(short(b, small))
-            found += [unit(key, [b.slice(a, e - a)]) for key, a, e in inner if e - a > SHORT or key[3] != key[4] and e - a > 1]
-            if own is None:
-                own, parts = runs[-1][0], [b.slice(runs[-1][1], len(b) - runs[-1][1])]
+        for found in _by_unit(batches, unit, short):
             yield rows(found)
-        if sum(map(len, parts)) > 1:
-            yield rows([unit(own, parts)])
 
     return tidy(run)
 
 
+def _units(posted: DataFrame) -> DataFrame:
+    """The lists of two and more, cut into blocks: a row for each class, list and pair of blocks in which it meets others."""
+    lists = posted.select("class", *GROUP, F.explode("keys").alias("key"))
+    lengths = lists.groupBy(*GROUP, "key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = lists.join(lengths, [*GROUP, "key"]).withColumn("blocks", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
+    lists = lists.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("u"), F.greatest("block", j).alias("v")))
+    return lists.withColumn("unit", F.explode(others)).select("class", *GROUP, "key", "block", "unit.u", "unit.v")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.93, exact: bool = False) -> DataFrame:
     """Links between vectors of equal label with a cosine of ``least`` or more.
 
@@ -281,8 +394,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, exact: bool = False) -
     non-finite numbers link with nothing. Vectors of different lengths do not
     link. Repeated rows are further vectors; a null vec_id is never the smallest.
     An empty table gives an empty result; other columns play no part. Every link
-    that is reported is one. Pairs that share fewer than two of the pivots that
-    describe them are missed; with ``exact`` every two vectors of a label are
+    that is reported is one. Pairs that share fewer than two of their nearest
+    pivots, or fewer of the further ones than nearly all links do, are missed; with ``exact`` every two vectors of a label are
     compared, in blocks, and none is. Vectors are told apart by 64-bit hashes.
     """
     wide = dict(vectors.dtypes)["embedding"] != "array<float>"
@@ -303,16 +416,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, exact: bool = False) -
     pivots = pivots.select(*GROUP, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("member"), F.col("salt").alias("class"), "body")
     members = members.select(*GROUP, F.pmod(F.xxhash64("class"), F.col("chunks")).alias("chunk"), F.lit(1).alias("member"), "class", "body")
     chunks = pivots.unionByName(members).repartition(*GROUP, "chunk").sortWithinPartitions(*GROUP, "chunk", "member", "class")
-    posted = stage(chunks.mapInArrow(_post(wide, least, exact), "class long, label long, dim int, keys array<long>, near array<int>"), "posted")
-
-    lists = posted.select("class", *GROUP, F.explode("keys").alias("key"))
-    lengths = lists.groupBy(*GROUP, "key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = lists.join(lengths, [*GROUP, "key"]).withColumn("blocks", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
-    lists = lists.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("u"), F.greatest("block", j).alias("v")))
-    units = lists.withColumn("unit", F.explode(others)).select("class", *GROUP, "key", "block", "unit.u", "unit.v")
-    body = posted.select("class", "near").join(classes.select("class", "body", "weight"), "class")
-    units = units.join(body, "class").repartition(*UNIT).sortWithinPartitions(*UNIT, "class")
+    posted = stage(chunks.mapInArrow(_post(wide, least, exact), "class long, label long, dim int, keys array<long>, near array<short>, k int, need int"), "posted")
+
+    # Ids and pivots go to the lists; vectors only where the list leaves them something to verify.
+    whole = F.get("keys", F.lit(0)) == ALL
+    described_by = posted.where(~whole).select("class", "near", "k", "need")
+    counted = _units(posted.where(~whole)).join(described_by, "class").repartition(*UNIT).sortWithinPartitions(*UNIT, "class")
+    counted = stage(counted.mapInArrow(_count(), "class long, label long, dim int, key long, block long, u long, v long"), "counted")
+    body = posted.select("class", F.slice("near", 1, F.greatest("k", F.lit(0))).alias("near")).join(classes.select("class", "body", "weight"), "class")
+    units = counted.unionByName(_units(posted.where(whole))).join(body, "class").repartition(*UNIT).sortWithinPartitions(*UNIT, "class")
     met = stage(units.mapInArrow(_meet(wide, least), "a long, b long, n long"), "met")
 
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

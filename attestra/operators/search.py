@@ -124,13 +124,13 @@ def signs(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ..
     fused = F.concat(whole, F.transform(starts, lambda x: F.struct(x, none, none, none).cast(form)))
     pins = F.flatten(F.transform(token_forms(c, rules), lambda f: F.transform(halves(f["norm"], f["shape"]), lambda h: F.struct(h["key"], f["raw"], f["norm"], h["side"]).cast(form))))
     forms = F.when(F.col("kind") == "pin", pins).when((F.col("kind") == "token") & c.contains(":") & (F.length(c) >= 10), fused).otherwise(whole)
-    out = one.select("doc_id", "page", "row", "kind", "token", "bare", "segments", F.explode(forms).alias("f"))
+    out = one.select("doc_id", "page", "row", "kind", "token", "bare", "segments", "text", F.explode(forms).alias("f"))
     is_date, is_amount = F.col("kind").isin("date", "token"), F.col("kind").isin("amount", "faded")
     out = out.withColumn("d", F.when(is_date, read_form(F.col("f.text"), rules))).withColumn("a", F.when(is_amount, read_amount(F.col("f.text"), rules)))
     key = F.when(is_date, F.concat(F.lit("d:"), F.col("d.code").cast("string"))).when(is_amount, F.concat(F.lit("a:"), F.col("a.cents").cast("string"))).otherwise(F.col("f.text"))
     # What is no date and no amount has no key; an amount without cents has to stand beside a currency word or the like.
     counts = ~is_amount | F.col("a.full") | F.coalesce("bare", F.lit(False))
-    return out.where(key.isNotNull() & counts).select("doc_id", key.alias("form"), "page", "row", F.when(is_date, "date").otherwise(F.col("kind")).alias("kind"), "token", "segments", F.col("d.full").alias("full"), F.col("f.raw").alias("raw"), F.col("f.norm").alias("norm"), F.col("f.side").alias("side"))
+    return out.where(key.isNotNull() & counts).select("doc_id", key.alias("form"), "page", "row", F.when(is_date, "date").otherwise(F.col("kind")).alias("kind"), "token", "segments", F.col("d.full").alias("full"), F.col("f.raw").alias("raw"), F.col("f.norm").alias("norm"), F.col("f.side").alias("side"), F.when(F.col("kind") == "pin", c).alias("text"))
 
 
 def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -150,15 +150,20 @@ def wanted(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str,
     return claims.select("claim_id", "doc_id", F.explode(every).alias("w")).select("claim_id", "doc_id", "w.*")
 
 
-def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Every place where a claimed value is printed. ``pages`` are prepared rows."""
-    found = signs(pages, rules, keys, pin_lengths(claims) if "pin" in keys else None).join(wanted(claims, rules, keys), ["doc_id", "form"])
+def fits(rules: MatchingRules = MATCHING) -> Column:
+    """Whether a reading is what a claim asks for, where both have the same form."""
     kind, n = F.col("kind"), F.floor(F.length("pin") / 2).cast("int")
     # A PIN that shares both halves is met twice; the left one counts.
     once = (F.col("side") == "l") | (F.col("norm").substr(F.lit(1), n) != F.col("pin").substr(F.lit(1), n))
-    fits = F.when(kind == "date", F.col("full").isNull() | (F.col("full") == F.col("year"))).when(kind == "pin", once & stands_for(F.col("raw"), F.col("norm"), F.col("pin"), rules)).otherwise(True)
+    return F.when(kind == "date", F.col("full").isNull() | (F.col("full") == F.col("year"))).when(kind == "pin", once & stands_for(F.col("raw"), F.col("norm"), F.col("pin"), rules)).otherwise(True)
+
+
+def hits(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Every place where a claimed value is printed. ``pages`` are prepared rows."""
+    found = signs(pages, rules, keys, pin_lengths(claims) if "pin" in keys else None).join(wanted(claims, rules, keys), ["doc_id", "form"])
+    kind = F.col("kind")
     strength = F.when(kind == "faded", "possible").when((kind == "pin") & (F.col("raw") != F.col("pin")), "corrected").otherwise("exact")
-    found = found.where(fits).select("claim_id", "doc_id", "page", "row", F.when(kind == "faded", "amount").otherwise(kind).alias("key"), F.struct("token", "segments", strength.alias("strength")).alias("f"))
+    found = found.where(fits(rules)).select("claim_id", "doc_id", "page", "row", F.when(kind == "faded", "amount").otherwise(kind).alias("key"), F.struct("token", "segments", strength.alias("strength")).alias("f"))
     # From here on all that is grouped is grouped by claim and document first: finds move once.
     found = found.repartition("claim_id", "doc_id").groupBy("claim_id", "doc_id", "page", "row", "key").agg(F.collect_set("f").alias("fs"))
     # An exact print beside it rules out a faded one; of a token's readings as a PIN the strongest counts.
@@ -214,7 +219,7 @@ def page_matches(found: DataFrame) -> DataFrame:
     return found.groupBy("claim_id", "doc_id", "page").agg(*per)
 
 
-def _asked() -> dict[str, Column]:
+def asked() -> dict[str, Column]:
     return {"date": F.col("date").isNotNull(), "amount": F.col("amount").isNotNull(), "pin": F.coalesce(F.col("pin") != "", F.lit(False))}
 
 
@@ -224,17 +229,22 @@ def document_matches(claims: DataFrame, matches: DataFrame, errors: DataFrame |
     ``errors(doc_id, n_errors)`` counts what went wrong in a document; any error
     asks for a review, and so does a claim without a key.
     """
-    asked = _asked()
+    own = asked()
     pages = claims.select("claim_id", "doc_id", "date", "amount", "pin").join(matches, ["claim_id", "doc_id"], "left")
-    count = lambda what: sum((F.when(asked[k] & F.coalesce(F.col(f"{k}_{what}"), F.lit(False)), 1).otherwise(0) for k in KEYS), F.lit(0))
-    n_keys = sum((F.when(asked[k], 1).otherwise(0) for k in KEYS), F.lit(0))
+    count = lambda what: sum((F.when(own[k] & F.coalesce(F.col(f"{k}_{what}"), F.lit(False)), 1).otherwise(0) for k in KEYS), F.lit(0))
+    n_keys = sum((F.when(own[k], 1).otherwise(0) for k in KEYS), F.lit(0))
     pages = pages.withColumn("n_found", count("found")).withColumn("n_possible", count("possible")).withColumn("n_keys", n_keys)
     list_of = lambda c: F.array_sort(F.collect_set(F.when(F.coalesce(c, F.lit(False)), F.col("page"))))
     aggs = [list_of(F.col(f"{k}_{w}")).alias(f"{k}_{w}_pages") for k in KEYS for w in ("found", "possible")]
     aggs += [F.coalesce(F.bool_or(f"{k}_corrected"), F.lit(False)).alias(f"{k}_corrected") for k in KEYS]
     aggs += [list_of((F.col("n_keys") > 0) & (F.col("n_found") == F.col("n_keys"))).alias("complete_pages")]
     aggs += [F.max(F.when(F.col("n_found") + F.col("n_possible") > 0, F.struct("n_found", "n_possible", (-F.col("page")).alias("minus")))).alias("best")]
-    out = pages.groupBy("claim_id", "doc_id", *[asked[k].alias(f"{k}_asked") for k in KEYS]).agg(*aggs)
+    out = pages.groupBy("claim_id", "doc_id", *[own[k].alias(f"{k}_asked") for k in KEYS]).agg(*aggs)
+    return concluded(out, errors)
+
+
+def concluded(out: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The status of each key, the best page and the suggested decision, from the pages of each key."""
     for k in KEYS:
         found, possible = F.size(f"{k}_found_pages") > 0, F.size(f"{k}_possible_pages") > 0
         status = F.when(found, F.when(F.col(f"{k}_corrected"), "corrected").otherwise("exact")).when(possible, "possible").otherwise("MISSING")

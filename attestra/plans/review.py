@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import claims as claim_ops
-from ..operators import evaluate, extract, geometry, rows, search, sheets
+from ..operators import evaluate, extract, geometry, page_sets, rows, search, sheets
+from ..rules import MATCHING
 from ..sources import store
 from ..streaming import arrivals
 from . import receipts
-from .queries import CLAIMS, HITS, LINES, LIST, ORDERS, registered
+from .queries import CLAIMS, DOCUMENTS, HITS, LINES, LIST, ORDERS, registered
 
 
 def _kind() -> Column:
@@ -233,3 +234,22 @@ def summary_text(spark, sf_dir):
     """Finds as they are told, by claim and key."""
     found = search.hits(search.prepared(rows.single_rows(receipts.lines(spark, sf_dir))), receipts.claims(spark, sf_dir))
     return search.told(search.summary(found)).select("claim_id", "key", "n_places", F.col("n_possible").cast("int").alias("n_possible"), "said")
+
+
+#: Orders as long documents: volumes of so many pages.
+VOLUME = 4096
+IN_VOLUMES = ORDERS.replace("CAST(o_custkey AS VARCHAR) AS doc_id", f"CAST(o_orderkey // {VOLUME} AS VARCHAR) AS doc_id").replace("o_orderkey % 2147483647", f"o_orderkey % {VOLUME}")
+#: Digits that are taken for each other.
+ALIKE = [a + b for x, y in MATCHING.lookalikes if (x + y).isdigit() for a, b in ((x, y), (y, x))]
+HITS_ALIKE = HITS[: HITS.index("    WHERE pin = number")] + f"""    WHERE pin = number OR (hamming(pin, number) = 1 AND list_bool_or([pin[i] <> number[i] AND number[i] || pin[i] IN ({", ".join(f"'{x}'" for x in ALIKE)}) FOR i IN range(1, 12)])))"""
+
+
+@registered(f"""WITH {IN_VOLUMES}, {CLAIMS}, {HITS_ALIKE}, {DOCUMENTS} SELECT claim_id, date_status, amount_status, pin_status, best_page, n_complete, first_complete,
+CASE WHEN date_status = 'MISSING' OR amount_status = 'MISSING' OR coalesce(pin_status, '') = 'MISSING' THEN 'REVIEW' WHEN coalesce(pin_status, '') = 'corrected' THEN 'CAUTION' ELSE 'PASS' END AS decision FROM j""")
+def volume_decisions(spark, sf_dir):
+    """Decisions over documents of 4096 pages, about each of which 4096 claims are made, by sets of pages."""
+    lines, claims = receipts.lines(spark, sf_dir), receipts.claims(spark, sf_dir)
+    lines = lines.withColumn("doc_id", F.expr(f"cast(page div {VOLUME} as string)")).withColumn("page", F.expr(f"cast(page % {VOLUME} as int)"))
+    claims = claims.withColumn("doc_id", F.expr(f"cast(claim_id div {VOLUME} as string)"))
+    out = page_sets.verify(rows.single_rows(lines), claims)
+    return out.select("claim_id", "date_status", "amount_status", "pin_status", "best_page", F.size("complete_pages").cast("long").alias("n_complete"), F.get("complete_pages", F.lit(0)).alias("first_complete"), "decision")

@@ -2,9 +2,9 @@
 
 ``rows(page_id, row, segments)`` are printed rows; ``cases(case_id, page_id,
 kind, claim, expected, category, source)`` say what is looked for on a page and
-whether it is there. A rule is a column expression over the tokens of a row and
-the forms of a claim, so that a trial is one equi-join of cases with the rows of
-their page and one aggregation.
+whether it is there. A rule is a column expression over what it reads
+from a row and the forms of a claim, so that a trial is one equi-join of cases with
+the rows of their page and one aggregation.
 """
 
 from __future__ import annotations
@@ -76,23 +76,38 @@ def _merged_points(tokens: Column, rules: MatchingRules) -> Column:
     return F.aggregate(F.transform(tokens, lambda t, i: i), start, step, lambda acc: acc["out"])
 
 
-def amount_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column, Column], Column]:
+@dataclass(frozen=True)
+class Rule:
+    """A rule in three parts: what it reads from the tokens of a row, once a row; what it takes for forms of a claim, once a case; and whether the one holds the other.
+
+    Rules that read alike, or have the same forms, name the same column for it.
+    """
+
+    reads: tuple[str, Callable[[Column], Column]]
+    forms: tuple[str, Callable[[Column], Column]]
+    found: Callable[[Column, Column], Column]
+
+
+def amount_rule(rule: str, rules: MatchingRules = MATCHING) -> Rule:
     """Whether a row of tokens holds an amount, by one of the rules A1 to A9."""
     own = replace(rules, one_decimal=rules.one_decimal and rule == "A9", prefix_marks=rules.prefix_marks if rule == "A9" else "")
 
-    def found(tokens: Column, value: Column) -> Column:
-        return let(amount_forms(value, own), lambda f: with_forms(tokens, f["with_cents"], f["without_cents"]))
-
-    def with_forms(tokens: Column, cents: Column, bare: Column) -> Column:
-        if rule == "A1":
-            return let(F.array_join(tokens, " "), lambda text: F.exists(F.concat(cents, bare), lambda f: F.contains(text, f)))
-        if rule == "A2":
-            return F.arrays_overlap(tokens, cents)
+    def with_cores(tokens: Column) -> Column:
         if rule in ("A8", "A9"):
             tokens = F.flatten(F.transform(tokens, split_fused))
         if rule == "A8":
             tokens = _merged_points(tokens, own)
-        return let(tokens, lambda t: let(F.transform(t, lambda x: amount_core(x, own)), lambda cores: in_cores(t, cores, cents, bare)))
+        return let(tokens, lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: amount_core(x, own)).alias("cores")))
+
+    reads = {"A1": ("text", lambda tokens: F.array_join(tokens, " ")), "A2": ("tokens", lambda tokens: tokens), "A8": ("merged", with_cores), "A9": ("split", with_cores)}
+
+    def found(read: Column, forms: Column) -> Column:
+        cents, bare = forms["with_cents"], forms["without_cents"]
+        if rule == "A1":
+            return F.exists(F.concat(cents, bare), lambda f: F.contains(read, f))
+        if rule == "A2":
+            return F.arrays_overlap(read, cents)
+        return in_cores(read["tokens"], read["cores"], cents, bare)
 
     def in_cores(tokens: Column, cores: Column, cents: Column, bare: Column) -> Column:
         def counts(i: Column) -> Column:
@@ -109,16 +124,15 @@ def amount_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column,
         places = F.transform(cores, lambda c, i: F.struct(c["core"].alias("core"), i.alias("i")))
         return F.exists(places, lambda p: F.array_contains(cents, p["core"]) | F.array_contains(bare, p["core"]) & counts(p["i"]))
 
-    return found
+    return Rule(reads.get(rule, ("cores", with_cores)), ("marked" if rule == "A9" else "plain", lambda value: amount_forms(value, own)), found)
 
 
-def date_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column, Column], Column]:
+def date_rule(rule: str, rules: MatchingRules = MATCHING) -> Rule:
     """Whether a row of tokens holds a date, by one of the rules D1 to D4."""
+    trimmed = rule in ("D3", "D4")
 
-    def found(tokens: Column, day: Column) -> Column:
-        return let(date_forms(day, rules), lambda f: with_forms(F.transform(tokens, lambda t: F.lower(label_trim(t) if rule in ("D3", "D4") else t)), f["single"], f["several"]))
-
-    def with_forms(cores: Column, single: Column, several: Column) -> Column:
+    def found(cores: Column, forms: Column) -> Column:
+        single, several = forms["single"], forms["several"]
         out = F.arrays_overlap(cores, single)
         if rule == "D4":
             out |= F.exists(cores, lambda c: F.exists(single, lambda f: F.startswith(c, f) & c.substr(F.length(f) + 1, F.length(c)).rlike("^[0-9]{1,3}:[0-9]{2}")))
@@ -128,20 +142,19 @@ def date_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column, C
             out |= F.coalesce(F.arrays_overlap(F.array_compact(threes), several), F.lit(False))
         return out
 
-    return found
+    return Rule(("trimmed" if trimmed else "lower", lambda tokens: F.transform(tokens, lambda t: F.lower(label_trim(t) if trimmed else t))), ("day", lambda day: date_forms(day, rules)), found)
 
 
-def pin_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column, Column], Column]:
+def pin_rule(rule: str, rules: MatchingRules = MATCHING) -> Rule:
     """Whether a row of tokens holds a PIN, by one of the rules P1 to P6."""
     pairs = [a + b for x, y in rules.lookalikes for a, b in ((x, y), (y, x))]
 
-    def found(tokens: Column, pin: Column) -> Column:
+    def found(read: Column, p: Column) -> Column:
         if rule == "P1":
-            return F.array_contains(tokens, pin)
-        return let(F.struct(normalise_pin(pin).alias("pin"), pin_shape(normalise_pin(pin), rules).alias("shape")), lambda p: F.exists(tokens, lambda t: let(core_of(t, p["pin"]), lambda c: same(c, p["pin"], p["shape"]))))
+            return F.array_contains(read, p)
+        return F.exists(read, lambda t: let(core_of(t, p["pin"]), lambda c: same(c, p["pin"], p["shape"])))
 
-    def core_of(token: Column, pin: Column) -> Column:
-        core = F.upper(label_trim(token))
+    def core_of(core: Column, pin: Column) -> Column:
         if rule != "P6":
             return core
         head = core.substr(F.lit(1), F.length(core) - F.length(pin))
@@ -166,18 +179,29 @@ def pin_rule(rule: str, rules: MatchingRules = MATCHING) -> Callable[[Column, Co
         like = F.exists(wrong, lambda i: F.concat(at(core, i), at(pin, i)).isin(pairs) | F.concat(at(norm, i), at(pin, i)).isin(pairs))
         return (norm == pin) | (F.size(wrong) == 1) & like
 
-    return found
+    if rule == "P1":
+        return Rule(("tokens", lambda tokens: tokens), ("said", lambda pin: pin), found)
+    return Rule(("upper", lambda tokens: F.transform(tokens, lambda t: F.upper(label_trim(t)))), ("normal", lambda pin: F.struct(normalise_pin(pin).alias("pin"), pin_shape(normalise_pin(pin), rules).alias("shape"))), found)
+
 
+def trial(cases: DataFrame, rows: DataFrame, kind: str, rules: MatchingRules = MATCHING, settings: TextSettings = TextSettings(), names: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``case_id``, ``rule``, ``found`` of every case of a kind by every rule of that kind, or by those of ``names``; a page without rows finds nothing.
 
-def trial(cases: DataFrame, rows: DataFrame, kind: str, rules: MatchingRules = MATCHING, settings: TextSettings = TextSettings()) -> DataFrame:
-    """``case_id``, ``rule``, ``found`` of every case of a kind by every rule of that kind; a page without rows finds nothing."""
+    Columns of the cases that ``keep`` names come along. Both sides grow with the
+    pages, so neither is broadcast, however small its files make it look.
+    """
     make = {"amount": amount_rule, "date": date_rule, "pin": pin_rule}[kind]
     said = {"amount": "decimal(18,2)", "date": "date", "pin": "string"}[kind]
-    own = cases.where(F.col("kind") == kind).select("case_id", "page_id", F.col("claim").cast(said).alias("claim"))
+    made = {r: make(r, rules) for r in names or RULES[kind]}
+    reads, forms = ({part[0]: part[1] for part in (getattr(m, which) for m in made.values())} for which in ("reads", "forms"))
+    own = cases.where(F.col("kind") == kind).select("case_id", "page_id", *keep, F.col("claim").cast(said).alias("claim"))
+    own = own.select("case_id", "page_id", *keep, *[f(F.col("claim")).alias(f"f_{n}") for n, f in forms.items()])
     tokens = rows.select("page_id", trial_tokens(F.col("segments"), settings).alias("tokens"))
-    each = own.join(tokens, "page_id", "left")
-    finds = each.groupBy("case_id").agg(*[F.coalesce(F.bool_or(make(r, rules)(F.col("tokens"), F.col("claim"))), F.lit(False)).alias(r) for r in RULES[kind]])
-    return finds.select("case_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("found")) for r in RULES[kind]])).alias("r")).select("case_id", "r.*")
+    tokens = tokens.select("page_id", *[f(F.col("tokens")).alias(f"r_{n}") for n, f in reads.items()])
+    each = own.join(tokens.hint("merge"), "page_id", "left")
+    # A case is of one page: with the page among its keys it is counted where it was met.
+    finds = each.groupBy("page_id", "case_id", *keep).agg(*[F.coalesce(F.bool_or(m.found(F.col(f"r_{m.reads[0]}"), F.col(f"f_{m.forms[0]}"))), F.lit(False)).alias(r) for r, m in made.items()])
+    return finds.select("case_id", *keep, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("found")) for r in made])).alias("r")).select("case_id", "r.*", *keep)
 
 
 #: The rule that a trial chose, by kind.
@@ -192,8 +216,8 @@ def against(cases: DataFrame, rows: DataFrame, kind: str, settings: TextSettings
     lines = rows.withColumn("doc_id", page).withColumn("page", F.lit(1)) if "doc_id" not in rows.columns else rows
     found = search.hits(search.prepared(lines, rules), own.select(F.col("case_id").alias("claim_id"), page, *asked.values()), rules, (kind,))
     app = found.where("strength <> 'possible'").select(F.col("claim_id").alias("case_id"), F.lit(True).alias("_app")).distinct()
-    rule = trial(own, rows, kind, rules, settings).where(F.col("rule") == CHOSEN[kind]).select("case_id", F.col("found").alias("rule_found"))
-    return own.join(app, "case_id", "left").join(rule, "case_id", "left").withColumns({"app_found": F.coalesce("_app", F.lit(False)), "rule_found": F.coalesce("rule_found", F.lit(False))}).drop("_app")
+    rule = trial(own, rows, kind, rules, settings, (CHOSEN[kind],)).select("case_id", F.col("found").alias("rule_found"))
+    return own.join(app.hint("merge"), "case_id", "left").join(rule.hint("merge"), "case_id", "left").withColumns({"app_found": F.coalesce("_app", F.lit(False)), "rule_found": F.coalesce("rule_found", F.lit(False))}).drop("_app")
 
 
 def cases_of(*tables: DataFrame) -> DataFrame:
@@ -202,7 +226,7 @@ def cases_of(*tables: DataFrame) -> DataFrame:
     out = tables[0].select(*names)
     for t in tables[1:]:
         out = out.unionByName(t.select(*names))
-    return out.withColumn("case_id", F.sha2(F.to_json(F.struct(*names)), 256)).distinct()
+    return out.repartition("page_id").distinct().withColumn("case_id", F.sha2(F.to_json(F.struct(*names)), 256))  # dealt as trials meet them, once
 
 
 def on_truth(readings: DataFrame, truth: DataFrame) -> DataFrame:
@@ -243,7 +267,7 @@ def pin_decoys(truth: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     like = F.slice(F.filter("digits", lambda i: F.concat(at(i), F.lit("8")).isin(pairs) & (at(i) != "8")), 1, 1)
     like = F.transform(like, lambda i: F.struct(put(i, F.lit("8")).alias("claim"), F.lit(f"one look-alike digit ({INHERENT})").alias("category")))
     made = truth.select("page_id", "pin").distinct().withColumn("digits", digits).select("page_id", F.explode(F.concat(other, like)).alias("d")).select("page_id", "d.*")
-    return made.join(truth.select("page_id", F.col("pin").alias("claim")), ["page_id", "claim"], "left_anti")
+    return made.join(truth.select("page_id", F.col("pin").alias("claim")).hint("merge"), ["page_id", "claim"], "left_anti")
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

@@ -51,8 +51,7 @@ def _pages(o: DataFrame, text: Column) -> DataFrame:
 
 
 def _tally(cases: DataFrame, printed: DataFrame, kind: str) -> DataFrame:
-    cases = trials.cases_of(cases)
-    return trials.trial(cases, printed, kind).join(cases, "case_id").groupBy("rule", "category", "expected").agg(F.count("*").alias("n"), F.count_if("found").alias("found"))
+    return trials.trial(trials.cases_of(cases), printed, kind, keep=("category", "expected")).groupBy("rule", "category", "expected").agg(F.count("*").alias("n"), F.count_if("found").alias("found"))
 
 
 def _cases(df: DataFrame, kind: str, claim: Column, category: Column, expected: Column) -> DataFrame:

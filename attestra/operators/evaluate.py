@@ -71,11 +71,17 @@ def disagreements(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
 
 
 def token_changes(base: DataFrame, variant: DataFrame) -> DataFrame:
-    """Tokens by page that one reading has and the other does not: ``lost`` and ``added``."""
-    kind = lambda df, name: df.select("doc_id", "page", "token", F.lit(name).alias("change"))
+    """Tokens by page that one reading has and the other does not: ``lost`` and ``added``.
+
+    Both readings are counted together, in one shuffle; neither is held whole. A
+    null page or token is equal to no other.
+    """
     keys = ["doc_id", "page", "token"]
-    b, v = base.select(*keys).distinct(), variant.select(*keys).distinct()
-    return kind(b.join(v, keys, "left_anti"), "lost").unionByName(kind(v.join(b, keys, "left_anti"), "added"))
+    both = base.select(*keys, F.lit(1).alias("_in")).union(variant.select(*keys, F.lit(2).alias("_in")))
+    seen = both.groupBy(*keys).agg(F.bit_or("_in").alias("_in"))
+    alone = (F.col("_in") != 3) | F.col("doc_id").isNull() | F.col("page").isNull() | F.col("token").isNull()
+    told = [F.when(F.col("_in").bitwiseAND(n) != 0, name) for n, name in ((1, "lost"), (2, "added"))]
+    return seen.where(alone).select(*keys, F.explode(F.array_compact(F.array(*told))).alias("change"))
 
 
 def level_at(histogram: DataFrame, share: float) -> DataFrame:

@@ -236,12 +236,14 @@ def on_truth(readings: DataFrame, truth: DataFrame) -> DataFrame:
 
 def not_printed(decoys: DataFrame, rows: DataFrame, truth: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     """Decoys ``(page_id, amount, ...)`` of which the page shows no sign: neither its answer key nor any of its tokens is a print of the amount."""
-    tokens = rows.select("page_id", F.explode(trial_tokens(F.col("segments"))).alias("t"))
-    signs = tokens.select("page_id", F.explode(F.array(amount_core(F.col("t"), rules)["core"], F.btrim("t", F.lit(".,:;")))).alias("form")).distinct()
+    # The signs of a page are one array, which each of its decoys meets once: forms are not shuffled.
+    signs = F.flatten(F.transform(trial_tokens(F.col("segments")), lambda t: F.array(amount_core(t, rules)["core"], F.btrim(t, F.lit(".,:;")))))
+    signs = rows.select("page_id", signs.alias("signs")).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"))
     forms = amount_forms(F.col("amount"), rules)
-    wanted = decoys.select("page_id", "amount").distinct().select("page_id", "amount", F.explode(F.concat(forms["with_cents"], forms["without_cents"])).alias("form"))
-    seen = wanted.join(signs, ["page_id", "form"], "left_semi").select("page_id", "amount").union(truth.select("page_id", F.col("amount").cast("decimal(18,2)"))).distinct()
-    return decoys.join(seen, ["page_id", "amount"], "left_anti")
+    wanted = decoys.select("page_id", "amount").repartition("page_id").distinct()
+    met = wanted.select("page_id", "amount", F.concat(forms["with_cents"], forms["without_cents"]).alias("forms")).join(signs.hint("merge"), "page_id")
+    seen = met.where(F.arrays_overlap("forms", "signs")).select("page_id", "amount").union(truth.select("page_id", F.col("amount").cast("decimal(18,2)"))).distinct()
+    return decoys.join(seen.hint("merge"), ["page_id", "amount"], "left_anti")
 
 
 def embedded_decoys(rows: DataFrame, truth: DataFrame, most: int = MOST_EMBEDDED, rules: MatchingRules = MATCHING) -> DataFrame:

@@ -24,7 +24,7 @@ FULL = (1 << WORD) - 1
 SETS = ("date_found", "amount_found", "pin_found", "amount_possible", "pin_corrected")
 
 
-def page_index(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS, lengths: Column | None = None) -> DataFrame:
+def page_index(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS, kinds: Column | None = None) -> DataFrame:
     """The set of pages of every form that prepared rows print: ``doc_id, form, ...`` and, for each ``word`` of 32 pages, ``pages``.
 
     Equal prints of 32 pages are one row, before anything is shuffled as far as they
@@ -33,7 +33,7 @@ def page_index(pages: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[st
     """
     page = F.col("page").cast("long")
     word, bit = F.floor(page / WORD).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(page, {WORD}) as int))")
-    found = search.signs(pages, rules, keys, lengths).withColumn("word", word).withColumn("bit", bit)
+    found = search.signs(pages, rules, keys, kinds).withColumn("word", word).withColumn("bit", bit)
     found = found.where((F.col("kind") != "pin") | (F.col("side") == "l"))
     rest = F.col("norm").substr(F.floor(F.length("norm") / 2).cast("int") + 1, F.length("norm"))
     found = found.withColumn("form", F.when(F.col("kind") == "pin", F.concat("form", rest)).otherwise(F.col("form")))
@@ -67,8 +67,8 @@ def asked_for(claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[st
 
 def page_sets(pages: DataFrame, claims: DataFrame, rules: MatchingRules = MATCHING, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """For each claim and word of 32 pages the sets of ``SETS``; words without a find have no row. ``pages`` are prepared rows."""
-    index = page_index(pages, rules, keys, search.pin_lengths(claims) if "pin" in keys else None)
-    met = index.join(asked_for(claims, rules, keys), ["doc_id", "form"]).where(search.fits(rules))
+    index = page_index(pages, rules, keys, search.pin_kinds(claims, rules) if "pin" in keys else None)
+    met = index.join(asked_for(claims, rules, keys).hint("merge"), ["doc_id", "form"]).where(search.fits(rules))
     kind, pin = F.col("kind"), F.col("pin")
     # A token that is the PIN in one of its readings is not misread.
     misread = (kind == "pin") & (F.col("raw") != pin) & ~F.exists(token_forms(F.col("text"), rules), lambda f: f["raw"] == pin)

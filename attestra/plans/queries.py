@@ -62,8 +62,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.prepared(rows.single_rows(receipts.lines(spark, sf_dir)))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hits(_pages(spark, sf_dir), receipts.claims(spark, sf_dir))
+def _hits(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("claim_id", "doc_id")) -> DataFrame:
+    return search.hits(_pages(spark, sf_dir), receipts.claims(spark, sf_dir), by=by)
 
 
 @registered(f"""WITH {ORDERS}, {CLAIMS}, g AS (SELECT claim_id, format('{{:,}}', CAST(floor(amount) AS BIGINT)) AS g, lpad(CAST(CAST(amount * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0') AS cents FROM c),
@@ -193,12 +193,12 @@ def best_page(spark, sf_dir):
 
 @registered(f"""WITH {ORDERS}, {CLAIMS}, {HITS} SELECT claim_id, page, row, key, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY page, row) AS INT) AS place FROM h""")
 def places(spark, sf_dir):
-    return search.places(_hits(spark, sf_dir)).select("claim_id", "page", "row", "key", "place")
+    return search.places(_hits(spark, sf_dir, ("claim_id",))).select("claim_id", "page", "row", "key", "place")
 
 
 @registered(f"""WITH {ORDERS}, {CLAIMS}, {HITS} SELECT claim_id, key, count(*) AS n_places, 0 AS n_possible, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS pages FROM (SELECT DISTINCT claim_id, key, page FROM h) GROUP BY claim_id, key""")
 def summary(spark, sf_dir):
-    return search.summary(_hits(spark, sf_dir))
+    return search.summary(_hits(spark, sf_dir, ("claim_id",)))
 
 
 @registered(f"WITH {ORDERS} SELECT claim_id, 'TOTAL,KES,thank you' AS neighbours FROM o")
@@ -371,7 +371,7 @@ def disagreements(spark, sf_dir):
 def token_changes(spark, sf_dir):
     o = receipts.orders(spark, sf_dir)
     base = o.select("doc_id", "page", F.col("number").alias("token"))
-    other = base.join(o.where("kind = 2").select("doc_id", "page"), ["doc_id", "page"], "left_anti").unionByName(o.where("kind = 3").select("doc_id", "page", F.col("day").cast("string").alias("token")))
+    other = base.join(o.where("kind = 2").select("doc_id", "page").hint("merge"), ["doc_id", "page"], "left_anti").unionByName(o.where("kind = 3").select("doc_id", "page", F.col("day").cast("string").alias("token")))
     return evaluate.token_changes(base, other)
 
 

@@ -232,7 +232,7 @@ def rules_shown(spark, sf_dir):
 @registered(f"""WITH {ORDERS}, {CLAIMS}, {HITS} SELECT claim_id, key, count(*) AS n_places, 0 AS n_possible, CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' place' ELSE ' places' END AS said FROM h GROUP BY claim_id, key""")
 def summary_text(spark, sf_dir):
     """Finds as they are told, by claim and key."""
-    found = search.hits(search.prepared(rows.single_rows(receipts.lines(spark, sf_dir))), receipts.claims(spark, sf_dir))
+    found = search.hits(search.prepared(rows.single_rows(receipts.lines(spark, sf_dir))), receipts.claims(spark, sf_dir), by=("claim_id",))
     return search.told(search.summary(found)).select("claim_id", "key", "n_places", F.col("n_possible").cast("int").alias("n_possible"), "said")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from attestra.operators import evaluate
 from attestra.plans import preparing, queries, review, trials  # noqa: F401
 
 
@@ -20,3 +21,24 @@ def test_trial_passes_no_table_through_the_driver(name, spark, sf):
 
 def test_search_against_rules_passes_no_table_through_the_driver(spark, sf):
     assert "BroadcastHashJoin" not in joins(queries.QUERIES["search_against_rules"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["token_changes", "decoys_not_printed", "summary"])
+def test_records_pass_no_table_through_the_driver(name, spark, sf):
+    assert "BroadcastHashJoin" not in joins(queries.QUERIES[name](spark, sf))
+
+
+def test_token_changes_of_nulls(spark):
+    """A null token is equal to no other; repeated tokens are one."""
+    schema = "doc_id string, page int, token string"
+    base = spark.createDataFrame([("d", 1, "a"), ("d", 1, "a"), ("d", 1, "b"), ("d", 1, None)], schema)
+    other = spark.createDataFrame([("d", 1, "b"), ("d", 1, "c"), ("d", 1, None)], schema)
+    got = sorted((r.token or "", r.change) for r in evaluate.token_changes(base, other).collect())
+    assert got == [("", "added"), ("", "lost"), ("a", "lost"), ("c", "added")]
+
+
+def test_finds_of_a_claim_move_once(spark, sf):
+    """A summary's finds are dealt out by claim, and not again by claim and key; no set of finds is kept for every place."""
+    df = queries.QUERIES["summary"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(claim_id") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,8 +73,18 @@ def parse_typed_amount(text: Column, rules: MatchingRules = MATCHING) -> Column:
     t = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
     t = F.btrim(F.regexp_replace(t, f"(?i)^(?:{words})", ""))
     t = F.btrim(F.regexp_replace(t, f"(?i)(?:{words})$", ""))
+    # Each step names the text several times, so it is worked out once before the next.
     for end in rules.no_cents:
-        t = F.when(t.endswith(end), F.btrim(t.substr(F.lit(1), F.length(t) - len(end)))).otherwise(t)
+        t = let(t, _without(end))
+    return let(t, _typed_amount)
+
+
+def _without(end: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x.endswith(end), F.btrim(x.substr(F.lit(1), F.length(x) - F.lit(len(end))))).otherwise(x)
+
+
+def _typed_amount(t: Column) -> Column:
+    """``parse_typed_amount`` of a text without currency and endings."""
     shaped = t.rlike(r"^(?:[0-9]{1,3}(?:[,' ][0-9]{3})+|[0-9]+)(?:\.[0-9]{1,2})?$")
     value = F.when(shaped, F.regexp_replace(t, "[,' ]", "").try_cast("decimal(38,2)"))
     error = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import field_date
 from ..functions.money import parse_typed_amount
-from ..functions.text import any_of, split_words
+from ..functions.text import any_of, let, split_words
 from ..rules import FIELDS, FieldRules
 
 
@@ -20,7 +20,7 @@ def label_value(row: Column, labels) -> Column:
 
 def row_date(row: Column, rules: FieldRules = FIELDS) -> Column:
     value = label_value(row, rules.date)
-    return field_date(F.btrim(F.element_at(F.split(value, r"\|"), 1)))
+    return let(F.btrim(F.element_at(F.split(value, r"\|"), 1)), field_date)
 
 
 def first_amount(text: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from attestra.functions import money
 from attestra.operators import evaluate
 from attestra.plans import preparing, queries, review, trials  # noqa: F401
 
@@ -42,3 +44,10 @@ def test_finds_of_a_claim_move_once(spark, sf):
     df = queries.QUERIES["summary"](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(claim_id") == 1
+
+
+def test_a_typed_amount_is_one_small_expression(spark):
+    """Endings are taken off one after the other; the expression does not multiply with each."""
+    df = spark.createDataFrame([("KSh 1,200.50",), ("1,200/=",), (None,)], "t string").select(money.parse_typed_amount(F.col("t")).alias("p"))
+    assert [(str(r.p.value), r.p.error) for r in df.collect()] == [("1200.50", None), ("1200.00", None), ("None", "empty")]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 10

@@ -34,32 +34,49 @@ def read_amount(core: Column, rules: MatchingRules = MATCHING) -> Column:
     """
     marks = [re.escape(s) for s in rules.thousands if s]
     heads = ["0", "[1-9][0-9]{0,2}", *[f"[1-9][0-9]{{0,2}}(?:{m}[0-9]{{3}})+" for m in marks]] + (["[1-9][0-9]+"] if "" in rules.thousands else [])
-    pattern = f"^({'|'.join(heads)})(?:\\.({'[0-9]{1,2}' if rules.one_decimal else '[0-9]{2}'}))?$"
-    part = lambda i: F.regexp_extract(core, pattern, i)
-    cents = F.concat(F.regexp_replace(part(1), "[^0-9]", ""), F.rpad(part(2), 2, "0")).try_cast("long")
-    return F.when(core.rlike(pattern), F.struct(cents.alias("cents"), (part(2) != "").alias("full")))
+    pattern = f"^(?:{'|'.join(heads)})(?:\\.(?:{'[0-9]{1,2}' if rules.one_decimal else '[0-9]{2}'}))?$"
+    # Three digits follow every mark between thousands, so a full stop before the last one or two stands before cents.
+    tenths, hundredths = core.substr(-2, 1) == ".", core.substr(-3, 1) == "."
+    apart = "".join(dict.fromkeys(c for c in "".join([".", *rules.thousands]) if not c.isdigit()))
+    cents = F.concat(F.translate(core, apart, ""), F.when(hundredths, "").when(tenths, "0").otherwise("00")).try_cast("long")
+    return F.when(core.rlike(pattern), F.struct(cents.alias("cents"), (tenths | hundredths).alias("full")))
 
 
-def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
-    """Struct of ``core`` and ``attached``: the token without what printers put around an amount; whether a currency or no-cents mark was among it."""
-    words = any_of(rules.currency_lower)
-    front, back = rf"(?i)^(?:{words})(?=[0-9])", rf"(?i)(?<=[0-9])(?:{words})$"
-    marks = [re.escape(end) + "$" for end in rules.no_cents] + [front, back]
+def may_be_amount(token: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Whether a token is digits and separators but for what ``amount_core`` can take off its ends: all others have no core that ``read_amount`` reads."""
+    words, inner = any_of(rules.currency_lower), re.escape("".join(sorted({".", ",", *"".join(rules.thousands)} - {""})))
+    front = f"[{rules.prefix_marks}]*" if rules.prefix_marks else ""
+    ends = "|".join(x for x in ("[.,;:]", any_of(rules.no_cents), words, f"[{rules.tax_letters}]" if rules.tax_letters else "") if x)
+    return token.rlike(f"^{front}(?:(?i:{words}))?[0-9][0-9{inner}]*(?:(?i:{ends}))*$")
+
+
+def trimmed_amount(token: Column, rules: MatchingRules = MATCHING) -> Column:
+    """A token without marks in front and punctuation at its end; null where digits and separators alone leave nothing to take away."""
     bare = F.regexp_replace(token, f"^[{rules.prefix_marks}]+", "") if rules.prefix_marks else token
     bare = F.regexp_replace(bare, "[.,;:]+$", "")
+    # Unless words or marks have digits of their own.
+    if not re.search("[0-9]", "".join([*rules.currency, *rules.no_cents, rules.prefix_marks])):
+        return F.when(token.rlike("[0-9]") & ~token.rlike("^[0-9](?:[0-9,.']*[0-9])?$"), bare)
+    return F.when(token.rlike("[0-9]"), bare)
 
-    def without(t: Column) -> Column:
-        less = t
-        for mark in marks:
-            less = F.regexp_replace(less, mark, "")
-        core = lambda c: F.regexp_replace(c, f"(?<=[0-9])[{rules.tax_letters}]$", "")
-        return let(less, lambda c: F.struct(core(c).alias("core"), (F.length(c) < F.length(t)).alias("attached")))
 
-    trimmed, whole = F.when(token.rlike("[0-9]"), let(bare, without)), F.struct(token.alias("core"), F.lit(False).alias("attached"))
-    # Digits and separators alone, a digit last: nothing to take away, unless words or marks have digits of their own.
-    if not re.search("[0-9]", "".join([*rules.currency, *rules.no_cents, rules.prefix_marks])):
-        return F.when(token.rlike("^[0-9](?:[0-9,.']*[0-9])?$"), whole).otherwise(F.coalesce(trimmed, whole))
-    return F.coalesce(trimmed, whole)
+def unmarked_amount(trimmed: Column, rules: MatchingRules = MATCHING) -> Column:
+    """``trimmed_amount`` without currency words and no-cents endings."""
+    words = any_of(rules.currency_lower)
+    for mark in [re.escape(end) + "$" for end in rules.no_cents] + [rf"(?i)^(?:{words})(?=[0-9])", rf"(?i)(?<=[0-9])(?:{words})$"]:
+        trimmed = F.regexp_replace(trimmed, mark, "")
+    return trimmed
+
+
+def untaxed_amount(token: Column, unmarked: Column, rules: MatchingRules = MATCHING) -> Column:
+    """The core of a token: ``unmarked_amount`` without a tax letter, or the token itself where nothing was taken away."""
+    return F.coalesce(F.regexp_replace(unmarked, f"(?<=[0-9])[{rules.tax_letters}]$", ""), token)
+
+
+def amount_core(token: Column, rules: MatchingRules = MATCHING) -> Column:
+    """Struct of ``core`` and ``attached``: the token without what printers put around an amount; whether a currency or no-cents mark was among it."""
+    of = lambda t: let(unmarked_amount(t, rules), lambda c: F.struct(untaxed_amount(token, c, rules).alias("core"), F.coalesce(F.length(c) < F.length(t), F.lit(False)).alias("attached")))
+    return let(trimmed_amount(token, rules), of)
 
 
 def is_currency(token: Column, rules: MatchingRules = MATCHING) -> Column:

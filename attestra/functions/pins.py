@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ def pin_shape(pin: Column, rules: MatchingRules = MATCHING) -> Column:
 def positional(token: Column, shape: str, rules: MatchingRules = MATCHING) -> Column:
     """Letters where the shape wants digits, and digits where it wants letters, as what they are mistaken for."""
     tables = {"D": rules.letter_to_digit, "L": rules.digit_to_letter}
-    return F.concat(*[F.translate(token.substr(i + 1, 1), "".join(tables[k]), "".join(tables[k].values())) for i, k in enumerate(shape)])
+    runs = [(m.start() + 1, len(m[0]), m[1]) for m in re.finditer(r"(.)\1*", shape)]
+    return F.concat(*[F.translate(token.substr(at, n), "".join(tables[k]), "".join(tables[k].values())) for at, n, k in runs])
 
 
 def token_forms(core: Column, rules: MatchingRules = MATCHING) -> Column:
@@ -37,11 +40,16 @@ def token_forms(core: Column, rules: MatchingRules = MATCHING) -> Column:
     return F.flatten(F.transform(raws, shapes))
 
 
-def halves(pin: Column, shape: Column) -> Column:
-    """Two keys, of which two PINs that differ in one character at most share one: (key, which half)."""
+def half_keys(pin: Column, shape: Column) -> dict[str, Column]:
+    """Two keys, of which two PINs that differ in one character at most share one, by the half they hold: ``l`` and ``r``."""
     n = F.length(pin)
     left, right = pin.substr(F.lit(1), F.floor(n / 2).cast("int")), pin.substr(F.floor(n / 2).cast("int") + 1, n)
-    return F.transform(F.array(F.struct(F.lit("l").alias("side"), left.alias("text")), F.struct(F.lit("r").alias("side"), right.alias("text"))), lambda h: F.struct(F.concat_ws(":", F.lit("p"), shape, n.cast("string"), h["side"], h["text"]).alias("key"), h["side"].alias("side")))
+    return {side: F.concat_ws(":", F.lit("p"), shape, n.cast("string"), F.lit(side), text) for side, text in (("l", left), ("r", right))}
+
+
+def halves(pin: Column, shape: Column) -> Column:
+    """``half_keys`` as an array of (key, side)."""
+    return F.array(*[F.struct(key.alias("key"), F.lit(side).alias("side")) for side, key in half_keys(pin, shape).items()])
 
 
 def stands_for(raw: Column, norm: Column, pin: Column, rules: MatchingRules = MATCHING) -> Column:

@@ -51,3 +51,27 @@ def test_a_typed_amount_is_one_small_expression(spark):
     df = spark.createDataFrame([("KSh 1,200.50",), ("1,200/=",), (None,)], "t string").select(money.parse_typed_amount(F.col("t")).alias("p"))
     assert [(str(r.p.value), r.p.error) for r in df.collect()] == [("1200.50", None), ("1200.00", None), ("None", "empty")]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 10
+
+
+@pytest.mark.parametrize("name", ["amount_hits", "odd_prints", "best_page"])
+def test_what_a_place_says_is_worked_out_once(name, spark, sf):
+    """Nothing that reads a date, an amount or a PIN is moved into a filter and worked out there too."""
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "RLIKE" in x]
+
+
+@pytest.mark.parametrize("name", ["amount_hits", "odd_prints", "summary_text"])
+def test_finds_are_settled_where_they_are_met(name, spark, sf):
+    """Readings of one place lie together after the join: finds are not dealt out to be compared."""
+    assert "REPARTITION_BY_COL" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_time_fused_to_a_date_in_two_readings_is_one_find(spark):
+    """"1/2/19191:30" reads as 1/2/1919 and as 1/2/19, and both are the claim's date: one place."""
+    from attestra.operators import rows, search
+
+    lines = spark.createDataFrame([("d", 1, 0, "on 1/2/19191:30"), ("d", 2, 0, "PinA123456789B, 1 Feb 1919")], "doc_id string, page int, row int, text string")
+    asked = spark.createDataFrame([("c", "d", "1919-02-01", None, "A123456789B")], "claim_id string, doc_id string, date string, amount string, pin string")
+    asked = asked.withColumn("date", F.col("date").cast("date")).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    got = sorted((r.page, r.key, r.strength) for r in search.hits(search.prepared(rows.single_rows(lines)), asked).collect())
+    assert got == [(1, "date", "exact"), (2, "date", "exact"), (2, "pin", "exact")]

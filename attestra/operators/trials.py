@@ -220,6 +220,11 @@ def against(cases: DataFrame, rows: DataFrame, kind: str, settings: TextSettings
     return own.join(app.hint("merge"), "case_id", "left").join(rule.hint("merge"), "case_id", "left").withColumns({"app_found": F.coalesce("_app", F.lit(False)), "rule_found": F.coalesce("rule_found", F.lit(False))}).drop("_app")
 
 
+def by_page(df: DataFrame, page: str = "page_id") -> DataFrame:
+    """``df`` dealt out by page: what follows page by page needs no further shuffle. The number of partitions is stated, as what is made of a page is more than its bytes suggest."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), page)
+
+
 def cases_of(*tables: DataFrame) -> DataFrame:
     """Cases of several origins as one table: real and made up ones, amounts, dates and PINs; claims as text."""
     names = ["page_id", "kind", "claim", "expected", "category", "source"]
@@ -236,23 +241,24 @@ def on_truth(readings: DataFrame, truth: DataFrame) -> DataFrame:
 
 def not_printed(decoys: DataFrame, rows: DataFrame, truth: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     """Decoys ``(page_id, amount, ...)`` of which the page shows no sign: neither its answer key nor any of its tokens is a print of the amount."""
-    # The signs of a page are one array, which each of its decoys meets once: forms are not shuffled.
+    # A page's signs are one array and its key another, which each of its decoys meets where the page lies: forms are not shuffled, and decoys once.
     signs = F.flatten(F.transform(trial_tokens(F.col("segments")), lambda t: F.array(amount_core(t, rules)["core"], F.btrim(t, F.lit(".,:;")))))
-    signs = rows.select("page_id", signs.alias("signs")).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("signs"))).alias("signs"))
+    signs = rows.select("page_id", signs.alias("signs")).groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("signs"))).alias("_signs"))
+    key = truth.groupBy("page_id").agg(F.collect_set(F.col("amount").cast("decimal(18,2)")).alias("_key"))
     forms = amount_forms(F.col("amount"), rules)
-    wanted = decoys.select("page_id", "amount").repartition("page_id").distinct()
-    met = wanted.select("page_id", "amount", F.concat(forms["with_cents"], forms["without_cents"]).alias("forms")).join(signs.hint("merge"), "page_id")
-    seen = met.where(F.arrays_overlap("forms", "signs")).select("page_id", "amount").union(truth.select("page_id", F.col("amount").cast("decimal(18,2)"))).distinct()
-    return decoys.join(seen.hint("merge"), ["page_id", "amount"], "left_anti")
+    shown = F.arrays_overlap(F.concat(forms["with_cents"], forms["without_cents"]), F.col("_signs"))
+    either = F.coalesce(F.array_contains("_key", F.col("amount").cast("decimal(18,2)")), F.lit(False)) | F.coalesce(shown, F.lit(False))
+    return decoys.join(key.hint("merge"), "page_id", "left").join(signs.hint("merge"), "page_id", "left").where(~either).drop("_key", "_signs")
 
 
 def embedded_decoys(rows: DataFrame, truth: DataFrame, most: int = MOST_EMBEDDED, rules: MatchingRules = MATCHING) -> DataFrame:
     """Amounts of three digits cut from longer numbers of a page that does not print them: ``most`` of a page, in order of token and place."""
-    tokens = rows.select("page_id", F.explode(trial_tokens(F.col("segments"))).alias("token")).distinct()
+    tokens = by_page(rows.select("page_id", F.explode(trial_tokens(F.col("segments"))).alias("token"))).distinct()
     runs = tokens.select("page_id", "token", F.posexplode(F.regexp_extract_all("token", F.lit("[0-9]{6,}"), F.lit(0))).alias("run", "digits"))
-    cut = runs.select("page_id", "token", "run", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("digits") - 3, F.lit(2)), lambda i: F.ltrim(F.col("digits").substr(i, F.lit(3)), F.lit("0")))).alias("at", "piece")).where("length(piece) = 3")
-    whole = tokens.select("page_id", F.btrim("token", F.lit(".,:;")).alias("piece"))
-    cut = cut.join(whole, ["page_id", "piece"], "left_anti").withColumn("amount", F.col("piece").cast("decimal(18,2)"))
+    # Every piece is three digits, so that the cast below holds before the filter as well: Spark may work it out for what the filter drops.
+    cut = runs.select("page_id", "token", "run", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("digits") - 3, F.lit(2)), lambda i: F.col("digits").substr(i, F.lit(3)))).alias("at", "piece")).where(~F.startswith("piece", F.lit("0")))
+    # A piece that the page shows as a token of its own is a sign of its amount, as is any other print.
+    cut = cut.withColumn("amount", F.col("piece").cast("decimal(18,2)"))
     first = Window.partitionBy("page_id").orderBy("token", "run", "at")
     return not_printed(cut, rows, truth, rules).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("page_id", "amount", "n")
 

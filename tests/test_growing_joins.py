@@ -75,3 +75,22 @@ def test_a_time_fused_to_a_date_in_two_readings_is_one_find(spark):
     asked = asked.withColumn("date", F.col("date").cast("date")).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     got = sorted((r.page, r.key, r.strength) for r in search.hits(search.prepared(rows.single_rows(lines)), asked).collect())
     assert got == [(1, "date", "exact"), (2, "date", "exact"), (2, "pin", "exact")]
+
+
+def test_zeros_inside_a_longer_number_are_no_decoy(spark):
+    """"2000031" holds 200 and 003, and "9000000" 900 and zeros alone, which are no amount of three digits; what is dropped is not read as one either."""
+    from attestra.operators import rows, trials as rules
+
+    lines = spark.createDataFrame([(1, 0, "REF: 2000031"), (2, 0, "No 9000000 and 000000"), (3, 0, "REF: 123456 123")], "page_id long, row int, text string")
+    truth = spark.createDataFrame([(1, "57.00"), (2, "900.00"), (3, "5.00")], "page_id long, amount string")
+    made = rules.embedded_decoys(rows.single_rows(lines), truth)
+    assert sorted((r.page_id, str(r.amount), r.n) for r in made.collect()) == [(1, "200.00", 1), (3, "345.00", 1)]
+    assert "BroadcastHashJoin" not in joins(made)
+
+
+def test_embedded_decoys_of_customers_with_zeros(spark, tmp_path, sf):
+    """Customers 200003 and 100000, whose number holds three zeros where a piece begins."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").limit(2)
+    o.withColumn("o_custkey", F.when(F.monotonically_increasing_id() % 2 == 0, 200003).otherwise(100000).cast("long")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(str(r.amount) for r in queries.QUERIES["embedded_decoys"](spark, str(tmp_path)).collect())
+    assert got == ["100.00", "200.00"]

@@ -188,20 +188,23 @@ def trial(cases: DataFrame, rows: DataFrame, kind: str, rules: MatchingRules = M
     """``case_id``, ``rule``, ``found`` of every case of a kind by every rule of that kind, or by those of ``names``; a page without rows finds nothing.
 
     Columns of the cases that ``keep`` names come along. Both sides grow with the
-    pages, so neither is broadcast, however small its files make it look.
+    pages, so neither is broadcast, however small its files make it look; what comes
+    dealt out by page (``by_page``) stays where it lies.
     """
     make = {"amount": amount_rule, "date": date_rule, "pin": pin_rule}[kind]
     said = {"amount": "decimal(18,2)", "date": "date", "pin": "string"}[kind]
     made = {r: make(r, rules) for r in names or RULES[kind]}
     reads, forms = ({part[0]: part[1] for part in (getattr(m, which) for m in made.values())} for which in ("reads", "forms"))
-    own = cases.where(F.col("kind") == kind).select("case_id", "page_id", *keep, F.col("claim").cast(said).alias("claim"))
-    own = own.select("case_id", "page_id", *keep, *[f(F.col("claim")).alias(f"f_{n}") for n, f in forms.items()])
+    keys = list(dict.fromkeys(["page_id", "case_id", *keep]))
+    own = cases.where(F.col("kind") == kind).select(*keys, F.col("claim").cast(said).alias("_said"))
+    own = own.select(*keys, *[f(F.col("_said")).alias(f"f_{n}") for n, f in forms.items()])
     tokens = rows.select("page_id", trial_tokens(F.col("segments"), settings).alias("tokens"))
     tokens = tokens.select("page_id", *[f(F.col("tokens")).alias(f"r_{n}") for n, f in reads.items()])
     each = own.join(tokens.hint("merge"), "page_id", "left")
     # A case is of one page: with the page among its keys it is counted where it was met.
-    finds = each.groupBy("page_id", "case_id", *keep).agg(*[F.coalesce(F.bool_or(m.found(F.col(f"r_{m.reads[0]}"), F.col(f"f_{m.forms[0]}"))), F.lit(False)).alias(r) for r, m in made.items()])
-    return finds.select("case_id", *keep, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("found")) for r in made])).alias("r")).select("case_id", "r.*", *keep)
+    finds = each.groupBy(*keys).agg(*[F.coalesce(F.bool_or(m.found(F.col(f"r_{m.reads[0]}"), F.col(f"f_{m.forms[0]}"))), F.lit(False)).alias(r) for r, m in made.items()])
+    kept = [k for k in keep if k != "case_id"]
+    return finds.select("case_id", *kept, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("found")) for r in made])).alias("r")).select("case_id", "r.*", *kept)
 
 
 #: The rule that a trial chose, by kind.
@@ -212,12 +215,14 @@ def against(cases: DataFrame, rows: DataFrame, kind: str, settings: TextSettings
     """Cases of a kind with what the search finds (``app_found``: exactly or corrected) and what the chosen rule finds (``rule_found``), by the same pages."""
     own = cases.where(F.col("kind") == kind)
     asked = {k: F.when(F.col("kind") == k, F.col("claim")).cast(t).alias(k) for k, t in (("date", "date"), ("amount", "decimal(18,2)"), ("pin", "string"))}
-    page = F.col("page_id").cast("string").alias("doc_id")
-    lines = rows.withColumn("doc_id", page).withColumn("page", F.lit(1)) if "doc_id" not in rows.columns else rows
-    found = search.hits(search.prepared(lines, rules), own.select(F.col("case_id").alias("claim_id"), page, *asked.values()), rules, (kind,))
-    app = found.where("strength <> 'possible'").select(F.col("claim_id").alias("case_id"), F.lit(True).alias("_app")).distinct()
-    rule = trial(own, rows, kind, rules, settings, (CHOSEN[kind],)).select("case_id", F.col("found").alias("rule_found"))
-    return own.join(app.hint("merge"), "case_id", "left").join(rule.hint("merge"), "case_id", "left").withColumns({"app_found": F.coalesce("_app", F.lit(False)), "rule_found": F.coalesce("rule_found", F.lit(False))}).drop("_app")
+    page = F.col("page_id").cast("string") if "doc_id" in rows.columns else F.col("page_id")
+    lines = rows if "doc_id" in rows.columns else rows.withColumn("doc_id", page).withColumn("page", F.lit(1))
+    # A find is told by its page and what was claimed, not by the long names of cases; all is met where the page lies.
+    found = search.hits(search.prepared(lines, rules), own.select(F.col("claim").alias("claim_id"), page.alias("doc_id"), *asked.values()), rules, (kind,), beside=True)
+    app = found.where("strength <> 'possible'").select(F.col("doc_id").alias("_doc"), F.col("claim_id").alias("_claim")).distinct()
+    tried = trial(own, rows, kind, rules, settings, (CHOSEN[kind],), tuple(own.columns))
+    met = tried.join(app.hint("merge"), (page == F.col("_doc")) & search.alike(F.col("claim"), F.col("_claim")), "left")
+    return met.select(*own.columns, F.col("_claim").isNotNull().alias("app_found"), F.col("found").alias("rule_found"))
 
 
 def by_page(df: DataFrame, page: str = "page_id") -> DataFrame:
@@ -274,8 +279,9 @@ def pin_decoys(truth: DataFrame, rules: MatchingRules = MATCHING) -> DataFrame:
     other = F.transform(F.slice(F.col("digits"), 3, 3), lambda i: F.struct(put(i, apart(i)).alias("claim"), F.lit("one digit").alias("category")))
     like = F.slice(F.filter("digits", lambda i: F.concat(at(i), F.lit("8")).isin(pairs) & (at(i) != "8")), 1, 1)
     like = F.transform(like, lambda i: F.struct(put(i, F.lit("8")).alias("claim"), F.lit(f"one look-alike digit ({INHERENT})").alias("category")))
-    made = truth.select("page_id", "pin").distinct().withColumn("digits", digits).select("page_id", F.explode(F.concat(other, like)).alias("d")).select("page_id", "d.*")
-    return made.join(truth.select("page_id", F.col("pin").alias("claim")).hint("merge"), ["page_id", "claim"], "left_anti")
+    own = truth.groupBy("page_id").agg(F.collect_set("pin").alias("pins"))  # met by what is made of them where the page lies
+    made = own.select("page_id", "pins", F.explode("pins").alias("pin")).withColumn("digits", digits).select("page_id", "pins", F.explode(F.concat(other, like)).alias("d"))
+    return made.where(~F.coalesce(F.array_contains("pins", F.col("d.claim")), F.lit(False))).select("page_id", "d.*")
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

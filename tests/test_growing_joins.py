@@ -94,3 +94,46 @@ def test_embedded_decoys_of_customers_with_zeros(spark, tmp_path, sf):
     o.withColumn("o_custkey", F.when(F.monotonically_increasing_id() % 2 == 0, 200003).otherwise(100000).cast("long")).write.parquet(str(tmp_path / "orders.parquet"))
     got = sorted(str(r.amount) for r in queries.QUERIES["embedded_decoys"](spark, str(tmp_path)).collect())
     assert got == ["100.00", "200.00"]
+
+
+def test_cases_of_search_against_rules_stay_by_their_page(spark, sf):
+    """Orders are dealt out by page; cases, forms and finds, which are many times as much, are not: before, each was, by case and by form."""
+    plan = queries.QUERIES["search_against_rules"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert len([x for x in dealt if "hashpartitioning(kind" in x]) == 1
+    assert not [x for x in dealt if "hashpartitioning(kind" not in x and "hashpartitioning(o_orderkey" not in x and "hashpartitioning(claim_id" not in x], dealt
+
+
+def test_cases_of_a_page_are_told_apart(spark):
+    """Two cases of one claim, a claim that is null, one that another page prints, a page without rows, and pages of several rows: by page, and by document where rows name it."""
+    from attestra.operators import rows, trials as rules
+
+    cases = [("1", "amount", "5.00", True, "own"), ("1", "amount", "5.00", False, "same claim"), ("1", "amount", "7.50", False, "of page 2"), ("1", "amount", None, False, "null"), ("2", "amount", "7.50", True, "own"), ("2", "amount", "61.25", True, "second row"), ("3", "amount", "5.00", False, "no rows"), ("1", "pin", "A123456789B", True, "other kind")]
+    cases = rules.cases_of(spark.createDataFrame([(*c, "s") for c in cases], "page_id string, kind string, claim string, expected boolean, category string, source string"))
+    lines = rows.single_rows(spark.createDataFrame([("1", 0, "TOTAL 5.00"), ("2", 0, "TOTAL 7.50"), ("2", 1, "TOTAL 7.50 61.25")], "page_id string, row int, text string"))
+    want = [("1", "null", False, False), ("1", "of page 2", False, False), ("1", "own", True, True), ("1", "same claim", True, True), ("2", "own", True, True), ("2", "second row", True, True), ("3", "no rows", False, False)]
+    for own in (lines, lines.withColumn("doc_id", F.col("page_id")).withColumn("page", F.lit(4)), rules.by_page(lines)):
+        out = rules.against(cases, own, "amount")
+        assert out.columns == [*cases.columns, "app_found", "rule_found"]
+        assert sorted((r.page_id, r.category, r.app_found, r.rule_found) for r in out.collect()) == want
+
+
+def test_finds_beside_each_other_are_those_of_a_search_by_form(spark, sf):
+    from attestra.operators import rows, search
+    from attestra.plans import receipts
+
+    pages = search.prepared(rows.single_rows(receipts.lines(spark, sf).where("doc_id < '3'")))
+    claims = receipts.claims(spark, sf).where("doc_id < '3'")
+    got, want = (sorted(map(str, search.hits(pages, claims, beside=b).collect())) for b in (True, False))
+    assert got == want and got
+
+
+def test_pins_of_a_page_are_no_decoys_of_each_other(spark):
+    """A page with two PINs that differ in a digit, and one with a PIN twice: decoys are neither of a page's own PINs, and each comes once a PIN."""
+    from attestra.operators import trials as rules
+
+    one = rules.pin_decoys(spark.createDataFrame([(1, "A123456789B"), (1, "A123456789B")], "page_id long, pin string")).collect()
+    other = next(r.claim for r in one if r.category == "one digit")
+    two = rules.pin_decoys(spark.createDataFrame([(1, "A123456789B"), (1, other), (2, None)], "page_id long, pin string")).collect()
+    assert len(one) == len({r.claim for r in one}) and {r.page_id for r in two} == {1}
+    assert not {"A123456789B", other} & {r.claim for r in two}
